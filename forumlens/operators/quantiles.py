@@ -30,10 +30,12 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: dic
         F.percentile_approx("__v", low, accuracy).alias("__low"),
         F.percentile_approx("__v", high, accuracy).alias("__high"),
         F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+    # in a small group the rank error is below one row, so the whole group is its own bracket
+    small = F.col("__n") <= accuracy
     spec = F.array(*[
         F.struct(F.lit(name).alias("name"), F.lit(p).alias("p"),
-                 (F.col("__min") if lo == 0.0 else F.col("__low")[i]).alias("lo"),
-                 (F.col("__max") if hi == 1.0 else F.col("__high")[i]).alias("hi"))
+                 F.when(small | F.lit(lo == 0.0), F.col("__min")).otherwise(F.col("__low")[i]).alias("lo"),
+                 F.when(small | F.lit(hi == 1.0), F.col("__max")).otherwise(F.col("__high")[i]).alias("hi"))
         for i, (name, p, lo, hi) in enumerate(zip(names, probs, low, high))])
     wanted = brackets.select(*keys, F.col("__n"), spec.alias("__spec"))
     marked = attach(rows, wanted, keys).select(*keys, "__v", "__n", F.explode("__spec").alias("s"))
@@ -51,8 +53,11 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: dic
     def at(position: Column) -> Column:
         return F.min(F.when((F.col("__to") > position) & F.col("__v").isNotNull(), F.col("__v")))
 
+    below = F.max(F.when(F.col("__v").isNull(), F.col("__to")))
     points = running.groupBy(*keys, "__name").agg(
-        at(lower).alias("__a"), at(upper).alias("__b"), F.max(place - lower).alias("__f"))
+        F.when(below > F.max(lower), F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
+        .otherwise(at(lower)).alias("__a"),
+        at(upper).alias("__b"), F.max(place - lower).alias("__f"))
     one = points.select(*keys, "__name", (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__f")).alias("__q"))
     wide = one.groupBy(*keys).agg(*[
         F.max(F.when(F.col("__name") == name, F.col("__q"))).alias(name) for name in names])

@@ -43,7 +43,7 @@ def bucket(rank: str, digits: int = DIGITS) -> Column:
 
 def group_row_numbers(df: DataFrame, by: list[str], rank: str, out: str, ties: list[str] | None = None,
                       digits: int = DIGITS) -> DataFrame:
-    """1, 2, 3, … by ``rank`` inside each group of ``by`` (the whole table when ``by`` is empty)."""
+    """1, 2, 3 and so on by ``rank`` inside each group of ``by`` (the whole table when ``by`` is empty)."""
     ties = ties or []
     rows = df.withColumn("__bucket", bucket(rank, digits))
     counts = rows.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
@@ -75,7 +75,7 @@ def global_row_numbers(df: DataFrame, by: list[str], rank: str, out: str, ties:
 
 def alternate(df: DataFrame, by: list[str], rank: str, parts: int, out: str,
               ties: list[str] | None = None) -> DataFrame:
-    """Parts 1 … ``parts`` in turn over the rows ordered by group, so each part gets the same mix."""
+    """Parts 1 to ``parts`` in turn over the rows ordered by group, so each part gets the same mix."""
     numbered = global_row_numbers(df, by, rank, "__row", ties)
     return numbered.withColumn(out, F.pmod(F.col("__row") - 1, F.lit(parts)) + 1).drop("__row")
 

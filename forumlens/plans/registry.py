@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["c_text", "d_survey"]
+FAMILIES = ["c_text", "d_survey", "e_duplicates", "f_joins", "g_profiles"]
 FLAGSHIP = "f05_month_funnel"
 
 
