@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from forumlens.operators.ranking import attach
+from forumlens.session import small_side
 
 ACCURACY = 10_000
 
@@ -38,7 +39,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: dic
                  F.when(small | F.lit(hi == 1.0), F.col("__max")).otherwise(F.col("__high")[i]).alias("hi"))
         for i, (name, p, lo, hi) in enumerate(zip(names, probs, low, high))])
     wanted = brackets.select(*keys, F.col("__n"), spec.alias("__spec"))
-    marked = attach(rows, wanted, keys).select(*keys, "__v", "__n", F.explode("__spec").alias("s"))
+    marked = attach(rows, small_side(wanted), keys).select(*keys, "__v", "__n", F.explode("__spec").alias("s"))
     # below the bracket only the count matters; inside it every distinct value is counted
     cells = (
         marked.filter(F.col("__v") <= F.col("s.hi"))
@@ -68,7 +69,7 @@ def quartile_labels(df: DataFrame, value: str, out: str, unit: str) -> DataFrame
     """Four bins of about equal size, closed on the right, with a readable range as the label."""
     cuts = exact_quantiles(df, [], value, {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.75, "q4": 1.0})
     keyed = df.withColumn("__one", F.lit(1))
-    joined = attach(keyed, cuts.withColumn("__one", F.lit(1)), ["__one"])
+    joined = attach(keyed, F.broadcast(cuts.withColumn("__one", F.lit(1))), ["__one"])
     first = F.col("q0").cast("bigint")
 
     def label(start: Column, end: str) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from forumlens import fixed_values as V
+from forumlens.session import small_side
 
 DIGITS = 4
 
@@ -29,12 +30,12 @@ def _same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Co
 
 
 def attach(left: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
-    """Left join on keys that may be null. Spark broadcasts ``small`` only when its size allows it."""
+    """Left join on keys that may be null."""
     if not by:
         raise ValueError("attach needs at least one key")
-    renamed = small.withColumnsRenamed({c: f"__{c}" for c in by})
-    joined = left.join(renamed, _same(left, renamed, [(c, f"__{c}") for c in by]), "left")
-    return joined.drop(*[f"__{c}" for c in by])
+    renamed = small.withColumnsRenamed({c: f"__k_{c}" for c in by})
+    joined = left.join(renamed, _same(left, renamed, [(c, f"__k_{c}") for c in by]), "left")
+    return joined.drop(*[f"__k_{c}" for c in by])
 
 
 def bucket(rank: str, digits: int = DIGITS) -> Column:
@@ -59,17 +60,21 @@ def group_sizes(df: DataFrame, by: list[str], out: str = "n") -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias(out))
 
 
-def global_row_numbers(df: DataFrame, by: list[str], rank: str, out: str, ties: list[str] | None = None,
-                       descending: bool = False) -> DataFrame:
+def with_group_sizes(df: DataFrame, by: list[str], out: str) -> DataFrame:
+    """The size of its group on every row: counted, then joined, so no group is gathered in one task."""
+    return attach(df, small_side(group_sizes(df, by, out)), by)
+
+
+def global_row_numbers(df: DataFrame, by: list[str], rank: str, out: str,
+                       ties: list[str] | None = None) -> DataFrame:
     """Row numbers over the order (group, rank): groups before this one plus the position inside it.
 
     Only the table of groups, one row each, is ordered as a whole.
     """
     sizes = group_sizes(df, by, "__size")
-    keys = [F.col(c).desc() if descending else F.col(c).asc() for c in by]
-    before = W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(*by, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
-    placed = attach(group_row_numbers(df, by, rank, "__inside", ties), starts, by)
+    placed = attach(group_row_numbers(df, by, rank, "__inside", ties), small_side(starts), by)
     return placed.withColumn(out, F.col("__before") + F.col("__inside")).drop("__before", "__inside")
 
 
@@ -95,6 +100,6 @@ def first_per_group(df: DataFrame, by: list[str], rank: str, limits: DataFrame,
     wanted = limits.select(*by, F.col(limit).alias("__limit"))
     cuts = (attach(starts, wanted, by).filter(F.col("__start") < F.col("__limit"))
             .groupBy(*by).agg(F.max("__bucket").alias("__cut"), F.max("__limit").alias("__limit")))
-    kept = attach(rows, cuts, by).filter(F.col("__bucket") <= F.col("__cut"))
+    kept = attach(rows, small_side(cuts), by).filter(F.col("__bucket") <= F.col("__cut"))
     numbered = kept.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(rank, *ties)))
     return numbered.filter(F.col(out) <= F.col("__limit")).drop("__bucket", "__cut", "__limit")

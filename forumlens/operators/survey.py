@@ -11,6 +11,7 @@ from forumlens import fixed_values as V
 from forumlens.functions.flags import lookup
 from forumlens.operators import profile as P
 from forumlens.operators.ranking import attach
+from forumlens.session import small_side
 
 ROLES = ["id", "weight", "approval", "strength", "date", "party", "ideology", "gender", "age",
          "age_category", "education", "education_category", "mode"]
@@ -114,16 +115,20 @@ def harmonise_wave(df: DataFrame, wave: dict) -> DataFrame:
 def normalised_weights(respondents: DataFrame, wave: str = "wave_id", weight: str = "weight_raw") -> DataFrame:
     """Weight over the mean weight of the wave. The means are one row per wave; no window over a wave."""
     means = respondents.groupBy(wave).agg(F.avg(weight).alias("__mean"))
-    return attach(respondents, means, [wave]).withColumn("weight_norm", F.col(weight) / F.col("__mean")).drop("__mean")
+    return attach(respondents, small_side(means), [wave]).withColumn("weight_norm", F.col(weight) / F.col("__mean")).drop("__mean")
 
 
-def harmonise(sources: dict[str, DataFrame], waves: list[dict]) -> DataFrame:
-    """All waves in one table of respondents, weights rescaled to mean one inside each wave."""
+def harmonise(sources: dict[str, DataFrame], waves: list[dict], weights: bool = True) -> DataFrame:
+    """All waves in one table of respondents, weights rescaled to mean one inside each wave.
+
+    Rescaling needs a first pass over the weights; leave it out where only raw weights are used.
+    """
     absent = [w["wave_id"] for w in waves if w["wave_id"] not in sources]
     if absent:
         raise FileNotFoundError(f"no input for waves {absent}")
     parts = [harmonise_wave(sources[w["wave_id"]], w) for w in waves]
-    return normalised_weights(reduce(lambda a, b: a.unionByName(b), parts))
+    respondents = reduce(lambda a, b: a.unionByName(b), parts)
+    return normalised_weights(respondents) if weights else respondents
 
 
 def locate(name: str, available: list[str]) -> str:

@@ -37,8 +37,8 @@ def waves_of(raw):
     return {w["wave_id"]: raw.filter(F.col("wave_id") == w["wave_id"]) for w in WAVES}
 
 
-def respondents(spark, sf_dir):
-    return S.harmonise(waves_of(X.svy_raw(spark, sf_dir)), WAVES)
+def respondents(spark, sf_dir, weights=False):
+    return S.harmonise(waves_of(X.svy_raw(spark, sf_dir)), WAVES, weights)
 
 
 _APPR = "CASE q_appr WHEN 1 THEN 'approve' WHEN 2 THEN 'disapprove' WHEN 9 THEN 'dk' WHEN 99 THEN 'dk' END"
@@ -130,7 +130,7 @@ def printable(resp):
 
 @add("d08_harmonise_waves", resp_sql(f"SELECT {RESP_OUT} FROM resp"))
 def d08(spark, sf_dir):
-    return printable(respondents(spark, sf_dir))
+    return printable(respondents(spark, sf_dir, weights=True))
 
 
 @add("d09_asked_only", X.oracle("svy_raw", "SELECT wave_id, count(*) AS rows, count(q_appr) AS asked FROM svy_raw GROUP BY 1"))

@@ -193,7 +193,7 @@ QUARTILES = {"min": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "max": 1.0}
 def g22(spark, sf_dir):
     columns = ["age", "weight_raw", "weight_norm"]
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])
-    long = D.respondents(spark, sf_dir).select(F.inline(pairs))
+    long = D.respondents(spark, sf_dir, weights=True).select(F.inline(pairs))
     moments = long.groupBy("column_name").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("sd"))
     cuts = exact_quantiles(long, ["column_name"], "v", QUARTILES)
     return moments.join(cuts.select("column_name", *[F.round(q, 6).alias(q) for q in QUARTILES]), "column_name")
@@ -201,7 +201,7 @@ def g22(spark, sf_dir):
 
 @add("g23_group_min_mean_max", D.resp_sql("SELECT wave_id, round(min(weight_norm), 6) AS min, round(avg(weight_norm), 6) AS mean, round(max(weight_norm), 6) AS max FROM resp GROUP BY 1"))
 def g23(spark, sf_dir):
-    return D.respondents(spark, sf_dir).groupBy("wave_id").agg(*[F.round(f("weight_norm"), 6).alias(n) for n, f in (("min", F.min), ("mean", F.avg), ("max", F.max))])
+    return D.respondents(spark, sf_dir, weights=True).groupBy("wave_id").agg(*[F.round(f("weight_norm"), 6).alias(n) for n, f in (("min", F.min), ("mean", F.avg), ("max", F.max))])
 
 
 @add("g24_field_span", D.resp_sql("SELECT wave_id, CAST(min(interview_date) AS VARCHAR) AS first, CAST(max(interview_date) AS VARCHAR) AS last, count(interview_date) AS n, CAST(date_diff('day', min(interview_date), max(interview_date)) AS BIGINT) AS days FROM resp GROUP BY 1"))

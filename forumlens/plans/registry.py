@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["c_text", "d_survey", "e_duplicates", "f_joins", "g_profiles"]
+FAMILIES = ["c_text", "d_survey", "e_duplicates", "f_joins", "g_profiles", "h_windows", "i_sampling", "j_agreement"]
 FLAGSHIP = "f05_month_funnel"
 
 

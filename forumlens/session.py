@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings that may change on a running session. Skewed join partitions are split at run time even
 # where the split costs one more exchange: one thread may hold a third of all comments.
@@ -73,3 +74,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
     return df.checkpoint(eager=True)
+
+
+# a side with at most this many narrow rows is broadcast; a larger one is joined by shuffle
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """Compute an aggregate once, count it, and mark it for broadcast if it is as small as expected.
+
+    Without the mark the plan would first shuffle the large side by a key that may be hot.
+    """
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
