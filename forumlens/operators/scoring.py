@@ -1,10 +1,55 @@
-"""Batch scoring of texts and figures from answer logs."""
+"""Batch scoring of texts with any classifier, and figures from answer logs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forumlens import fixed_values as V
+from forumlens.functions.flags import argmax_label
+from forumlens.operators.ranking import attach
+
+Scorer = Callable[[list[str]], "object"]
+
+
+def probabilities_udf(make_scorer: Callable[[], Scorer], classes: list[str] = V.CLASSES):
+    """A column function from text to class probabilities.
+
+    The scorer is made once per Python worker. Each Arrow batch is scored from short to long texts, so that a
+    model that pads a batch pads little. A null text is not scored.
+    """
+    names = [f"p_{c}" for c in classes]
+
+    @F.pandas_udf(", ".join(f"{n} float" for n in names))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = make_scorer()
+        for texts in batches:
+            out = pd.DataFrame(float("nan"), index=texts.index, columns=names, dtype="float32")
+            known = texts.dropna()
+            if len(known):
+                known = known.iloc[known.str.len().argsort(kind="stable")]
+                out.loc[known.index, names] = pd.DataFrame(scorer(known.tolist()), index=known.index, columns=names).astype("float32")
+            yield out
+    return score
+
+
+def with_label(df: DataFrame, text: Column | str, skip: Column, make_scorer: Callable[[], Scorer],
+               classes: list[str] = V.CLASSES, prefix: str = "student") -> DataFrame:
+    """Label and probabilities next to every row; skipped rows get nulls.
+
+    Only the texts that are scored travel to Python; all other columns stay where they are, so nothing has
+    to be joined back.
+    """
+    t = F.col(text) if isinstance(text, str) else text
+    scored = df.withColumn("__p", probabilities_udf(make_scorer, classes)(F.when(~skip, t)))
+    named = scored.withColumns({f"{prefix}_p_{c}": F.col(f"__p.p_{c}") for c in classes}).drop("__p")
+    label = argmax_label({c: f"{prefix}_p_{c}" for c in classes})
+    return named.withColumn(f"{prefix}_label", label).select(
+        *df.columns, f"{prefix}_label", *[f"{prefix}_p_{c}" for c in classes])
+
 
 def throughput(answers: DataFrame, by: list[str], rows_in_all: int) -> DataFrame:
     """Texts, seconds, speed, share of cached tokens, and days for a whole table at that speed."""
@@ -15,3 +60,40 @@ def throughput(answers: DataFrame, by: list[str], rows_in_all: int) -> DataFrame
     return out.select(
         *by, "texts", F.round("__seconds", 6).alias("seconds"), F.round(speed, 6).alias("texts_per_second"),
         "cached_share", F.round(F.lit(rows_in_all) / speed / 86400, 6).alias("days_for_all"))
+
+
+def smoke_run(df: DataFrame, rows: int, label) -> DataFrame:
+    """Label shares of the first rows of a table: a quick look before the whole is scored."""
+    scored = label(df.limit(rows))
+    return scored.groupBy("student_label").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def words_of(text: Column) -> Column:
+    """Words of at least two characters, lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+
+
+def lexicon_tone(df: DataFrame, text: str, keys: list[str], lexicon: DataFrame, alpha: float = 15.0) -> DataFrame:
+    """Sum of word weights per text, squeezed into -1 to 1; a text without a known word scores zero.
+
+    The lexicon is joined, so its size decides whether it is broadcast. All words of a text are in one task,
+    so the sums collapse before the shuffle.
+    """
+    words = df.select(*keys, F.explode(words_of(F.col(text))).alias("word"))
+    hits = words.join(lexicon, "word").groupBy(*keys).agg(F.sum("w").alias("__s"))
+    total = F.coalesce(F.col("__s"), F.lit(0.0))
+    scored = attach(df.select(*keys), hits, keys)
+    return scored.select(*keys, (total / F.sqrt(total * total + alpha)).alias("tone"))
+
+
+def term_statistics(df: DataFrame, text: str, min_docs: int = 3) -> DataFrame:
+    """Documents per term and inverse document frequency.
+
+    A document lists each of its terms once before they are counted, so the count needs no distinct and a
+    common term shrinks to one row per task.
+    """
+    terms = df.select(F.explode(F.array_distinct(words_of(F.col(text)))).alias("term"))
+    counted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
+    size = df.agg(F.count(F.lit(1)).alias("n"))
+    with_size = counted.withColumn("one", F.lit(1)).join(F.broadcast(size.withColumn("one", F.lit(1))), "one")
+    return with_size.select("term", "docs", F.round(F.log((1 + F.col("n")) / (1 + F.col("docs"))) + 1, 6).alias("idf"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["c_text", "d_survey", "e_duplicates", "f_joins", "g_profiles", "h_windows", "i_sampling", "j_agreement"]
+FAMILIES = ["a_sources", "b_schema", "c_text", "d_survey", "e_duplicates", "f_joins", "g_profiles", "h_windows",
+            "i_sampling", "j_agreement", "k_models", "l_streams"]
 FLAGSHIP = "f05_month_funnel"
 
 
