@@ -7,13 +7,13 @@ number or an underscore, and white space includes the separators U+001C to U+001
 from __future__ import annotations
 
 import html
+import json
 import re
 from functools import reduce
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from forumlens import fixed_values as V
 
@@ -107,30 +107,95 @@ def collapse_space(column: Column | str) -> Column:
     return strip(F.regexp_replace(blanks, rf"(?U){SPACE}*\n{SPACE}*", "\n"))
 
 
-@F.pandas_udf(StringType())
-def _decode_every_entity(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+def _entity_names() -> tuple[dict, dict]:
+    """Character references by name: with their semicolon, and the old ones that may lack it."""
+    closed = {name: value for name, value in html5.items() if name.endswith(";")}
+    return closed, {name: value for name, value in html5.items() if not name.endswith(";")}
+
+
+def _special_numbers() -> dict:
+    """Numeric references that do not stand for the character of that number."""
+    numbers = [*range(0, 160), *range(0xFDD0, 0xFDF0), *[plane * 0x10000 + last for plane in range(17) for last in (0xFFFE, 0xFFFF)]]
+    decoded = {n: html.unescape(f"&#{n};") for n in numbers}
+    return {str(n): text for n, text in decoded.items() if text != chr(n)}
+
+
+def _table(mapping: dict) -> Column:
+    return F.from_json(F.lit(json.dumps(mapping)), "map<string,string>")
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point."""
+    return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+
+
+def _decode_after_ampersand(part: Column) -> Column:
+    """Decode the reference at the start of the text behind an ampersand, or put the ampersand back."""
+    decimal = F.regexp_extract(part, r"^#([0-9]+);?", 1)
+    hexadecimal = F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]+);?", 1)
+    closed = F.regexp_extract(part, r"^([^\t\n\f <&#;]{1,32};)", 1)
+    opened = F.regexp_extract(part, r"^([^\t\n\f <&#;]{1,32})", 1)
+    with_semicolon, without_semicolon = _entity_names()
+    names, old_names = _table(with_semicolon), _table(without_semicolon)
+    # the longest start of the word that is an old name
+    starts = F.filter(F.transform(F.sequence(F.length(opened), F.lit(1), F.lit(-1)), lambda n: F.substring(opened, 1, n)),
+                      lambda start: F.map_contains_key(old_names, start))
+    start = F.try_element_at(starts, F.lit(1))
+
+    # digits are cut to what can still be a code point; more of them are out of range anyway
+    def number(digits: Column, base: int) -> Column:
+        significant = F.regexp_replace(digits, "^0+(?=.)", "")
+        return F.when(F.length(significant) <= 8, F.conv(significant, base, 10).cast("bigint")).otherwise(F.lit(1 << 40))
+
+    def from_number(digits: Column, base: int, pattern: str) -> Column:
+        n = number(digits, base)
+        special = F.try_element_at(_table(_special_numbers()), n.cast("string"))
+        text = (F.when(special.isNotNull(), special)
+                .when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd")).otherwise(_character(n)))
+        return F.concat(text, F.regexp_replace(part, pattern, ""))
+
+    known = F.try_element_at(names, closed)
+    return (F.when(decimal != "", from_number(decimal, 10, r"^#[0-9]+;?"))
+            .when(hexadecimal != "", from_number(hexadecimal, 16, r"^#[xX][0-9a-fA-F]+;?"))
+            .when((closed != "") & known.isNotNull(), F.concat(known, F.substr(part, F.length(closed) + 1)))
+            .when((opened != "") & start.isNotNull(),
+                  F.concat(F.try_element_at(old_names, start), F.substr(part, F.length(start) + 1)))
+            .otherwise(F.concat(F.lit("&"), part)))
+
+
+def _decode_every_entity(column: Column) -> Column:
+    """All named and numeric references, left to right, each once."""
+    parts = F.split(column, "&", -1)
+    decoded = F.transform(F.slice(parts, 2, F.size(parts)), _decode_after_ampersand)
+    return F.concat(F.element_at(parts, 1), F.array_join(decoded, ""))
 
 
 def decode_entities(column: Column | str, full_table: bool = True) -> Column:
     """Decode character references once.
 
-    Common ones are replaced inside the JVM. With ``full_table`` the rows that hold any other
-    reference, and only those, also travel to Python through Arrow; all other rows send a null.
+    Common ones are replaced. With ``full_table`` a text that holds any other reference takes the longer
+    way over the whole table; both ways stay inside the JVM.
     """
     c = _col(column)
     common = reduce(lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])), COMMON_ENTITIES, c)
     if not full_table:
         return common
-    rare = c.rlike(RARE_ENTITY)
-    return F.when(rare, _decode_every_entity(F.when(rare, c))).otherwise(common)
+    return F.when(c.rlike(RARE_ENTITY), _decode_every_entity(c)).otherwise(common)
+
+
+def own_words(column: Column | str) -> Column:
+    """Quotes, link targets and addresses removed; null becomes the empty text."""
+    return without_urls(links_to_text(without_quotes(F.coalesce(_col(column), F.lit("")))))
+
+
+def readable(column: Column | str, full_table: bool = True) -> Column:
+    """Entities decoded and space collapsed."""
+    return collapse_space(without_zero_width(decode_entities(column, full_table)))
 
 
 def clean_text(column: Column | str, full_table: bool = True) -> Column:
     """The author's own words: quotes, links, addresses, entities and extra space removed, in this order."""
-    text = F.coalesce(_col(column), F.lit(""))
-    text = without_urls(links_to_text(without_quotes(text)))
-    return collapse_space(without_zero_width(decode_entities(text, full_table)))
+    return readable(own_words(column), full_table)
 
 
 def title_and_body(title: Column | str, body: Column | str) -> Column:

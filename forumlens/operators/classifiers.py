@@ -16,6 +16,8 @@ from forumlens import fixed_values as V
 from forumlens.functions.text import SPACE, strip
 from forumlens.operators import agreement as A
 from forumlens.operators.scoring import words_of
+from forumlens.operators.staging import computed_once
+from forumlens.session import cut_lineage
 
 
 def _accents() -> tuple[str, str]:
@@ -55,11 +57,15 @@ def character_terms(text: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.transform(padded, grams))
 
 
-@F.udf(VectorUDT())
-def _sublinear(counts):
+def _dampen(counts):
     return SparseVector(counts.size, counts.indices, [1.0 + math.log(v) for v in counts.values])
 
 
+# Spark ML has no logarithm of counts. Marked so that the optimiser neither repeats the call nor moves it
+# into a filter.
+_sublinear = F.udf(_dampen, VectorUDT()).asNondeterministic()
+
+
 @dataclass
 class TextClassifier:
     """Term counts, dampened and weighted by rarity, into one linear separator per class."""
@@ -75,17 +81,17 @@ class TextClassifier:
 
     def fit(self, rows: DataFrame, text: str, label: str) -> "FittedClassifier":
         code = F.array_position(F.array(*[F.lit(c) for c in self.classes]), F.col(label)) - 1
-        train = rows.select(self.terms(text).alias("terms"), code.cast("double").alias("label"))
+        terms = computed_once(rows, "terms", self.terms(text)).select("terms", code.cast("double").alias("label"))
+        train = cut_lineage(terms.hint("rebalance"))  # as many partitions as its size asks for
         size = train.count()
         limits = {"minDF": 3.0, "maxDF": 0.995} if self.kind == "word" else {"minDF": 5.0}
         counter = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=self.max_features, **limits).fit(train)
-        dampened = counter.transform(train).select("label", _sublinear("counts").alias("tf")).persist()
+        dampened = cut_lineage(counter.transform(train).select("label", _sublinear("counts").alias("tf")))
         idf = IDF(inputCol="tf", outputCol="rare").fit(dampened).idf
         weigher = ElementwiseProduct(inputCol="tf", outputCol="weighted", scalingVec=Vectors.dense(idf.toArray() + 1.0))
         norm = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
         svm = LinearSVC(maxIter=self.iterations, regParam=1.0 / (self.c * size), standardization=False)
-        model = OneVsRest(classifier=svm).fit(norm.transform(weigher.transform(dampened)).select("label", "features"))
-        dampened.unpersist()
+        model = OneVsRest(classifier=svm, parallelism=len(self.classes)).fit(norm.transform(weigher.transform(dampened)).select("label", "features"))
         return FittedClassifier(self, counter, weigher, norm, model)
 
 
@@ -98,7 +104,7 @@ class FittedClassifier:
     model: object
 
     def predict(self, rows: DataFrame, text: str, out: str = "predicted") -> DataFrame:
-        counted = self.counter.transform(rows.withColumn("terms", self.spec.terms(text)))
+        counted = self.counter.transform(computed_once(rows, "terms", self.spec.terms(text)))
         features = self.norm.transform(self.weigher.transform(counted.withColumn("tf", _sublinear("counts"))))
         names = F.array(*[F.lit(c) for c in self.spec.classes])
         return (self.model.transform(features).withColumn(out, F.element_at(names, F.col("prediction").cast("int") + 1))

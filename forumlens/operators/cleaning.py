@@ -11,6 +11,7 @@ from forumlens import fixed_values as V
 from forumlens.functions import flags as G
 from forumlens.functions import text as T
 from forumlens.operators.dedupe import drop_repeated_posts, keep_first
+from forumlens.operators.staging import computed_once
 from forumlens.operators.threads import flag_parents
 
 
@@ -43,6 +44,12 @@ def flair_columns(df: DataFrame, settings: Settings) -> DataFrame:
     })
 
 
+def with_clean_text(df: DataFrame, source: str, out: str, settings: Settings) -> DataFrame:
+    """The cleaned text, computed once per row and in two steps, as the first is looked at several times."""
+    own = df.withColumn("__own", T.own_words(source))
+    return computed_once(own, out, T.readable("__own", settings.full_entities)).drop("__own")
+
+
 def clean_comments(comments: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Accounts out, copies out, own words kept; a keyword only in a quote is flagged and kept.
 
@@ -50,8 +57,7 @@ def clean_comments(comments: DataFrame, settings: Settings = Settings()) -> Data
     """
     people = comments.filter(~G.is_bot_or_moderator(bots=settings.bots))
     single = drop_repeated_posts(people, list(settings.order))
-    own = (single.withColumn("body_clean", T.clean_text("body", settings.full_entities))
-           .filter(F.col("body_clean") != ""))
+    own = with_clean_text(single, "body", "body_clean", settings).filter(F.col("body_clean") != "")
     flagged = own.withColumns({
         "only_in_quote": ~T.mentions("body_clean", settings.keyword),
         "author_deleted": G.is_deleted_author(),
@@ -76,7 +82,7 @@ def prepare_posts(posts: DataFrame, settings: Settings = Settings()) -> DataFram
         "selftext": T.without_placeholders("selftext"),
         "title": F.when(F.col("title_unusable"), F.lit("")).otherwise(F.col("title")),
     }).withColumn("text", T.title_and_body("title", "selftext"))
-    cleaned = blanked.withColumn("text_clean", T.clean_text("text", settings.full_entities))
+    cleaned = with_clean_text(blanked, "text", "text_clean", settings)
     return cleaned.withColumn("mentions_keyword", T.mentions("text_clean", settings.keyword))
 
 
@@ -115,11 +121,11 @@ def comment_funnel(comments: DataFrame, settings: Settings = Settings()) -> Data
         "author": F.when(~F.col("bot"), F.col("author")),
         "submission_id": F.when(~F.col("bot"), F.col("submission_id"))})
         .groupBy("bot", "exempt", "author", "submission_id", "body").agg(F.count(F.lit(1)).alias("n")))
-    text = T.clean_text("body", settings.full_entities)
     survivors = F.when(F.col("exempt"), F.col("n")).otherwise(F.lit(1))
-    counted = groups.select(
+    cleaned = with_clean_text(groups, "body", "text", settings)
+    counted = cleaned.select(
         "bot", "n", survivors.alias("left"),
-        F.when(~F.col("bot"), stage_of(text, T.mentions(text, settings.keyword))).alias("stage"))
+        F.when(~F.col("bot"), stage_of(F.col("text"), T.mentions("text", settings.keyword))).alias("stage"))
 
     def total(condition: Column, amount: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, amount)), F.lit(0))
@@ -168,7 +174,7 @@ def comment_month_funnel(comments: DataFrame, keyword: str, months: list[str] |
 def flagged_posts(posts: DataFrame, comments: DataFrame, keyword: str,
                   fields: tuple = ("title", "selftext")) -> DataFrame:
     """Posts once per id, with the two relevance flags."""
-    single = keep_first(posts, ["id"], ["created_utc"], keep_null_keys=False)
+    single = keep_first(posts, ["id"], ["created_utc"])
     talking = comments.filter(T.mentions("body", keyword)).select("submission_id")
     linked = flag_parents(single, talking, {}).withColumnRenamed("has_child", "has_keyword_comment")
     return linked.withColumn("mentions_keyword", T.mentions_any(list(fields), keyword))

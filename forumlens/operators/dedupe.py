@@ -15,24 +15,32 @@ from forumlens import fixed_values as V
 from forumlens.functions.text import flag
 
 
-def keep_first(df: DataFrame, key: list[str], order: list[str], keep_null_keys: bool = False) -> DataFrame:
+def keep_first(df: DataFrame, key: list[str], order: list[str], exempt: Column | None = None) -> DataFrame:
     """The first row of each key by ``order``; rows equal in all of it are decided by the rest of the row.
 
-    With ``keep_null_keys`` a row whose key holds a null is not a duplicate of anything.
+    Exempt rows are not copies of anything and all stay. They get a key of their own, the whole row, and
+    come back as often as they occurred, so the table is read and shuffled once.
     """
     rest = [c for c in df.columns if c not in key and c not in order]
+    if not order + rest:
+        return df.distinct()
     payload = F.struct(*[F.col(c) for c in order + rest])
 
-    def collapse(rows: DataFrame) -> DataFrame:
-        firsts = rows.groupBy(*key).agg(F.min(payload).alias("__first"))
-        return firsts.select(*[F.col(c) if c in key else F.col(f"__first.{c}").alias(c) for c in df.columns])
+    def columns(source: str) -> list[Column]:
+        return [F.col(c) if c in key else F.col(f"{source}.{c}").alias(c) for c in df.columns]
 
-    if not order + rest:
-        return df.distinct()
-    if not keep_null_keys:
-        return collapse(df)
-    null_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in key])
-    return collapse(df.filter(~null_key)).unionByName(df.filter(null_key))
+    if exempt is None:
+        return df.groupBy(*key).agg(F.min(payload).alias("__first")).select(*columns("__first"))
+    groups = df.groupBy(*key, F.when(exempt, payload).alias("__own")).agg(
+        F.min(F.when(~exempt, payload)).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    copies = F.when(F.col("__own").isNotNull(), F.col("__n")).otherwise(F.lit(1))
+    rows = groups.select(*key, F.coalesce("__own", "__first").alias("__row"),
+                         F.explode(F.sequence(F.lit(1).cast("bigint"), copies.cast("bigint"))).alias("__copy"))
+    return rows.select(*columns("__row"))
+
+
+def has_null(key: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in key])
 
 
 def drop_repeated_posts(df: DataFrame, order: list[str], author="author", thread="submission_id",
@@ -40,10 +48,9 @@ def drop_repeated_posts(df: DataFrame, order: list[str], author="author", thread
     """One copy per author, thread and raw text.
 
     A deleted author stands for many people, so such rows are never copies; an unknown author counts as
-    one author. The exempt rows stay where they are: they are not shuffled.
+    one author.
     """
-    exempt = flag(F.col(author) == V.DELETED)
-    return keep_first(df.filter(~exempt), [author, thread, body], order).unionByName(df.filter(exempt))
+    return keep_first(df, [author, thread, body], order, exempt=flag(F.col(author) == V.DELETED))
 
 
 def distinct_then_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -30,7 +30,7 @@ def e02(spark, sf_dir):
     """Matches once per month and id; rows without an id are all kept."""
     rows = X.cmt(spark, sf_dir).filter(T.mentions("body", B.KEYWORD)).select(
         "source_month", F.when(F.col("author").isNotNull(), F.col("id")).alias("id"), "created_utc", "body")
-    return D.keep_first(rows, ["source_month", "id"], ["created_utc"], keep_null_keys=True)
+    return D.keep_first(rows, ["source_month", "id"], ["created_utc"], exempt=D.has_null(["id"]))
 
 
 # rows that survive the account filter, then one copy per author, thread and raw text
