@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 
 from forumlens import fixed_values as V
 
-SPACE = r"[\s\x1c-\x1f]"
-NOT_SPACE = r"[^\s\x1c-\x1f]"
+# every white space character, spelled out: a plain class is much faster than a Unicode property
+SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[{SPACE_CLASS}]"
+NOT_SPACE = f"[^{SPACE_CLASS}]"
+PLAIN_NOT_SPACE = r"[!-~\x00-\x08\x0e-\x1b\x7f]"
+SPACE_CHARACTERS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 
@@ -41,10 +45,33 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
+def let(column: Column | str, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` looks at it.
+
+    Without it a chain of steps that each test and then change their input would contain the first step
+    many times over.
+    """
+    if isinstance(column, str):
+        return use(F.col(column))
+    return F.element_at(F.transform(F.array(column), use), 1)
+
+
+def only_if(column: Column | str, test, change) -> Column:
+    """Run a costly replacement only on text that can hold what it replaces; the tests read bytes."""
+    return let(column, lambda c: F.when(test(c), change(c)).otherwise(c))
+
+
 def mentions(column: Column | str, keyword: str = V.KEYWORD) -> Column:
-    """The keyword as a whole word in any case; null text does not mention it."""
-    pattern = rf"(?iu)(?<!{WORD})" + re.escape(keyword) + rf"(?!{WORD})"
-    return flag(_col(column).rlike(pattern))
+    """The keyword as a whole word in any case; null text does not mention it.
+
+    The neighbours are looked at behind the word, so a position without the word costs one comparison. A
+    plain search in the lower-case text goes first; i and s have further forms that it would miss.
+    """
+    word = re.escape(keyword)
+    pattern = rf"(?iu){word}(?<!{WORD}{word})(?!{WORD})"
+    if not keyword.isascii() or set(keyword.lower()) & set("is"):
+        return flag(_col(column).rlike(pattern))
+    return flag(let(column, lambda c: F.lower(c).contains(keyword.lower()) & c.rlike(pattern)))
 
 
 def mentions_any(columns: list[str], keyword: str = V.KEYWORD) -> Column:
@@ -58,7 +85,7 @@ def contains_keyword(column: Column | str, keyword: str = V.KEYWORD) -> Column:
 
 def strip(column: Column | str) -> Column:
     """White space off both ends."""
-    return F.regexp_replace(_col(column), rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(_col(column), F.lit(SPACE_CHARACTERS))
 
 
 def strip_id_prefix(column: Column | str, pattern: str = V.ID_PREFIX) -> Column:
@@ -81,20 +108,22 @@ def is_junk_title(column: Column | str, pattern: str = V.JUNK_TITLE) -> Column:
     )
     if unicode_pattern.endswith("$"):
         unicode_pattern = unicode_pattern[:-1] + r"\z"
-    return flag(_col(column).rlike("(?iuU)" + unicode_pattern))
+    return flag(_col(column).rlike("(?iu)" + unicode_pattern))
 
 
 def without_quotes(column: Column | str) -> Column:
     """Drop quoted lines. The ``d`` flag makes the line feed the only line end."""
-    return F.regexp_replace(_col(column), V.QUOTE_LINE.replace("(?m)", "(?md)"), "")
+    pattern = V.QUOTE_LINE.replace("(?m)", "(?md)")
+    return only_if(column, lambda c: c.contains(">") | c.contains("&gt;"), lambda c: F.regexp_replace(c, pattern, ""))
 
 
 def links_to_text(column: Column | str) -> Column:
-    return F.regexp_replace(_col(column), V.MARKDOWN_LINK, "$1")
+    return only_if(column, lambda c: c.contains("]("), lambda c: F.regexp_replace(c, V.MARKDOWN_LINK, "$1"))
 
 
 def without_urls(column: Column | str) -> Column:
-    return F.regexp_replace(_col(column), "(?U)" + V.URL.replace(r"\S", NOT_SPACE), "")
+    pattern = V.URL.replace(r"\S", NOT_SPACE)
+    return only_if(column, lambda c: c.contains("://") | c.contains("www."), lambda c: F.regexp_replace(c, pattern, ""))
 
 
 def without_zero_width(column: Column | str) -> Column:
@@ -103,8 +132,14 @@ def without_zero_width(column: Column | str) -> Column:
 
 def collapse_space(column: Column | str) -> Column:
     """Blanks to one, runs around a line feed to the line feed, ends stripped."""
-    blanks = F.regexp_replace(_col(column), r"[ \t]+", " ")
-    return strip(F.regexp_replace(blanks, rf"(?U){SPACE}*\n{SPACE}*", "\n"))
+    blanks = only_if(column, lambda c: c.contains("  ") | c.contains("\t"),
+                     lambda c: F.regexp_replace(c, r"[ \t]{2,}|\t", " "))
+
+    def lines(c: Column) -> Column:
+        stripped = F.transform(F.split(c, "\n", -1), strip)
+        return F.array_join(F.filter(stripped, lambda line: line != ""), "\n")
+
+    return let(blanks, lambda c: F.when(c.contains("\n"), lines(c)).otherwise(strip(c)))
 
 
 def _entity_names() -> tuple[dict, dict]:
@@ -176,11 +211,11 @@ def decode_entities(column: Column | str, full_table: bool = True) -> Column:
     Common ones are replaced. With ``full_table`` a text that holds any other reference takes the longer
     way over the whole table; both ways stay inside the JVM.
     """
-    c = _col(column)
-    common = reduce(lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])), COMMON_ENTITIES, c)
-    if not full_table:
-        return common
-    return F.when(c.rlike(RARE_ENTITY), _decode_every_entity(c)).otherwise(common)
+    def decode(c: Column) -> Column:
+        common = reduce(lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])), COMMON_ENTITIES, c)
+        return F.when(c.rlike(RARE_ENTITY), _decode_every_entity(c)).otherwise(common) if full_table else common
+
+    return only_if(column, lambda c: c.contains("&"), decode)
 
 
 def own_words(column: Column | str) -> Column:
@@ -204,7 +239,12 @@ def title_and_body(title: Column | str, body: Column | str) -> Column:
 
 
 def word_count(column: Column | str) -> Column:
-    return F.regexp_count(_col(column), F.lit(rf"(?U){NOT_SPACE}+"))
+    """Runs of characters that are not white space; plain text takes a class that its first test settles."""
+    def count(c: Column) -> Column:
+        return F.when(F.length(c) == F.octet_length(c), F.regexp_count(c, F.lit(PLAIN_NOT_SPACE + "++"))).otherwise(
+            F.regexp_count(c, F.lit(NOT_SPACE + "++")))
+
+    return let(column, count)
 
 
 def length_window(column: Column | str, low: int = V.MIN_WORDS, high: int = V.MAX_WORDS) -> Column:
@@ -217,7 +257,7 @@ def truncate(column: Column | str, limit: int = V.TEXT_MAX_CHARS) -> Column:
 
 def snippet(column: Column | str, limit: int = 160) -> Column:
     """One line of at most ``limit`` characters for a listing."""
-    return F.substring(F.regexp_replace(_col(column), rf"(?U){SPACE}+", " "), 1, limit)
+    return F.substring(F.regexp_replace(_col(column), f"{SPACE}+", " "), 1, limit)
 
 
 def ends_with_question(column: Column | str) -> Column:

@@ -18,7 +18,7 @@ from forumlens import fixed_values as V
 from forumlens.session import cut_lineage
 
 # at most this many single draws (rows x replicates); beyond it replicates are drawn as multinomials
-MAX_SINGLE_DRAWS = 10_000_000
+MAX_SINGLE_DRAWS = 5_000_000
 
 
 def count_cells(df: DataFrame, by: list[str], labels: list[str]) -> DataFrame:

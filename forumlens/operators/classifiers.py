@@ -46,7 +46,7 @@ def word_terms(text: Column) -> Column:
 
 def character_terms(text: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams inside words padded with one blank; a short word counts once as a whole."""
-    tokens = F.filter(F.split(strip(F.lower(text)), rf"(?U){SPACE}+"), lambda w: w != "")
+    tokens = F.filter(F.split(strip(F.lower(text)), f"{SPACE}+"), lambda w: w != "")
     padded = F.transform(tokens, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
     def grams(word: Column) -> Column:

@@ -45,9 +45,8 @@ def flair_columns(df: DataFrame, settings: Settings) -> DataFrame:
 
 
 def with_clean_text(df: DataFrame, source: str, out: str, settings: Settings) -> DataFrame:
-    """The cleaned text, computed once per row and in two steps, as the first is looked at several times."""
-    own = df.withColumn("__own", T.own_words(source))
-    return computed_once(own, out, T.readable("__own", settings.full_entities)).drop("__own")
+    """The cleaned text, computed once per row."""
+    return computed_once(df, out, T.clean_text(source, settings.full_entities))
 
 
 def clean_comments(comments: DataFrame, settings: Settings = Settings()) -> DataFrame:

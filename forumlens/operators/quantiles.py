@@ -11,17 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from forumlens.operators.ranking import attach
-from forumlens.session import small_side
+from forumlens.session import cut_lineage, small_side
 
 ACCURACY = 10_000
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: dict[str, float],
-                    accuracy: int = ACCURACY) -> DataFrame:
-    """One row per group with a column per entry of ``probabilities``; nulls are left out."""
+                    accuracy: int = ACCURACY, settle: bool = False) -> DataFrame:
+    """One row per group with a column per entry of ``probabilities``; nulls are left out.
+
+    The values are read twice. ``settle`` writes them once first, for values that are costly to compute, such
+    as the length of a text.
+    """
     keys = by or ["__all"]
     rows = df if by else df.withColumn("__all", F.lit(0))
     rows = rows.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    rows = cut_lineage(rows) if settle else rows
     names, probs = list(probabilities), list(probabilities.values())
     slack = 4.0 / accuracy
     low = [max(0.0, p - slack) for p in probs]

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 from forumlens import fixed_values as V
 from forumlens.operators.ranking import (
     alternate, attach, first_per_group, global_row_numbers, group_row_numbers, group_sizes, hash_rank)
-from forumlens.session import small_side
+from forumlens.session import cut_lineage, small_side
 
 FINGERPRINT_ROWS = 1_000_000
 
@@ -48,20 +48,33 @@ def allocate(sizes: DataFrame, strata: list[str], total: int, size: str = "strat
         "__rn", "__before", "__strata", "__all", "__share", "__cap", "__n", "__larger")
 
 
+def settled_ranks(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """Eligible rows with their hash rank, written once: sizes, cuts and the draw all read them again, and
+    whatever decided their eligibility, often a look at the text, is not repeated."""
+    return cut_lineage(rows.withColumn("rank", hash_rank(key, seed)))
+
+
 def stratified_sample(eligible: DataFrame, strata: list[str], total: int, parts: int = 2, key: str = "id",
                       seed: int = V.SEED, texts: DataFrame | None = None) -> DataFrame:
     """A sample spread evenly over the strata, dealt out to parts with a reading order inside each.
 
-    ``eligible`` is narrow. Its texts, if wanted, are looked up last and only for the chosen ids.
+    ``eligible`` is narrow. With ``texts``, a table of id and text, the texts are looked up last.
     """
-    ranked = eligible.withColumn("rank", hash_rank(key, seed))
-    plan = small_side(allocate(group_sizes(eligible, strata, "stratum_size"), strata, total))
+    ranked = settled_ranks(eligible, key, seed)
+    plan = small_side(allocate(group_sizes(ranked, strata, "stratum_size"), strata, total))
     chosen = first_per_group(ranked, strata, "rank", plan, "stratum_sampled", [key]).drop("__position")
     placed = alternate(attach(chosen, plan, strata), strata, "rank", parts, "part", [key])
     out = group_row_numbers(placed, ["part"], "rank", "order", [key]).drop("rank")
-    if texts is None:
-        return out
-    return out.join(texts, key, "left")
+    return out if texts is None else with_texts(out, texts, key)
+
+
+def with_texts(sample: DataFrame, texts: DataFrame, key: str = "id") -> DataFrame:
+    """The texts of a sample: the large table is cut down to the chosen ids before anything else.
+
+    The sample is settled first, so its size decides how the two are joined and it is not drawn twice.
+    """
+    chosen = small_side(sample)
+    return chosen.join(texts.join(chosen.select(key), key, "left_semi"), key, "left")
 
 
 def fingerprint(sample: DataFrame, key: str = "id", limit: int = FINGERPRINT_ROWS) -> DataFrame:
@@ -113,18 +126,18 @@ def two_level_quotas(sizes: DataFrame, outer: str, inner: str, inner_values: lis
 def quota_sample(rows: DataFrame, outer: str, inner: str, inner_values: list, total: int, key: str = "id",
                  seed: int = V.SEED) -> DataFrame:
     """Rows by hash order inside each cell of the two-level quotas; an error where a cell is short."""
-    quotas = two_level_quotas(group_sizes(rows, [outer, inner]), outer, inner, inner_values, total)
+    ranked = settled_ranks(rows, key, seed)
+    quotas = two_level_quotas(group_sizes(ranked, [outer, inner]), outer, inner, inner_values, total)
     where = F.concat_ws(" ", F.lit("not enough rows in"), outer, inner)
     checked = quotas.withColumn("quota", F.when(F.col("available") < F.col("quota"), F.raise_error(where).cast("bigint"))
                                 .otherwise(F.col("quota")))
-    ranked = rows.withColumn("rank", hash_rank(key, seed))
     return first_per_group(ranked, [outer, inner], "rank", small_side(checked.select(outer, inner, "quota")), "quota", [key]).drop("__position")
 
 
 def n_per_group(rows: DataFrame, by: list[str], n: int, key: str = "id", seed: int = V.SEED) -> DataFrame:
     """``n`` rows of each group in hash order."""
-    limits = group_sizes(rows, by, "__size").withColumn("__wanted", F.lit(n)).drop("__size")
-    ranked = rows.withColumn("rank", hash_rank(key, seed))
+    ranked = settled_ranks(rows, key, seed)
+    limits = group_sizes(ranked, by, "__size").withColumn("__wanted", F.lit(n)).drop("__size")
     return first_per_group(ranked, by, "rank", small_side(limits), "__wanted", [key]).withColumnRenamed("__position", "position")
 
 

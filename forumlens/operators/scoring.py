@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from forumlens import fixed_values as V
 from forumlens.functions.flags import argmax_label
 from forumlens.operators.ranking import attach
+from forumlens.operators.staging import computed_once
 
 Scorer = Callable[[list[str]], "object"]
 
@@ -44,8 +45,9 @@ def with_label(df: DataFrame, text: Column | str, skip: Column, make_scorer: Cal
     to be joined back.
     """
     t = F.col(text) if isinstance(text, str) else text
-    scored = df.withColumn("__p", probabilities_udf(make_scorer, classes)(F.when(~skip, t)))
-    named = scored.withColumns({f"{prefix}_p_{c}": F.col(f"__p.p_{c}") for c in classes}).drop("__p")
+    chosen = computed_once(df, "__text", F.when(~skip, t))
+    scored = chosen.withColumn("__p", probabilities_udf(make_scorer, classes)("__text"))
+    named = scored.withColumns({f"{prefix}_p_{c}": F.col(f"__p.p_{c}") for c in classes}).drop("__p", "__text")
     label = argmax_label({c: f"{prefix}_p_{c}" for c in classes})
     return named.withColumn(f"{prefix}_label", label).select(
         *df.columns, f"{prefix}_label", *[f"{prefix}_p_{c}" for c in classes])

@@ -12,6 +12,7 @@ from forumlens.operators import polls
 from forumlens.operators import profile as P
 from forumlens.operators.quantiles import exact_quantiles
 from forumlens.plans import book as B
+from forumlens.session import cut_lineage
 from forumlens.plans import d_survey as D
 from forumlens.plans import fixtures as X
 from forumlens.plans.f_joins import CLEAN, COMMENT_FUNNEL, FLAGGED, MONTHS, POST_FUNNEL, POSTS, SETTINGS, linked
@@ -230,7 +231,7 @@ def g26(spark, sf_dir):
 
 @add("g27_length_quantiles", X.oracle("cmt", "SELECT subreddit, round(quantile_cont(length(body), 0.5), 6) AS median, round(quantile_cont(length(body), 0.9), 6) AS q90, round(avg(CASE WHEN length(body) > 4000 THEN 1.0 ELSE 0 END), 6) AS cut_share FROM cmt GROUP BY 1"))
 def g27(spark, sf_dir):
-    lengths = X.cmt(spark, sf_dir).select("subreddit", F.length("body").alias("chars"))
+    lengths = cut_lineage(X.cmt(spark, sf_dir).select("subreddit", F.length("body").alias("chars")))
     cuts = exact_quantiles(lengths, ["subreddit"], "chars", {"median": 0.5, "q90": 0.9})
     over = lengths.groupBy("subreddit").agg(F.round(F.avg((F.col("chars") > V.TEXT_MAX_CHARS).cast("double")), 6).alias("cut_share"))
     return cuts.select("subreddit", F.round("median", 6).alias("median"), F.round("q90", 6).alias("q90")).join(over, "subreddit")

@@ -9,6 +9,7 @@ from forumlens.operators import dedupe, profile
 from forumlens.operators import ranking as R
 from forumlens.operators.quantiles import quartile_labels
 from forumlens.plans import book as B
+from forumlens.session import cut_lineage
 from forumlens.plans import d_survey as D
 from forumlens.plans import fixtures as X
 
@@ -28,7 +29,8 @@ def candidates(spark, sf_dir):
 
 
 def ranked(spark, sf_dir):
-    return candidates(spark, sf_dir).withColumn("rank", R.hash_rank("id"))
+    """Written once: the positions look at the rows twice, and the keyword search is not repeated."""
+    return cut_lineage(candidates(spark, sf_dir).withColumn("rank", R.hash_rank("id")))
 
 
 def cand_sql(body: str, *more) -> str:
@@ -57,7 +59,7 @@ def h03(spark, sf_dir):
 
 @add("h04_stratum_size", cand_sql("SELECT id, count(*) OVER (PARTITION BY subreddit, source_month) AS stratum_size FROM cand"))
 def h04(spark, sf_dir):
-    return R.with_group_sizes(candidates(spark, sf_dir), STRATA, "stratum_size").select("id", "stratum_size")
+    return R.with_group_sizes(ranked(spark, sf_dir), STRATA, "stratum_size").select("id", "stratum_size")
 
 
 @add("h05_quartile_bins", X.oracle("cmt", f"""
@@ -67,7 +69,7 @@ def h04(spark, sf_dir):
       FROM w, (SELECT min(words) AS q0, quantile_cont(words, 0.25) AS q1, quantile_cont(words, 0.5) AS q2, quantile_cont(words, 0.75) AS q3, max(words) AS q4 FROM w)) GROUP BY 1""",
     ("w", f"SELECT {B.sql_words('body')} AS words FROM cmt")))
 def h05(spark, sf_dir):
-    words = X.cmt(spark, sf_dir).select(T.word_count("body").alias("words"))
+    words = cut_lineage(X.cmt(spark, sf_dir).select(T.word_count("body").alias("words")))
     binned = quartile_labels(words, "words", "label", "words")
     return binned.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("words").alias("low"), F.max("words").alias("high"))
 

@@ -13,6 +13,8 @@ from forumlens.operators import sampling as S
 from forumlens.operators.quantiles import exact_quantiles
 from forumlens.plans import book as B
 from forumlens.plans import fixtures as X
+from forumlens.session import small_side
+from forumlens.sources.readers import rows_with_ids
 from forumlens.plans.h_windows import CAND, STRATA, cand_sql, candidates
 
 BOOK = B.Book()
@@ -30,12 +32,16 @@ SAMPLE = ("sample", """SELECT *, row_number() OVER (PARTITION BY part ORDER BY r
 DRAWN = (SIZES, CAP, PLAN, CHOSEN, SAMPLE)
 
 
-def drawn(spark, sf_dir, texts=False):
-    lookup = None
-    if texts:
-        cmt = X.cmt(spark, sf_dir).select("id", T.clean_text("body").alias("text"))
-        lookup = cmt.groupBy("id").agg(F.min("text").alias("text"))
-    return S.stratified_sample(candidates(spark, sf_dir), STRATA, TOTAL, texts=lookup)
+def drawn(spark, sf_dir):
+    return S.stratified_sample(candidates(spark, sf_dir), STRATA, TOTAL)
+
+
+def drawn_with_text(spark, sf_dir):
+    """The sample with its cleaned texts; copies of an id give one text."""
+    sample = small_side(drawn(spark, sf_dir))
+    raw = rows_with_ids(X.cmt(spark, sf_dir).select("id", "body"), sample)
+    texts = raw.select("id", T.clean_text("body").alias("text")).groupBy("id").agg(F.min("text").alias("text"))
+    return sample.join(texts, "id", "left")
 
 
 @add("i01_even_allocation", cand_sql("SELECT * FROM plan", *DRAWN[:3]))
@@ -51,7 +57,7 @@ def i02(spark, sf_dir):
 @add("i03_stratified_sample", cand_sql(f"""SELECT s.id, subreddit, source_month, part, "order", stratum_size, stratum_sampled, text
     FROM sample s JOIN (SELECT id, min({B.sql_clean('body')}) AS text FROM cmt GROUP BY 1) t ON s.id = t.id""", *DRAWN))
 def i03(spark, sf_dir):
-    return drawn(spark, sf_dir, texts=True).select("id", *STRATA, "part", "order", "stratum_size", "stratum_sampled", "text")
+    return drawn_with_text(spark, sf_dir).select("id", *STRATA, "part", "order", "stratum_size", "stratum_sampled", "text")
 
 
 @add("i04_sample_fingerprint", cand_sql("SELECT count(*) AS rows, sha256(string_agg(id, chr(10) ORDER BY id)) AS sha256 FROM sample", *DRAWN))
@@ -141,7 +147,7 @@ def i12(spark, sf_dir):
     FROM sample GROUP BY CUBE (source_month, subreddit)
     UNION ALL SELECT 'text length', 'All', count(*), round(quantile_cont(chars, 0.5), 6), round(quantile_cont(chars, 0.9), 6) FROM (SELECT length(min({B.sql_clean('body')})) AS chars FROM cmt WHERE id IN (SELECT id FROM sample) GROUP BY id)""", *DRAWN))
 def i13(spark, sf_dir):
-    sample = drawn(spark, sf_dir, texts=True)
+    sample = drawn_with_text(spark, sf_dir)
     months = P.crosstab_with_margins(sample, "source_month", "subreddit")
     lengths = sample.select(F.length("text").alias("chars"))
     cuts = exact_quantiles(lengths, [], "chars", {"median": 0.5, "q90": 0.9}).select(F.round("median", 6).alias("median"), F.round("q90", 6).alias("q90"))

@@ -16,8 +16,10 @@ from forumlens.operators import requests as Q
 from forumlens.operators import sampling
 from forumlens.operators import scoring as S
 from forumlens.operators.quantiles import exact_quantiles
+from forumlens.operators.staging import computed_once
 from forumlens.operators.threads import join_validated
 from forumlens.plans import book as B
+from forumlens.session import cut_lineage
 from forumlens.plans import fixtures as X
 from forumlens.plans.f_joins import CONTEXT, placed
 from forumlens.plans.i_sampling import WEIGHTED, folded, weighted
@@ -28,9 +30,9 @@ add = BOOK.add
 
 # --- classifiers -----------------------------------------------------------------------------------
 def labelled_texts(spark, sf_dir):
-    """Texts with their label and split; threads stay whole."""
+    """Texts with their label and split; threads stay whole. Written once, as fits and tests read them."""
     texts = X.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), "text")
-    return folded(spark, sf_dir).select("k", "id", "final", "split").join(texts, "k")
+    return cut_lineage(folded(spark, sf_dir).select("k", "id", "final", "split").join(texts, "k"))
 
 
 def train_and_test(spark, sf_dir, kind):
@@ -87,7 +89,7 @@ SCORED = (("texts", f"SELECT id, created_utc, CASE WHEN {B.sql_mentions('c')} TH
 
 def label_comments(rows):
     """Comments whose own words use the keyword are scored, the others get nulls."""
-    clean = rows.withColumn("body_clean", T.clean_text("body"))
+    clean = computed_once(rows, "body_clean", T.clean_text("body"))
     scored = S.with_label(clean, "body_clean", ~T.mentions("body_clean", B.KEYWORD), make_rule_scorer)
     return scored.select("id", "created_utc", "student_label", *[F.round(F.col(f"student_p_{c}").cast("double"), 6).alias(f"student_p_{c}") for c in V.CLASSES])
 
@@ -141,9 +143,9 @@ def k08(spark, sf_dir):
 @add("k09_request_lengths", X.oracle("thr_cmt thr_post", " UNION ALL ".join(f"SELECT '{f}' AS form, count(*) AS rows, round(quantile_cont(length({f}), 0.5), 6) AS median, CAST(max(length({f})) AS BIGINT) AS longest, count(*) FILTER (WHERE length(post) > 1000) AS cut_posts, count(*) FILTER (WHERE post = '') AS without_post FROM turns" for f in ("alone", "with_post")), *CONTEXT, TURNS))
 def k09(spark, sf_dir):
     forms = F.array(*[F.struct(F.lit(f).alias("form"), F.length(f).alias("chars")) for f in ("alone", "with_post")])
-    rows = turns(spark, sf_dir).select(F.inline(forms), "post")
+    rows = cut_lineage(turns(spark, sf_dir).select(F.inline(forms), F.length("post").alias("post_chars")))
     counts = rows.groupBy("form").agg(F.count(F.lit(1)).alias("rows"), F.max("chars").cast("bigint").alias("longest"),
-                                      F.count_if(F.length("post") > V.CONTEXT_MAX_CHARS).alias("cut_posts"), F.count_if(F.col("post") == "").alias("without_post"))
+                                      F.count_if(F.col("post_chars") > V.CONTEXT_MAX_CHARS).alias("cut_posts"), F.count_if(F.col("post_chars") == 0).alias("without_post"))
     return counts.join(exact_quantiles(rows, ["form"], "chars", {"median": 0.5}), "form").withColumn("median", F.round("median", 6))
 
 
