@@ -13,6 +13,7 @@ from forumlens.functions import text as T
 from forumlens.operators.dedupe import drop_repeated_posts, keep_first
 from forumlens.operators.staging import computed_once
 from forumlens.operators.threads import flag_parents
+from forumlens.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -147,20 +148,35 @@ def month_calendar(df: DataFrame, months: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(m,) for m in months], "month string")
 
 
+def keyword_summary(comments: DataFrame, keyword: str) -> DataFrame:
+    """What the funnels need, from one look at the texts: matches by month, id and thread, and the number of
+    all other rows per month. Rows without a match collapse before the shuffle."""
+    hit = T.mentions("body", keyword)
+    rows = comments.select(F.col("source_month").alias("month"), "id", "submission_id", hit.alias("hit"))
+    return rows.groupBy("month", "hit", F.when(F.col("hit"), F.col("id")).alias("id"),
+                        F.when(F.col("hit"), F.col("submission_id")).alias("submission_id")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def comment_month_funnel(comments: DataFrame, keyword: str, months: list[str] | None = None) -> DataFrame:
     """Per month: all comments, kept ones, their rate, and repeated ids among the matches.
 
-    Rows without an id are all kept. Only month, id and the match travel, never the text.
+    Rows without an id are all kept.
     """
-    hit = T.mentions("body", keyword)
-    rows = comments.select(F.col("source_month").alias("month"), "id", hit.alias("hit"))
-    per_month = rows.groupBy("month").agg(
-        F.count(F.lit(1)).alias("all_comments"),
-        F.count_if(F.col("hit")).alias("hits"),
-        F.count_distinct(F.when(F.col("hit"), F.col("id"))).alias("distinct_ids"),
-        F.count_if(F.col("hit") & F.col("id").isNull()).alias("without_id"))
+    return _month_rates(keyword_summary(comments, keyword), months)
+
+
+def _month_rates(summary: DataFrame, months: list[str] | None) -> DataFrame:
+    def rows(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    per_month = summary.groupBy("month").agg(
+        F.sum("n").alias("all_comments"),
+        rows(F.col("hit")).alias("hits"),
+        F.count_distinct("id").alias("distinct_ids"),
+        rows(F.col("hit") & F.col("id").isNull()).alias("without_id"))
     if months is not None:
-        per_month = month_calendar(comments, months).join(per_month, "month", "left").na.fill(
+        per_month = month_calendar(summary, months).join(per_month, "month", "left").na.fill(
             0, ["all_comments", "hits", "distinct_ids", "without_id"])
     kept = F.col("distinct_ids") + F.col("without_id")
     rate = F.coalesce(F.try_divide(kept.cast("double"), F.col("all_comments").cast("double")), F.lit(0.0))
@@ -173,8 +189,11 @@ def comment_month_funnel(comments: DataFrame, keyword: str, months: list[str] |
 def flagged_posts(posts: DataFrame, comments: DataFrame, keyword: str,
                   fields: tuple = ("title", "selftext")) -> DataFrame:
     """Posts once per id, with the two relevance flags."""
+    return _flag_posts(posts, comments.filter(T.mentions("body", keyword)).select("submission_id"), keyword, fields)
+
+
+def _flag_posts(posts: DataFrame, talking: DataFrame, keyword: str, fields: tuple = ("title", "selftext")) -> DataFrame:
     single = keep_first(posts, ["id"], ["created_utc"])
-    talking = comments.filter(T.mentions("body", keyword)).select("submission_id")
     linked = flag_parents(single, talking, {}).withColumnRenamed("has_child", "has_keyword_comment")
     return linked.withColumn("mentions_keyword", T.mentions_any(list(fields), keyword))
 
@@ -198,7 +217,7 @@ def relevance_types(flagged: DataFrame) -> DataFrame:
 
 
 def month_funnel(comments: DataFrame, posts: DataFrame, keyword: str, months: list[str] | None = None) -> DataFrame:
-    """The comment funnel with the post funnel of the same month next to it."""
-    left = comment_month_funnel(comments, keyword, months)
-    right = post_month_funnel(flagged_posts(posts, comments, keyword))
-    return left.join(right, "month", "left")
+    """The comment funnel with the post funnel of the same month next to it; the comments are read once."""
+    summary = cut_lineage(keyword_summary(comments, keyword))
+    talking = summary.filter(F.col("hit")).select("submission_id")
+    return _month_rates(summary, months).join(post_month_funnel(_flag_posts(posts, talking, keyword)), "month", "left")
