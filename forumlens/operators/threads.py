@@ -63,10 +63,15 @@ def with_post(comments: DataFrame, posts: DataFrame, text: str = "post", how: st
 
 
 def with_parent_comment(comments: DataFrame, text: str = "comment", out: str = "parent") -> DataFrame:
-    """The comment that each reply answers, from the same table."""
+    """The comment that each reply answers, from the same table.
+
+    A direct answer to a post has no parent here. It gets a key of its own that no id equals, as a null key
+    would send all of them to one task.
+    """
     parents = comments.select(F.col("id").alias("__pid"), F.col(text).alias(out))
-    child = comments.withColumn(
-        "__key", F.when(~F.col("is_top_level"), strip_id_prefix("parent_id", f"^{V.COMMENT_PREFIX}")))
+    child = comments.withColumn("__key", F.when(
+        ~F.col("is_top_level"), strip_id_prefix("parent_id", f"^{V.COMMENT_PREFIX}")
+    ).otherwise(F.concat(F.lit("none:"), F.col("id"))))
     joined = child.join(parents, F.col("__key") == F.col("__pid"), "left").drop("__pid", "__key")
     return joined.withColumn(out, strip(F.coalesce(F.col(out), F.lit(""))))
 

@@ -46,20 +46,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
+_OWN_FOLDER: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, or the checkpoint folder that the context already has.
 
-    Only a local-mode session without that setting gets a folder of its own: on a cluster a folder of
-    one machine would not survive the loss of that machine.
+    Only a local-mode session without either gets a folder of its own: on a cluster a folder of one machine
+    would not survive the loss of that machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="forumlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _OWN_FOLDER:
+        _OWN_FOLDER[application] = tempfile.mkdtemp(prefix="forumlens-")
+    return _OWN_FOLDER[application]
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
@@ -71,7 +75,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, so that a lost executor costs a file read and not a second full scan."""
     spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
     return df.checkpoint(eager=True)
 
