@@ -6,8 +6,6 @@ is partitioned. Small tables with one row per stratum are ordered as a whole; ro
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from forumlens import fixed_values as V
-from forumlens.functions import text as T
 from forumlens.operators import cleaning as C
 from forumlens.operators import threads as H
 from forumlens.plans import book as B

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from forumlens import fixed_values as V
 from forumlens.functions import flags as G
-from forumlens.functions import text as T
 from forumlens.operators import cleaning as C
 from forumlens.operators import polls
 from forumlens.operators import profile as P
@@ -19,7 +18,6 @@ from forumlens.plans.f_joins import CLEAN, COMMENT_FUNNEL, FLAGGED, MONTHS, POST
 
 BOOK = B.Book()
 add = BOOK.add
-FLAGGED_SQL = "cmt sub"
 STUDY_MONTHS = [m for m in MONTHS if not m.endswith("07")]
 
 

@@ -10,7 +10,6 @@ from forumlens.operators import ranking as R
 from forumlens.operators.quantiles import quartile_labels
 from forumlens.plans import book as B
 from forumlens.session import cut_lineage
-from forumlens.plans import d_survey as D
 from forumlens.plans import fixtures as X
 
 BOOK = B.Book()

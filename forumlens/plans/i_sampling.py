@@ -15,7 +15,7 @@ from forumlens.plans import book as B
 from forumlens.plans import fixtures as X
 from forumlens.session import small_side
 from forumlens.sources.readers import rows_with_ids
-from forumlens.plans.h_windows import CAND, STRATA, cand_sql, candidates
+from forumlens.plans.h_windows import STRATA, cand_sql, candidates
 
 BOOK = B.Book()
 add = BOOK.add

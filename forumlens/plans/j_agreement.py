@@ -6,10 +6,8 @@ from pyspark.sql import functions as F
 
 from forumlens import fixed_values as V
 from forumlens.functions import flags as G
-from forumlens.functions import text as T
 from forumlens.operators import agreement as A
 from forumlens.operators import bootstrap as Z
-from forumlens.operators import profile as P
 from forumlens.operators import ranking as R
 from forumlens.operators.quantiles import quartile_labels
 from forumlens.plans import book as B
@@ -151,10 +149,6 @@ def j07(spark, sf_dir):
     return Z.as_rows(wide, [], list(columns))
 
 
-def _paired(items: dict) -> dict:
-    return items
-
-
 @add("j08_paired_difference", sql("""SELECT p.measure, round(any_value(p.value), 6) AS value, round(quantile_cont(q.value, 0.025), 6) AS ci_low, round(quantile_cont(q.value, 0.975), 6) AS ci_high,
       quantile_cont(q.value, 0.025) > 0 OR quantile_cont(q.value, 0.975) < 0 AS excludes_zero FROM point p JOIN replicates q ON p.measure = q.measure GROUP BY 1""",
     *boot_sql("rate", ["final", "model_a", "model_b"]),

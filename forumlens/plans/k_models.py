@@ -11,7 +11,6 @@ from forumlens import fixed_values as V
 from forumlens.functions import flags as G
 from forumlens.functions import text as T
 from forumlens.operators import classifiers as M
-from forumlens.operators import dedupe
 from forumlens.operators import requests as Q
 from forumlens.operators import sampling
 from forumlens.operators import scoring as S

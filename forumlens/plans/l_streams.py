@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from forumlens import session
-from forumlens.functions import text as T
 from forumlens.plans import book as B
 from forumlens.plans import fixtures as X
 from forumlens.plans.k_models import SCORED, label_comments

@@ -6,7 +6,7 @@ from forumlens.operators import dedupe as D
 from forumlens.operators import threads as H
 from forumlens.operators.profile import MissingColumnsError, QualityError, require_columns, require_no_violations, violations
 from forumlens.plans import fixtures as X
-from forumlens.plans.f_joins import MONTHS, SETTINGS
+from forumlens.plans.f_joins import MONTHS
 
 COMMENT = ("id string, submission_id string, parent_id string, created_utc long, source_month string, subreddit string, "
            "author string, author_flair_text string, body string, score int, controversiality int, distinguished string, "

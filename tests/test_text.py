@@ -3,7 +3,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from forumlens import fixed_values as V
 from forumlens.functions import flags as G
