@@ -44,15 +44,19 @@ def bucket(rank: str, digits: int = DIGITS) -> Column:
 
 def group_row_numbers(df: DataFrame, by: list[str], rank: str, out: str, ties: list[str] | None = None,
                       digits: int = DIGITS) -> DataFrame:
-    """1, 2, 3 and so on by ``rank`` inside each group of ``by`` (the whole table when ``by`` is empty)."""
+    """1, 2, 3 and so on by ``rank`` inside each group of ``by`` (the whole table when ``by`` is empty).
+
+    Group and bucket are one struct, in which nulls are equal, so the join and the window share one shuffle.
+    """
     ties = ties or []
-    rows = df.withColumn("__bucket", bucket(rank, digits))
-    counts = rows.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = W.partitionBy(*by).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(*by, "__bucket", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
-    inside = W.partitionBy(*by, "__bucket").orderBy(rank, *ties)
-    joined = attach(rows, starts, [*by, "__bucket"])
-    return joined.withColumn(out, F.col("__start") + F.row_number().over(inside)).drop("__bucket", "__start")
+    rows = df.withColumn("__cell", F.struct(*by, bucket(rank, digits).alias("__bucket")))
+    counts = rows.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = (W.partitionBy(*[F.col("__cell").getField(c) for c in by])
+               .orderBy(F.col("__cell.__bucket")).rowsBetween(W.unboundedPreceding, -1))
+    starts = counts.select("__cell", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    inside = W.partitionBy("__cell").orderBy(rank, *ties)
+    joined = rows.join(starts, "__cell")
+    return joined.withColumn(out, F.col("__start") + F.row_number().over(inside)).select(*df.columns, out)
 
 
 def group_sizes(df: DataFrame, by: list[str], out: str = "n") -> DataFrame:

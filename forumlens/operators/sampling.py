@@ -61,8 +61,9 @@ def stratified_sample(eligible: DataFrame, strata: list[str], total: int, parts:
     ranked = settled_ranks(eligible, key, seed)
     plan = small_side(allocate(group_sizes(ranked, strata, "stratum_size"), strata, total))
     chosen = first_per_group(ranked, strata, "rank", plan, "stratum_sampled", [key]).drop("__position")
-    placed = alternate(attach(chosen, plan, strata), strata, "rank", parts, "part", [key])
-    out = group_row_numbers(placed, ["part"], "rank", "order", [key]).drop("rank")
+    # the sample is small and looked at several times from here on
+    placed = alternate(cut_lineage(attach(chosen, plan, strata)), strata, "rank", parts, "part", [key])
+    out = group_row_numbers(cut_lineage(placed), ["part"], "rank", "order", [key]).drop("rank")
     return out if texts is None else with_texts(out, texts, key)
 
 
@@ -155,7 +156,7 @@ def grouped_folds(rows: DataFrame, thread: str, strata: list[str], folds: int =
     cells = rows.groupBy(thread, stratum.alias("__stratum")).agg(F.count(F.lit(1)).alias("__n"))
     leading = cells.groupBy(thread).agg(F.min(F.struct((-F.col("__n")).alias("n"), "__stratum")).alias("__lead"))
     threads = leading.select(thread, F.col("__lead.__stratum").alias("__stratum"), hash_rank(thread, seed).alias("__rank"))
-    dealt = global_row_numbers(threads, ["__stratum"], "__rank", "__row", [thread])
+    dealt = global_row_numbers(cut_lineage(threads), ["__stratum"], "__rank", "__row", [thread])
     fold = dealt.select(thread, F.pmod(F.col("__row") - 1, F.lit(folds)).cast("int").alias(out))
     return rows.join(fold, thread)
 

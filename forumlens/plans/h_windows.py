@@ -46,7 +46,7 @@ _PARTS = ("parts", "SELECT *, (row_number() OVER (ORDER BY subreddit, source_mon
 
 @add("h02_order_in_part", cand_sql("SELECT id, part, row_number() OVER (PARTITION BY part ORDER BY rank) AS \"order\" FROM parts", _PARTS))
 def h02(spark, sf_dir):
-    parts = R.alternate(ranked(spark, sf_dir), STRATA, "rank", 2, "part", ["id"])
+    parts = cut_lineage(R.alternate(ranked(spark, sf_dir), STRATA, "rank", 2, "part", ["id"]))
     return R.group_row_numbers(parts, ["part"], "rank", "order", ["id"]).select("id", "part", "order")
 
 
