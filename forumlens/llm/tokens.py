@@ -9,7 +9,7 @@ How one state can know the merges: the tokens of a prefix end in exactly one las
 neighbour of the last token before it (two tokens are valid neighbours if the merges of their joint text give just
 these two). So it suffices to remember, for each place in the word from which a longer token may still start, the
 vocabulary trie node reached since, the last token at that place, and the token count there relative to now. Those are
-finitely many. States and transitions are compiled when first needed and kept, up to ``MAX_STATES`` of them; beyond,
+finitely many. States and transitions are compiled when first needed and kept, up to ``MAX_KEPT`` of them; beyond,
 the machine is emptied and compiled anew, so memory is bounded for any input.
 
 Whole texts are read in chunks. At some cuts between two characters the machine is in one known state whatever came
@@ -34,7 +34,8 @@ from pyspark.sql.types import LongType, StructField
 
 from forumlens.llm.common import BOOK, append_from_texts, table
 
-MAX_STATES = 150_000
+MAX_KEPT = 1_000_000      # states, transitions and remembered pairs of tokens
+FEW_TOKENS = 64
 CHUNK_CHARS = 1 << 16
 LIMIT = 1024
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")    # fixed values of the pre-tokenizer, behind an apostrophe
@@ -92,34 +93,60 @@ class Machine:
                     self.token.append(None)
                 node = self.child[node][b]
             self.token[node] = i
+        self.tokens_in = self._tokens_below()
         self.neighbours: dict[tuple[int, int], bool] = {}
+        self.alike: dict[tuple[int, int], int | None] = {}
+        self.first_with: dict = {}
         self.kinds: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
         self.states: dict = {}
+        self.steps = 0
         self.neighbours.clear()
+        self.alike.clear()
+        self.first_with.clear()
         self.start = self.state(("begin", None, None))
 
+    def _tokens_below(self) -> list[tuple[int, ...] | None]:
+        """The tokens that end below each trie node; None where they are many."""
+        below: list = [()] * len(self.child)
+        for node in range(len(self.child) - 1, -1, -1):  # children have higher numbers
+            found: list | None = []
+            for down in self.child[node].values():
+                if below[down] is None or len(found) + len(below[down]) >= FEW_TOKENS:
+                    found = None
+                    break
+                found += [*below[down], *([] if self.token[down] is None else [self.token[down]])]
+            below[node] = found if found is None else tuple(found)
+        return below
+
+    def stand_in(self, node: int, last: int) -> int | None:
+        """A token that has the same valid neighbours below a node as ``last``; None if it has none there.
+        States that differ in such tokens only are one state."""
+        tokens = self.tokens_in[node]
+        if tokens is None or last < 0:
+            return last
+        key = (node, last)
+        if key not in self.alike:
+            fitting = tuple(t for t in tokens if self.valid(last, t))
+            self.alike[key] = self.first_with.setdefault((node, fitting), last) if fitting else None
+        return self.alike[key]
+
     # --- merges of one word, byte by byte -----------------------------------------------------------
 
     def valid(self, left: int, right: int) -> bool:
         """Whether the merges of the joint text of two tokens give these two tokens: undo the later merge of both
         along their seam, and look whether a pair over the seam would have been merged before."""
-        key = (left, right)
-        known = self.neighbours.get(key)
-        if known is not None:
-            return known
-        limit, result = 1 << 40, True
+        limit = 1 << 40
         a, b = left, right
         while True:
             over = self.rank.get((a, b))
             if over and over[0] < limit:
-                result = False
-                break
+                return False
             down_a, down_b = self.split.get(a), self.split.get(b)
             if down_a is None and down_b is None:
-                break
+                return True
             rank_a = self.rank[down_a][0] if down_a else -1
             rank_b = self.rank[down_b][0] if down_b else -1
             if rank_a > rank_b:
@@ -128,8 +155,13 @@ class Machine:
             else:
                 # the right token was finished last; a pair over the seam of the same rank stands left of it
                 limit, b = rank_b + 1, down_b[0]
-        self.neighbours[key] = result
-        return result
+
+    def fits(self, left: int, right: int) -> bool:
+        key = (left, right)
+        known = self.neighbours.get(key)
+        if known is None:
+            known = self.neighbours[key] = self.valid(left, right)
+        return known
 
     def feed(self, word, b: int):
         """One more byte of a word. ``word`` is None (no byte yet) or a tuple of (trie node, last token before that
@@ -142,10 +174,15 @@ class Machine:
                 continue
             alive.append((down, last, relative))
             token = self.token[down]
-            if token is not None and found is None and (last < 0 or self.valid(last, token)):
+            if token is not None and found is None and (last < 0 or self.fits(last, token)):
                 found = (token, relative + 1)  # places come in order, so this is the longest; only one is valid
         token, added = found
-        kept = [(node, last, relative - added) for node, last, relative in alive if self.child[node]]
+        kept = []
+        for node, last, relative in alive:
+            if self.child[node]:
+                last = self.stand_in(node, last)
+                if last is not None:
+                    kept.append((node, last, relative - added))
         return (*kept, (0, token, 0)), added
 
     def feed_text(self, word, char: str):
@@ -237,7 +274,8 @@ class Machine:
             step = state.to.get(char)
             if step is None:
                 key, added = self.after(state.key, char)
-                if len(self.states) >= MAX_STATES:
+                self.steps += 1
+                if self.steps + len(self.states) + len(self.alike) + len(self.neighbours) > MAX_KEPT:
                     self.clear()
                 step = state.to[char] = (self.state(key), added)
             state, added = step
