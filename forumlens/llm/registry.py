@@ -6,7 +6,7 @@ from importlib import import_module
 
 from forumlens.llm.common import BOOK
 
-MODULES = ["pieces", "rules", "tokens", "neardup", "language", "quality", "urls", "sharding"]
+MODULES = ["pieces", "rules", "tokens", "neardup", "language", "quality", "urls", "sharding", "pii"]
 
 
 def _filled():
