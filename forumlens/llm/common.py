@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -69,16 +69,19 @@ def append_from_texts(df: DataFrame, text: str, fields: Sequence[StructField],
     """
     names = [f.name for f in fields]
     kept = [c for c in without(df, names) if keep is None or c in keep]
-    source = df.select(*[col(c) for c in kept], col(text).cast("string").alias("__text"))
-    schema = StructType([source.schema[c] for c in kept] + list(fields))
     width = len(kept)
+    if text in kept and df.schema[text].dataType == StringType():  # the text goes through once
+        source, place = df.select(*[col(c) for c in kept]), kept.index(text)
+    else:
+        source, place = df.select(*[col(c) for c in kept], col(text).cast("string").alias("__text")), width
+    schema = StructType([source.schema[c] for c in kept] + list(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         kinds = [to_arrow_type(f.dataType) for f in fields]
         for batch in batches:
-            found = compute(batch.column(width).to_pylist())
+            found = compute(batch.column(place).to_pylist())
             arrays = [a if isinstance(a, pa.Array) else pa.array(a, kind) for a, kind in zip(found, kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(width)] + arrays, kept + names)
 

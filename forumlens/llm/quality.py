@@ -34,7 +34,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, StructField
 
 from forumlens.llm.common import BOOK, append_from_texts, col, hash_sample, id_fold, table
 from forumlens.session import small_side
@@ -208,19 +208,21 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
 
 def good_rows(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score reaches the threshold, with their own columns."""
-    marked = score(docs.withColumn("__row", F.struct(*[col(c) for c in docs.columns])), model, text, threshold, ["__row"])
-    return marked.filter("predicted = 1").select("__row.*")
+    marked = append_from_texts(docs, text, [StructField("__good", BooleanType())],
+                               lambda texts: [(scores(texts, model) >= threshold).tolist()])
+    return marked.filter("__good").drop("__good")
 
 
-def learn(spark, sf_dir: str) -> Model:
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """The production model: labels and corpus outside fold 2 of 4."""
     inside = id_fold("doc_id", 4) != 2
-    return fit(table(spark, sf_dir, "documents").filter(inside), table(spark, sf_dir, "labels").filter(inside))
+    return fit(docs.filter(inside), labels.filter(inside))
 
 
 @BOOK.add("op8_positive_unlabelled_quality")
 def positive_unlabelled_quality(spark, sf_dir):
     """Quality of every document, learned from labels outside fold 2 of 4."""
-    model = learn(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select("doc_id", (id_fold("doc_id", 4) == 2).alias("held_out"), "text")
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs, table(spark, sf_dir, "labels"))
+    docs = docs.select("doc_id", (id_fold("doc_id", 4) == 2).alias("held_out"), "text")
     return score(docs, model, keep=["doc_id", "held_out"])

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from importlib import import_module
 
+import corpus_pipeline
+
 from forumlens.llm.common import BOOK
 
-MODULES = ["pieces", "rules", "tokens", "neardup", "language", "quality", "urls", "sharding", "pii"]
+MODULES = ["pieces", "rules", "tokens", "neardup", "language", "quality", "urls", "sharding", "pii", "decontamination"]
 
 
 def _filled():
@@ -16,8 +18,9 @@ def _filled():
 
 
 def queries() -> dict:
-    return dict(_filled().queries)
+    return dict(_filled().queries) | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return dict(_filled().sql)
+    extra = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return dict(_filled().sql) | extra

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField
 
-from forumlens.llm.common import BOOK, append_from_texts, table
+from forumlens.llm.common import BOOK, append_from_texts, col, table
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -142,7 +142,7 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, ba
 
 def passing(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The rows that the rules keep, with their own columns only."""
-    marked = judge(docs.withColumn("__row", F.struct("*")), text, ["__row"], **limits)
+    marked = judge(docs.select(F.struct("*").alias("__row"), col(text).alias("__content")), "__content", ["__row"], **limits)
     return marked.filter("kept").select("__row.*")
 
 
