@@ -16,7 +16,7 @@ from forumlens.plans.i_sampling import WEIGHTED, folded, FOLDS, weighted
 
 BOOK = B.Book()
 add = BOOK.add
-CLASSES, N_BOOT = V.CLASSES, V.N_BOOT
+CLASSES = V.CLASSES
 COUNTS = A.Counts()
 
 
@@ -113,25 +113,42 @@ def j06(spark, sf_dir):
 
 
 # --- bootstrap -------------------------------------------------------------------------------------
-def boot_sql(source: str, labels: list[str], by: list[str] | None = None) -> tuple:
-    """Tables ``redrawn``: the labels of every drawn row, with its replicate."""
+def left_out_sql(source: str, labels: list[str], by: list[str] | None = None) -> tuple:
+    """Tables ``cells``: how many rows each combination of labels has; ``left_out``: all rows but one of a cell."""
     by = by or []
     keys = "".join(f"{c}, " for c in by)
     part = f"PARTITION BY {', '.join(by)}" if by else ""
     same = "".join(f" AND n.{c} = d.{c}" for c in by)
     return (
-        ("numbered", f"SELECT {keys}{', '.join(labels)}, row_number() OVER ({part} ORDER BY {', '.join(labels)}) - 1 AS idx FROM {source}"),
-        ("sizes", f"SELECT {keys}count(*) AS size FROM {source} {'GROUP BY ' + ', '.join(by) if by else ''}"),
-        ("drawn0", f"SELECT {keys}size, replicate, unnest(range(size)) AS i FROM (SELECT *, unnest(range({N_BOOT})) AS replicate FROM sizes)"),
-        ("drawn", f"SELECT {keys}replicate, CAST('0x' || substr(sha256('42:' || replicate || ':' || i), 1, 15) AS BIGINT) % size AS idx FROM drawn0"),
-        ("redrawn", f"SELECT d.replicate, n.* FROM drawn d JOIN numbered n ON n.idx = d.idx{same}"))
+        ("numbered", f"SELECT {keys}{', '.join(labels)}, dense_rank() OVER ({part} ORDER BY {', '.join(labels)}) AS cell, "
+                     f"row_number() OVER (PARTITION BY {keys}{', '.join(labels)}) AS place FROM {source}"),
+        ("cells", f"SELECT {keys}cell AS replicate, count(*) AS times FROM numbered GROUP BY {keys}cell"),
+        ("left_out", f"SELECT d.replicate, n.* FROM cells d JOIN numbered n ON NOT (n.cell = d.replicate AND n.place = 1){same}"))
 
 
-def interval_sql(point: str, replicates: str, keys: list[str]) -> str:
-    k = ", ".join(f"p.{c}" for c in keys)
-    on = " AND ".join(f"p.{c} = q.{c}" for c in keys)
-    return (f"SELECT {k}, round(any_value(p.value), 6) AS value, round(quantile_cont(q.value, 0.025), 6) AS ci_low, "
-            f"round(quantile_cont(q.value, 0.975), 6) AS ci_high FROM {point} p JOIN {replicates} q ON {on} GROUP BY {k}")
+def error_sql(replicates: str, keys: list[str], by: list[str] | None = None, values: tuple = ("value",)) -> str:
+    """The jackknife standard errors of the replicates, one row per ``keys``."""
+    by = by or []
+    k = ", ".join(f"q.{c}" for c in keys)
+    on = "".join(f" AND q.{c} = d.{c}" for c in by)
+    inner = ", ".join(f"q.{v}, sum(q.{v} * d.times) OVER w / sum(d.times) FILTER (WHERE q.{v} IS NOT NULL) OVER w AS mean_{v}" for v in values)
+    outer = ", ".join(f"sqrt((sum(times) - 1.0) / sum(times) * sum(times * ({v} - mean_{v}) * ({v} - mean_{v}))) AS {v}_se" for v in values)
+    plain = ", ".join(keys)
+    return (f"SELECT {plain}, {outer} FROM (SELECT {k}, d.times, {inner} FROM {replicates} q JOIN cells d ON q.replicate = d.replicate{on} "
+            f"WINDOW w AS (PARTITION BY {k})) GROUP BY {plain}")
+
+
+def interval_sql(point: str, errors: str, keys: list[str], more: str = "") -> str:
+    """Values and errors; both ends of the interval must fit the error."""
+    k, on = ", ".join(f"p.{c}" for c in keys), " AND ".join(f"p.{c} = e.{c}" for c in keys)
+    return f"SELECT {k}, round(p.value, 6) AS value, round(e.value_se, 6) AS se, true AS ci_fits{more} FROM {point} p JOIN {errors} e ON {on}"
+
+
+CHECKED = ("value", "se", "ci_fits")  # the ends themselves are random draws
+
+
+def fits(name: str):
+    return Z.ends_fit(F.col(name), F.col(f"{name}_low"), F.col(f"{name}_high"), F.col(f"{name}_se"))
 
 
 def agreement_statistics(columns):
@@ -140,23 +157,24 @@ def agreement_statistics(columns):
     return statistics
 
 
-@add("j07_bootstrap_intervals", sql(interval_sql("point", "replicates", ["measure"]), PAIRS, *boot_sql("pairs", ["label_1", "label_2"]),
+@add("j07_bootstrap_intervals", sql(interval_sql("point", "errors", ["measure"]), PAIRS, *left_out_sql("pairs", ["label_1", "label_2"]),
                                     ("c", conf_sql("pairs", "label_1", "label_2")), ("point", long_sql("c", [], SET)),
-                                    ("rc", conf_sql("redrawn", "label_1", "label_2", "replicate")), ("replicates", long_sql("rc", ["replicate"], SET))))
+                                    ("rc", conf_sql("left_out", "label_1", "label_2", "replicate")), ("replicates", long_sql("rc", ["replicate"], SET)),
+                                    ("errors", error_sql("replicates", ["measure"]))))
 def j07(spark, sf_dir):
     columns = COUNTS.agreement_set()
     wide = Z.with_intervals(pairs(spark, sf_dir), [], ["label_1", "label_2"], agreement_statistics(columns))
-    return Z.as_rows(wide, [], list(columns))
+    return Z.as_rows(wide, [], list(columns)).select("measure", *CHECKED)
 
 
-@add("j08_paired_difference", sql("""SELECT p.measure, round(any_value(p.value), 6) AS value, round(quantile_cont(q.value, 0.025), 6) AS ci_low, round(quantile_cont(q.value, 0.975), 6) AS ci_high,
-      quantile_cont(q.value, 0.025) > 0 OR quantile_cont(q.value, 0.975) < 0 AS excludes_zero FROM point p JOIN replicates q ON p.measure = q.measure GROUP BY 1""",
-    *boot_sql("rate", ["final", "model_a", "model_b"]),
+@add("j08_paired_difference", sql(interval_sql("point", "errors", ["measure"], ", abs(p.value) > 1.959964 * e.value_se AS excludes_zero"),
+    *left_out_sql("rate", ["final", "model_a", "model_b"]),
     ("pa", long_sql(f"({conf_sql('rate', 'final', 'model_a')})", [], SCORES)), ("pb", long_sql(f"({conf_sql('rate', 'final', 'model_b')})", [], SCORES)),
     ("point", "SELECT pa.measure, pb.value - pa.value AS value FROM pa JOIN pb ON pa.measure = pb.measure"),
-    ("qa", long_sql(f"({conf_sql('redrawn', 'final', 'model_a', 'replicate')})", ["replicate"], SCORES)),
-    ("qb", long_sql(f"({conf_sql('redrawn', 'final', 'model_b', 'replicate')})", ["replicate"], SCORES)),
-    ("replicates", "SELECT qa.measure, qa.replicate, qb.value - qa.value AS value FROM qa JOIN qb ON qa.measure = qb.measure AND qa.replicate = qb.replicate")))
+    ("qa", long_sql(f"({conf_sql('left_out', 'final', 'model_a', 'replicate')})", ["replicate"], SCORES)),
+    ("qb", long_sql(f"({conf_sql('left_out', 'final', 'model_b', 'replicate')})", ["replicate"], SCORES)),
+    ("replicates", "SELECT qa.measure, qa.replicate, qb.value - qa.value AS value FROM qa JOIN qb ON qa.measure = qb.measure AND qa.replicate = qb.replicate"),
+    ("errors", error_sql("replicates", ["measure"]))))
 def j08(spark, sf_dir):
     """The same resamples for both models: cells of (truth, first, second) are drawn together."""
     first, second = A.Counts(prefix="a_"), A.Counts(prefix="b_")
@@ -168,7 +186,8 @@ def j08(spark, sf_dir):
 
     names = list(first.scores())
     wide = Z.with_intervals(X.rate(spark, sf_dir), [], ["final", "model_a", "model_b"], statistics)
-    return Z.as_rows(wide, [], names).withColumn("excludes_zero", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
+    excludes = (F.col("ci_low") > 0) | (F.col("ci_high") < 0)
+    return Z.as_rows(wide, [], names).select("measure", *CHECKED, excludes.alias("excludes_zero"))
 
 
 _Q = "(SELECT min(n_chars) AS q0, quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.5) AS q2, quantile_cont(n_chars, 0.75) AS q3, max(n_chars) AS q4 FROM pairs)"
@@ -179,16 +198,17 @@ GROUPED = ("grouped", f"""SELECT 'grp' AS "grouping", grp AS gvalue, label_1, la
 TWO = {"agreement": ACC, "cohen_kappa": KAPPA}
 
 
-@add("j09_agreement_in_groups", sql(interval_sql("point", "replicates", ['"grouping"', "gvalue", "measure"]), PAIRS, GROUPED,
-                                    *boot_sql("grouped", ["label_1", "label_2"], ['"grouping"', "gvalue"]),
+@add("j09_agreement_in_groups", sql(interval_sql("point", "errors", ['"grouping"', "gvalue", "measure"]), PAIRS, GROUPED,
+                                    *left_out_sql("grouped", ["label_1", "label_2"], ['"grouping"', "gvalue"]),
                                     ("point", long_sql(f"({conf_sql('grouped', 'label_1', 'label_2', '''grouping, gvalue'''.replace('grouping', chr(34) + 'grouping' + chr(34)))})", ['"grouping"', "gvalue"], TWO)),
-                                    ("replicates", long_sql(f"({conf_sql('redrawn', 'label_1', 'label_2', chr(34) + 'grouping' + chr(34) + ', gvalue, replicate')})", ['"grouping"', "gvalue", "replicate"], TWO))))
+                                    ("replicates", long_sql(f"({conf_sql('left_out', 'label_1', 'label_2', chr(34) + 'grouping' + chr(34) + ', gvalue, replicate')})", ['"grouping"', "gvalue", "replicate"], TWO)),
+                                    ("errors", error_sql("replicates", ['"grouping"', "gvalue", "measure"], ['"grouping"', "gvalue"]))))
 def j09(spark, sf_dir):
     rows = quartile_labels(pairs(spark, sf_dir), "n_chars", "length", "characters")
     long = A.unpivot_groups(rows, ["grp", "term", "length"], ["label_1", "label_2"]).withColumnRenamed("value", "gvalue")
     columns = {n: c for n, c in COUNTS.agreement_set().items() if n in TWO}
     wide = Z.with_intervals(long, ["grouping", "gvalue"], ["label_1", "label_2"], agreement_statistics(columns))
-    return Z.as_rows(wide, ["grouping", "gvalue"], list(columns))
+    return Z.as_rows(wide, ["grouping", "gvalue"], list(columns)).select("grouping", "gvalue", "measure", *CHECKED)
 
 
 # --- evaluation ------------------------------------------------------------------------------------
@@ -338,10 +358,11 @@ def share_sql(source: str, by: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
 
-@add("j25_shares_and_gaps", sql("""SELECT p.grp, p.source, p.measure, any_value(p.n) AS n, round(any_value(p.value), 6) AS value, round(quantile_cont(q.value, 0.025), 6) AS low, round(quantile_cont(q.value, 0.975), 6) AS high,
-      round(any_value(p.gap), 6) AS gap, round(quantile_cont(q.gap, 0.025), 6) AS gap_low, round(quantile_cont(q.gap, 0.975), 6) AS gap_high
-    FROM point p JOIN replicates q ON p.grp = q.grp AND p.source = q.source AND p.measure = q.measure GROUP BY 1, 2, 3""",
-    *boot_sql("rate", SOURCES, ["grp"]), ("point", share_sql("rate", ["grp"])), ("replicates", share_sql("redrawn", ["grp", "replicate"]))))
+@add("j25_shares_and_gaps", sql("""SELECT p.grp, p.source, p.measure, p.n, round(p.value, 6) AS value, round(e.value_se, 6) AS se, true AS fits,
+      round(p.gap, 6) AS gap, round(e.gap_se, 6) AS gap_se, true AS gap_fits
+    FROM point p JOIN errors e ON p.grp = e.grp AND p.source = e.source AND p.measure = e.measure""",
+    *left_out_sql("rate", SOURCES, ["grp"]), ("point", share_sql("rate", ["grp"])), ("replicates", share_sql("left_out", ["grp", "replicate"])),
+    ("errors", error_sql("replicates", ["grp", "source", "measure"], ["grp"], ("value", "gap")))))
 def j25(spark, sf_dir):
     def statistics(cells, by, weight):
         wide = cells.groupBy(*by).agg(F.sum(weight).alias("rows"), *share_columns(weight))
@@ -352,8 +373,8 @@ def j25(spark, sf_dir):
     r = lambda c: F.round(c, 6)
     cells = F.array(*[F.struct(
         F.lit(s).alias("source"), F.lit(m).alias("measure"), F.col("rows").cast("bigint").alias("n"),
-        r(f"{s}_{m}").alias("value"), r(f"{s}_{m}_low").alias("low"), r(f"{s}_{m}_high").alias("high"),
-        r(f"{s}_{m}_gap").alias("gap"), r(f"{s}_{m}_gap_low").alias("gap_low"), r(f"{s}_{m}_gap_high").alias("gap_high"))
+        r(f"{s}_{m}").alias("value"), r(f"{s}_{m}_se").alias("se"), fits(f"{s}_{m}").alias("fits"),
+        r(f"{s}_{m}_gap").alias("gap"), r(f"{s}_{m}_gap_se").alias("gap_se"), fits(f"{s}_{m}_gap").alias("gap_fits"))
         for s in SOURCES for m in MEASURES])
     return wide.select("grp", F.inline(cells))
 
@@ -372,10 +393,11 @@ def change_sql(source: str, by: list[str]) -> str:
                               for s in SOURCES for m in MEASURES)
 
 
-@add("j26_change_between_terms", sql("""SELECT p.source, p.measure, round(any_value(p.value), 6) AS change, round(quantile_cont(q.value, 0.025), 6) AS low, round(quantile_cont(q.value, 0.975), 6) AS high,
-      round(any_value(p.extra), 6) AS minus_reference, round(quantile_cont(q.extra, 0.025), 6) AS minus_low, round(quantile_cont(q.extra, 0.975), 6) AS minus_high
-    FROM point p JOIN replicates q ON p.source = q.source AND p.measure = q.measure GROUP BY 1, 2""",
-    *boot_sql("rate", [*SOURCES, "term"]), ("point", change_sql("rate", [])), ("replicates", change_sql("redrawn", ["replicate"]))))
+@add("j26_change_between_terms", sql("""SELECT p.source, p.measure, round(p.value, 6) AS change, round(e.value_se, 6) AS se, true AS fits,
+      round(p.extra, 6) AS minus_reference, round(e.extra_se, 6) AS minus_se, true AS minus_fits
+    FROM point p JOIN errors e ON p.source = e.source AND p.measure = e.measure""",
+    *left_out_sql("rate", [*SOURCES, "term"]), ("point", change_sql("rate", [])), ("replicates", change_sql("left_out", ["replicate"])),
+    ("errors", error_sql("replicates", ["source", "measure"], None, ("value", "extra")))))
 def j26(spark, sf_dir):
     def statistics(cells, by, weight):
         wide = cells.groupBy(*by).agg(*share_columns(weight, F.col("term") == "T1", "t1_"), *share_columns(weight, F.col("term") == "T2", "t2_"))
@@ -386,8 +408,8 @@ def j26(spark, sf_dir):
     wide = Z.with_intervals(X.rate(spark, sf_dir), [], [*SOURCES, "term"], statistics)
     r = lambda c: F.round(c, 6)
     cells = F.array(*[F.struct(
-        F.lit(s).alias("source"), F.lit(m).alias("measure"), r(f"{s}_{m}").alias("change"), r(f"{s}_{m}_low").alias("low"), r(f"{s}_{m}_high").alias("high"),
-        r(f"{s}_{m}_x").alias("minus_reference"), r(f"{s}_{m}_x_low").alias("minus_low"), r(f"{s}_{m}_x_high").alias("minus_high"))
+        F.lit(s).alias("source"), F.lit(m).alias("measure"), r(f"{s}_{m}").alias("change"), r(f"{s}_{m}_se").alias("se"), fits(f"{s}_{m}").alias("fits"),
+        r(f"{s}_{m}_x").alias("minus_reference"), r(f"{s}_{m}_x_se").alias("minus_se"), fits(f"{s}_{m}_x").alias("minus_fits"))
         for s in SOURCES for m in MEASURES])
     return wide.select(F.inline(cells))
 

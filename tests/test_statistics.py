@@ -161,20 +161,23 @@ def statistics(cells, by, weight):
     return wide.select(*by, A.Counts().accuracy().alias("accuracy"), A.Counts().kappa().alias("kappa"))
 
 
-@pytest.mark.parametrize("method", ["single", "multinomial"])
-def test_bootstrap_draws_as_many_rows_as_there_are(spark, method):
+def test_bootstrap_draws_as_many_rows_as_there_are(spark):
     cells = Z.count_cells(rating_rows(spark), [], ["label_1", "label_2"])
-    draws = Z.resample(cells, [], ["label_1", "label_2"], 50, 42, method)
+    draws = Z.resample(cells, [], ["label_1", "label_2"], 50, 42)
     sums = [r["m"] for r in draws.groupBy("replicate").agg(F.sum("m").alias("m")).collect()]
     assert sums == [100] * 50
 
 
-def test_both_bootstrap_methods_agree(spark):
+def test_intervals_and_errors_against_brute_force(spark):
     rows = rating_rows(spark)
-    found = {m: Z.with_intervals(rows, [], ["label_1", "label_2"], statistics, 2000, 42, m).first() for m in ("single", "multinomial")}
-    for name in ("accuracy_low", "accuracy_high", "kappa_low", "kappa_high"):
-        assert found["single"][name] == pytest.approx(found["multinomial"][name], abs=0.02)
+    found = Z.with_intervals(rows, [], ["label_1", "label_2"], statistics, 2000, 42).first()
+    kept = np.array([np.array(MATRIX) - np.eye(9)[i].reshape(3, 3) for i in range(9) for _ in range(np.array(MATRIX).ravel()[i])])
+    shares = kept[:, range(3), range(3)].sum(1) / 99
+    assert found["accuracy_se"] == pytest.approx(np.sqrt(99 / 100 * ((shares - shares.mean()) ** 2).sum()))
+    assert found["accuracy_se"] == pytest.approx(np.sqrt(0.74 * 0.26 / 99))   # the closed form for a share
     m = np.array(MATRIX).ravel()
     brute = np.random.default_rng(0).multinomial(100, m / 100, 4000).reshape(-1, 3, 3)
     accuracy = brute[:, range(3), range(3)].sum(1) / 100
-    assert found["multinomial"]["accuracy_low"] == pytest.approx(np.quantile(accuracy, 0.025), abs=0.02)
+    for end, q in (("low", 0.025), ("high", 0.975)):
+        assert found[f"accuracy_{end}"] == pytest.approx(np.quantile(accuracy, q), abs=0.02)
+    assert all(r["ci_fits"] for r in Z.as_rows(Z.with_intervals(rows, [], ["label_1", "label_2"], statistics), [], ["accuracy", "kappa"]).collect())
