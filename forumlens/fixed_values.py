@@ -126,8 +126,4 @@ POLL_GROUPS = {
     "Postgrad": "education",
     "Democrat": "party", "Independent": "party", "Republican": "party",
 }
-POLL_MEASURES = {
-    "Approve": "approve", "Disapprove": "disapprove", "Not sure": "not_sure",
-    "Unweighted base": "unweighted_base", "Base": "base",
-}
 SHARE_TOLERANCE = 0.010001

@@ -65,7 +65,7 @@ def jackknife(cells: DataFrame, by: list[str], labels: list[str], statistics) ->
     n = F.sum("times")
     centred = values.select(*by, "times", *[(F.col(c) - F.sum(F.col(c) * F.col("times")).over(group)
                                              / F.sum(F.when(F.col(c).isNotNull(), F.col("times"))).over(group)).alias(c) for c in names])
-    return centred.groupBy(*by).agg(*[F.sqrt((n - 1) / n * F.sum(F.col("times") * F.col(c) * F.col(c))).alias(f"{c}_se") for c in names])
+    return centred.groupBy(*by).agg(n.alias("__rows"), *[F.sqrt((n - 1) / n * F.sum(F.col("times") * F.col(c) * F.col(c))).alias(f"{c}_se") for c in names])
 
 
 def interval(values: DataFrame, by: list[str], columns: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -76,7 +76,7 @@ def interval(values: DataFrame, by: list[str], columns: list[str], low: float =
 
 def with_intervals(df: DataFrame, by: list[str], labels: list[str], statistics, n_boot: int = V.N_BOOT,
                    seed: int = V.SEED) -> DataFrame:
-    """Statistics of the data with interval ends and standard errors, one row per group.
+    """Statistics of the data with interval ends, standard errors and the number of rows, one row per group.
 
     ``statistics`` maps a table of cells and its weight column to one row per group of the given keys.
     """
@@ -97,12 +97,14 @@ def with_intervals(df: DataFrame, by: list[str], labels: list[str], statistics,
 # groups and the noise of the replicates
 REACH = (1.0, 3.0)
 TINY = 1e-9
+ENOUGH = 30  # below so many rows the two have no reason to agree
 
 
 def ends_fit(value: Column, low: Column, high: Column, error: Column) -> Column:
-    """Whether both ends of an interval stand at a plausible distance from the value; null where there is no error."""
-    return F.when(error <= TINY, (F.abs(low - value) < 1e-6) & (F.abs(high - value) < 1e-6)).otherwise(
+    """Whether both ends of an interval stand at a plausible distance from the value; null for small groups."""
+    fits = F.when(error <= TINY, (F.abs(low - value) < 1e-6) & (F.abs(high - value) < 1e-6)).otherwise(
         ((value - low) / error).between(*REACH) & ((high - value) / error).between(*REACH))
+    return F.when(F.col("__rows") >= ENOUGH, fits)
 
 
 def as_rows(wide: DataFrame, by: list[str], names: list[str], digits: int = 6) -> DataFrame:

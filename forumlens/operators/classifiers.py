@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
 import unicodedata
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from forumlens.operators.staging import computed_once
 from forumlens.session import cut_lineage
 
 
-def _accents() -> tuple[str, str]:
+def accents() -> tuple[str, str]:
     """Latin letters with a mark and their plain forms, from the decomposition rules."""
     marked, plain = [], []
     for code in range(0xC0, 0x250):
@@ -32,7 +33,7 @@ def _accents() -> tuple[str, str]:
 
 
 def without_accents(column: Column) -> Column:
-    marked, plain = _accents()
+    marked, plain = accents()
     return F.translate(column, marked, plain)
 
 
@@ -57,13 +58,20 @@ def character_terms(text: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.transform(padded, grams))
 
 
-def _dampen(counts):
-    return SparseVector(counts.size, counts.indices, [1.0 + math.log(v) for v in counts.values])
+@F.pandas_udf(VectorUDT())
+def _dampen(counts: pd.DataFrame) -> pd.DataFrame:
+    """One plus the logarithm of every count, for all vectors of a batch at once."""
+    values = counts["values"]
+    if len(values):
+        ends = np.cumsum([len(v) for v in values])
+        damped = 1.0 + np.log(np.concatenate(list(values)))
+        counts = counts.assign(values=np.split(damped, ends[:-1]))
+    return counts
 
 
 # Spark ML has no logarithm of counts. Marked so that the optimiser neither repeats the call nor moves it
 # into a filter.
-_sublinear = F.udf(_dampen, VectorUDT()).asNondeterministic()
+_sublinear = _dampen.asNondeterministic()
 
 
 @dataclass

@@ -102,6 +102,27 @@ def clean_posts(posts: DataFrame, comments_clean: DataFrame, settings: Settings
     return flair_columns(time_columns(kept, settings), settings).drop("fate", "has_child", "distinguished")
 
 
+# the columns of the cleaned tables, in order, with the types that differ from those of the raw columns
+COMMENT_SCHEMA = {
+    **dict.fromkeys(["id", "submission_id", "parent_id", "created_utc", "source_month", "subreddit", "author",
+                     "author_flair_text", "body"]),
+    "score": "int", "controversiality": "tinyint", "stickied": "boolean", "edited": "boolean", "body_clean": "string",
+    "only_in_quote": "boolean", "author_deleted": "boolean", "is_top_level": "boolean", "created_at": "timestamp",
+    "year": "smallint", "period": "string", "term": "string", "stance": "string"}
+POST_SCHEMA = {
+    **dict.fromkeys(["id", "created_utc", "source_month", "subreddit", "author", "author_flair_text", "title", "selftext"]),
+    "is_self": "boolean", "domain": "string", "url": "string", "link_flair_text": "string", "score": "int", "num_comments": "int",
+    "upvote_ratio": "double", "removed_by_category": "string", "stickied": "boolean", "mentions_keyword": "boolean",
+    "has_keyword_comment": "boolean", "selftext_deleted": "boolean", "selftext_removed": "boolean", "author_deleted": "boolean",
+    "title_unusable": "boolean", "is_mod_or_bot_post": "boolean", "text": "string", "text_clean": "string",
+    "created_at": "timestamp", "year": "smallint", "period": "string", "term": "string", "stance": "string", "in_scope": "boolean"}
+
+
+def final_table(df: DataFrame, schema: dict, order: tuple = ("created_utc", "id")) -> DataFrame:
+    """A cleaned table with its final columns and types, ordered by time. Spark orders it by ranges, in all tasks."""
+    return df.orderBy(*order).select(*[F.col(c).cast(t) if t else F.col(c) for c, t in schema.items()])
+
+
 def stage_of(body_clean: Column, keyword_left: Column) -> Column:
     return (F.when(body_clean == "", "empty_after_clean")
             .when(keyword_left, "kept").otherwise("kept_only_in_quote"))

@@ -106,7 +106,8 @@ def low_cardinality_scan(df: DataFrame, columns: list[str], limit: int = 5) -> D
     a flag in disguise."""
     candidates = low_cardinality_columns(df, columns, limit)
     if not candidates:
-        raise ValueError("no column has so few values")
+        return df.sparkSession.createDataFrame([], "column_name string, n_values long, false_like_pct double, true_like_pct double, "
+                                                   "other_pct double, null_pct double, bool_like boolean")
     boolean = [c for c in candidates if dict(df.dtypes)[c] == "boolean"]
     counts = value_counts(df, candidates)
     kind = value_kind(F.col("value"))
@@ -227,17 +228,18 @@ def top_counts(df: DataFrame, key: str, k: int = 15) -> DataFrame:
 
 
 def overview(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
-    """Rows before and after per table, share removed, and a total row."""
+    """Rows and columns before and after per table, share of rows removed, and a total row."""
     stacked = None
     for side, tables in (("before", before), ("after", after)):
         for kind, df in tables.items():
-            part = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), F.lit(side).alias("side"), "n")
+            part = df.agg(F.count(F.lit(1)).alias("n")).select(
+                F.lit(kind).alias("kind"), F.lit(side).alias("side"), "n", F.lit(len(df.columns)).cast("bigint").alias("columns"))
             stacked = part if stacked is None else stacked.unionByName(part)
-    rolled = stacked.rollup("kind").agg(
-        F.sum(F.when(F.col("side") == "before", F.col("n"))).alias("rows_before"),
-        F.sum(F.when(F.col("side") == "after", F.col("n"))).alias("rows_after"))
+    rolled = stacked.rollup("kind").agg(*[
+        F.sum(F.when(F.col("side") == side, F.col(column))).alias(f"{name}_{side}")
+        for name, column in (("rows", "n"), ("cols", "columns")) for side in ("before", "after")])
     return rolled.select(
-        F.coalesce("kind", F.lit("TOTAL")).alias("kind"), "rows_before", "rows_after",
+        F.coalesce("kind", F.lit("TOTAL")).alias("kind"), "rows_before", "rows_after", "cols_before", "cols_after",
         F.round(100.0 * (1 - F.col("rows_after") / F.col("rows_before")), 2).alias("rows_removed_pct"))
 
 

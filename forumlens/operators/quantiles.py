@@ -27,15 +27,18 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: dic
     rows = df if by else df.withColumn("__all", F.lit(0))
     rows = rows.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
     rows = cut_lineage(rows) if settle else rows
-    names, probs = list(probabilities), list(probabilities.values())
+    extremes = {0.0: "__min", 1.0: "__max"}
+    inner = {n: p for n, p in probabilities.items() if p not in extremes}
+    names, probs = list(inner), list(inner.values())
     slack = 4.0 / accuracy
     low = [max(0.0, p - slack) for p in probs]
     high = [min(1.0, p + slack) for p in probs]
-    brackets = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__v", low, accuracy).alias("__low"),
-        F.percentile_approx("__v", high, accuracy).alias("__high"),
-        F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+    sketch = [F.percentile_approx("__v", low, accuracy).alias("__low"), F.percentile_approx("__v", high, accuracy).alias("__high")]
+    brackets = cut_lineage(rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), *(sketch if inner else [])))
+    ends = brackets.select(*keys, *[F.col(extremes[p]).alias(n) for n, p in probabilities.items() if p in extremes])
+    if not inner:
+        return ends.select(*by, *probabilities)
     # in a small group the rank error is below one row, so the whole group is its own bracket
     small = F.col("__n") <= accuracy
     spec = F.array(*[
@@ -43,31 +46,33 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: dic
                  F.when(small | F.lit(lo == 0.0), F.col("__min")).otherwise(F.col("__low")[i]).alias("lo"),
                  F.when(small | F.lit(hi == 1.0), F.col("__max")).otherwise(F.col("__high")[i]).alias("hi"))
         for i, (name, p, lo, hi) in enumerate(zip(names, probs, low, high))])
-    wanted = brackets.select(*keys, F.col("__n"), spec.alias("__spec"))
-    marked = attach(rows, small_side(wanted), keys).select(*keys, "__v", "__n", F.explode("__spec").alias("s"))
-    # below the bracket only the count matters; inside it every distinct value is counted
-    cells = (
-        marked.filter(F.col("__v") <= F.col("s.hi"))
-        .select(*keys, "__n", F.col("s.name").alias("__name"), F.col("s.p").alias("__p"),
-                F.when(F.col("__v") >= F.col("s.lo"), F.col("__v")).alias("__v"))
-        .groupBy(*keys, "__n", "__name", "__p", "__v").agg(F.count(F.lit(1)).alias("__c")))
-    ordered = W.partitionBy(*keys, "__name").orderBy(F.col("__v").asc_nulls_first())
-    running = cells.withColumn("__to", F.sum("__c").over(ordered.rowsBetween(W.unboundedPreceding, 0)))
+    wanted = small_side(brackets.select(*keys, F.col("__n"), spec.alias("__spec")))
+    marked = attach(rows, wanted, keys)
+    # below a bracket only the number of values matters: one counter per quantile, and no row is repeated for it
+    below = marked.groupBy(*keys).agg(*[
+        F.count_if(F.col("__v") < F.col("__spec")[i].getField("lo")).alias(f"__b{i}") for i in range(len(names))])
+    counts = below.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(n).alias("name"), F.col(f"__b{i}").alias("n")) for i, n in enumerate(names)])).alias("b"))
+    # inside, every distinct value is counted; a row is repeated only for the brackets that it lies in
+    cells = (marked.select(*keys, "__n", "__v", F.explode(F.filter("__spec", lambda s: F.col("__v").between(s["lo"], s["hi"]))).alias("s"))
+             .groupBy(*keys, "__n", F.col("s.name").alias("__name"), F.col("s.p").alias("__p"), "__v").agg(F.count(F.lit(1)).alias("__c")))
+    ordered = W.partitionBy(*keys, "__name").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    named = counts.select(*keys, F.col("b.name").alias("__name"), F.col("b.n").alias("__below"))
+    running = attach(cells, small_side(named), [*keys, "__name"]).withColumn("__to", F.col("__below") + F.sum("__c").over(ordered))
     place = F.col("__p") * (F.col("__n") - 1)
     lower, upper = F.floor(place), F.ceil(place)
 
     def at(position: Column) -> Column:
-        return F.min(F.when((F.col("__to") > position) & F.col("__v").isNotNull(), F.col("__v")))
+        return F.min(F.when(F.col("__to") > position, F.col("__v")))
 
-    below = F.max(F.when(F.col("__v").isNull(), F.col("__to")))
+    outside = (F.max("__below") > F.max(lower)) | (F.max("__to") <= F.max(upper))
     points = running.groupBy(*keys, "__name").agg(
-        F.when(below > F.max(lower), F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
-        .otherwise(at(lower)).alias("__a"),
+        F.when(outside, F.raise_error(F.lit("quantile outside its bracket")).cast("double")).otherwise(at(lower)).alias("__a"),
         at(upper).alias("__b"), F.max(place - lower).alias("__f"))
     one = points.select(*keys, "__name", (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__f")).alias("__q"))
     wide = one.groupBy(*keys).agg(*[
         F.max(F.when(F.col("__name") == name, F.col("__q"))).alias(name) for name in names])
-    return wide if by else wide.drop("__all")
+    return attach(wide, F.broadcast(ends) if not by else ends, keys).select(*by, *probabilities)
 
 
 def quartile_labels(df: DataFrame, value: str, out: str, unit: str) -> DataFrame:

@@ -15,8 +15,6 @@ from forumlens.operators.ranking import (
     alternate, attach, first_per_group, global_row_numbers, group_row_numbers, group_sizes, hash_rank)
 from forumlens.session import cut_lineage, small_side
 
-FINGERPRINT_ROWS = 1_000_000
-
 
 def allocate(sizes: DataFrame, strata: list[str], total: int, size: str = "stratum_size",
              out: str = "stratum_sampled") -> DataFrame:
@@ -52,14 +50,20 @@ def settled_ranks(rows: DataFrame, key: str, seed: int) -> DataFrame:
     return cut_lineage(rows.withColumn("rank", hash_rank(key, seed)))
 
 
-def stratified_sample(eligible: DataFrame, strata: list[str], total: int, parts: int = 2, key: str = "id",
-                      seed: int = V.SEED, texts: DataFrame | None = None) -> DataFrame:
+def total_of(sizes: DataFrame, percent: int, size: str = "stratum_size") -> int:
+    """A whole number of rows: a percentage of all eligible rows, rounded down."""
+    return sizes.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"] * percent // 100
+
+
+def stratified_sample(eligible: DataFrame, strata: list[str], total: int | None = None, parts: int = 2, key: str = "id",
+                      seed: int = V.SEED, texts: DataFrame | None = None, percent: int | None = None) -> DataFrame:
     """A sample spread evenly over the strata, dealt out to parts with a reading order inside each.
 
-    ``eligible`` is narrow. With ``texts``, a table of id and text, the texts are looked up last.
+    Its size is ``total`` rows or ``percent`` of the eligible ones. ``eligible`` is narrow. With ``texts``, a table of id and text, the texts are looked up last.
     """
     ranked = settled_ranks(eligible, key, seed)
-    plan = small_side(allocate(group_sizes(ranked, strata, "stratum_size"), strata, total))
+    sizes = cut_lineage(group_sizes(ranked, strata, "stratum_size"))
+    plan = small_side(allocate(sizes, strata, total if percent is None else total_of(sizes, percent)))
     chosen = first_per_group(ranked, strata, "rank", plan, "stratum_sampled", [key]).drop("__position")
     # the sample is small and looked at several times from here on
     placed = alternate(cut_lineage(attach(chosen, plan, strata)), strata, "rank", parts, "part", [key])
@@ -76,16 +80,17 @@ def with_texts(sample: DataFrame, texts: DataFrame, key: str = "id") -> DataFram
     return chosen.join(texts.join(chosen.select(key), key, "left_semi"), key, "left")
 
 
-def fingerprint(sample: DataFrame, key: str = "id", limit: int = FINGERPRINT_ROWS) -> DataFrame:
-    """SHA-256 over the sorted ids of a sample, one per line.
+def fingerprint(sample: DataFrame, key: str = "id", digits: int = 4) -> DataFrame:
+    """A digest of the ids of a sample that does not depend on their order.
 
-    One digest needs all ids in one place, so it is for samples; a larger table is refused.
+    The ids are cut into ``16 ** digits`` buckets by their hash; a bucket's digest is over its sorted ids, one per
+    line, and the result is over the digests in the order of the buckets. So no task sees all ids.
     """
-    ids = F.sort_array(F.collect_list(key))
-    size = sample.agg(F.count(F.lit(1)).alias("rows")).first()["rows"]
-    if size > limit:
-        raise ValueError(f"a fingerprint is for samples of at most {limit} rows, not {size}")
-    return sample.agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(ids, "\n"), 256).alias("sha256"))
+    ids = sample.select(F.col(key).alias("__id"), F.substring(F.sha2(F.col(key).cast("string"), 256), 1, digits).alias("__bucket"))
+    buckets = ids.groupBy("__bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("__id")), "\n"), 256).alias("digest"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("__bucket", "digest"))), lambda x: x["digest"])
+    return buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(ordered, "\n"), 256).alias("sha256"))
 
 
 def require_fingerprint(sample: DataFrame, expected: str, key: str = "id") -> DataFrame:

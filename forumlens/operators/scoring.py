@@ -12,6 +12,7 @@ from forumlens import fixed_values as V
 from forumlens.functions.flags import argmax_label
 from forumlens.operators.ranking import attach
 from forumlens.operators.staging import computed_once
+from forumlens.session import cut_lineage
 
 Scorer = Callable[[list[str]], "object"]
 
@@ -64,9 +65,9 @@ def throughput(answers: DataFrame, by: list[str], rows_in_all: int) -> DataFrame
         "cached_share", F.round(F.lit(rows_in_all) / speed / 86400, 6).alias("days_for_all"))
 
 
-def smoke_run(df: DataFrame, rows: int, label) -> DataFrame:
-    """Label shares of the first rows of a table: a quick look before the whole is scored."""
-    scored = label(df.limit(rows))
+def smoke_run(df: DataFrame, rows: int, label, order: list[str]) -> DataFrame:
+    """Label shares of the first rows of a table by an order: a quick look before the whole is scored."""
+    scored = label(df.orderBy(*order).limit(rows))
     return scored.groupBy("student_label").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -75,17 +76,29 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
+LEXICON_WORDS = 100_000
+
+
 def lexicon_tone(df: DataFrame, text: str, keys: list[str], lexicon: DataFrame, alpha: float = 15.0) -> DataFrame:
     """Sum of word weights per text, squeezed into -1 to 1; a text without a known word scores zero.
 
-    The lexicon is joined, so its size decides whether it is broadcast. All words of a text are in one task,
-    so the sums collapse before the shuffle.
+    The lexicon is counted and, up to ``LEXICON_WORDS``, goes along as one map, so that the weights are added up
+    inside each row: one scan and no shuffle. A larger lexicon is joined to the words, which collapse to one row
+    per text and task before they are shuffled; the texts' words are never the broadcast side.
     """
-    words = df.select(*keys, F.explode(words_of(F.col(text))).alias("word"))
-    hits = words.join(lexicon, "word").groupBy(*keys).agg(F.sum("w").alias("__s"))
-    total = F.coalesce(F.col("__s"), F.lit(0.0))
-    scored = attach(df.select(*keys), hits, keys)
-    return scored.select(*keys, (total / F.sqrt(total * total + alpha)).alias("tone"))
+    known = cut_lineage(lexicon.groupBy("word").agg(F.sum("w").alias("w")))
+    if known.count() <= LEXICON_WORDS:
+        weights = known.agg(F.map_from_entries(F.collect_list(F.struct("word", "w"))).alias("__weights"))
+        one = F.lit(1).alias("__one")
+        joined = df.select(*keys, F.col(text).alias("__text"), one).join(F.broadcast(weights.select("__weights", one)), "__one")
+        total = F.aggregate(words_of(F.col("__text")), F.lit(0.0),
+                            lambda s, word: s + F.coalesce(F.try_element_at(F.col("__weights"), word), F.lit(0.0)))
+        scored = joined.select(*keys, F.coalesce(total, F.lit(0.0)).alias("__s"))
+    else:
+        words = df.select(*keys, F.explode(words_of(F.col(text))).alias("word"))
+        hits = words.join(known.hint("shuffle_hash"), "word").groupBy(*keys).agg(F.sum("w").alias("__s"))
+        scored = attach(df.select(*keys), hits, keys).select(*keys, F.coalesce(F.col("__s"), F.lit(0.0)).alias("__s"))
+    return scored.select(*keys, (F.col("__s") / F.sqrt(F.col("__s") * F.col("__s") + alpha)).alias("tone"))
 
 
 def term_statistics(df: DataFrame, text: str, min_docs: int = 3) -> DataFrame:

@@ -118,7 +118,7 @@ def normalised_weights(respondents: DataFrame, wave: str = "wave_id", weight: st
     return attach(respondents, small_side(means), [wave]).withColumn("weight_norm", F.col(weight) / F.col("__mean")).drop("__mean")
 
 
-def harmonise(sources: dict[str, DataFrame], waves: list[dict], weights: bool = True) -> DataFrame:
+def harmonise(sources: dict[str, DataFrame], waves: list[dict] = V.WAVES, weights: bool = True) -> DataFrame:
     """All waves in one table of respondents, weights rescaled to mean one inside each wave.
 
     Rescaling needs a first pass over the weights; leave it out where only raw weights are used.

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from forumlens import fixed_values as V
 from forumlens.functions.text import mentions, mentions_any, strip, strip_id_prefix
-from forumlens.operators.dedupe import require_unique
 
 
 def children_of(comments: DataFrame, thread: str = "submission_id", flags: dict | None = None) -> DataFrame:
@@ -45,15 +44,25 @@ def relevant_posts(posts: DataFrame, comments: DataFrame, keyword: str, fields=(
             .withColumn("in_scope", F.col("mentions_keyword") | F.col("has_keyword_comment")))
 
 
+def _one_per_key(df: DataFrame, on: list[str], side: str) -> DataFrame:
+    """The table itself; running it fails where a key occurs twice. The rows are grouped by the key that the join
+    needs them grouped by, so the check costs no pass of its own."""
+    others = [c for c in df.columns if c not in on]
+    row = F.first(F.struct(*others)) if others else F.first(F.lit(1))
+    message = F.concat(F.lit(f"{side}: "), F.concat_ws(", ", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in on]),
+                       F.lit(" occurs "), F.col("__n").cast("string"), F.lit(" times"))
+    grouped = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"), row.alias("__row"))
+    checked = grouped.filter(F.when(F.col("__n") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    return checked.select(*on, *[F.col("__row").getField(c).alias(c) for c in others])
+
+
 def join_validated(left: DataFrame, right: DataFrame, on: list[str], cardinality: str = "1:1",
                    how: str = "inner") -> DataFrame:
-    """Join after a check of the key: ``1:1`` on both sides, ``m:1`` on the right side only."""
+    """Join that fails on a repeated key: ``1:1`` on either side, ``m:1`` on the right side."""
     if cardinality not in ("1:1", "m:1"):
         raise ValueError(f"unknown cardinality {cardinality!r}")
-    if cardinality == "1:1":
-        require_unique(left, on, "left side")
-    require_unique(right, on, "right side")
-    return left.join(right, on, how)
+    one = _one_per_key(left, on, "left side") if cardinality == "1:1" else left
+    return one.join(_one_per_key(right, on, "right side"), on, how)
 
 
 def with_post(comments: DataFrame, posts: DataFrame, text: str = "post", how: str = "left") -> DataFrame:

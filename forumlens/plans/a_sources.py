@@ -20,9 +20,9 @@ add = BOOK.add
 FILE_COLUMNS = ["id", "author", "author_flair_text", "body"]
 
 
-def month_files(spark, sf_dir):
+def month_files(spark, sf_dir, months=None):
     path = session.new_table_path(spark, "months")
-    return K.write_month_csv(X.cmt(spark, sf_dir).select(*FILE_COLUMNS, "source_month"), path)
+    return K.write_month_csv(X.cmt(spark, sf_dir).select(*FILE_COLUMNS, "source_month"), path, months=months)
 
 
 @add("a01_read_month_files", X.oracle("cmt", "SELECT id, author, nullif(author_flair_text, '') AS author_flair_text, body FROM cmt"))
@@ -88,25 +88,28 @@ def a09(spark, sf_dir):
 def a10(spark, sf_dir):
     rows = X.cmt(spark, sf_dir).select("id", "created_utc", "source_month", "author", "body", "score", "stickied")
     path = K.write_table(rows, session.new_table_path(spark, "comments"), ["source_month"])
-    return spark.read.option("partitionOverwriteMode", "dynamic").schema(rows.schema).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 @add("a11_month_csv_sink", X.oracle("cmt", "SELECT source_month, count(*) AS rows, count(author) AS authors, CAST(sum(length(body)) AS BIGINT) AS chars FROM cmt GROUP BY 1 UNION ALL SELECT '2019-01', 0, 0, 0"))
 def a11(spark, sf_dir):
-    """Rows per month file, with a calendar month that has none."""
-    rows = R.read_month_files(spark, month_files(spark, sf_dir) + "/*", R.text_schema(FILE_COLUMNS))
+    """Rows per month file; one month of the calendar has a file with a header only."""
+    path = month_files(spark, sf_dir, [*STUDY_MONTHS, "2019-01"])
+    rows = R.read_month_files(spark, path + "/*", R.text_schema(FILE_COLUMNS))
     counted = rows.groupBy(R.source_month().alias("source_month")).agg(
         F.count(F.lit(1)).alias("rows"), F.count("author").alias("authors"), F.sum(F.length("body")).alias("chars"))
-    none = K.empty_months(counted, [*STUDY_MONTHS, "2019-01"])
-    return counted.unionByName(none.select("source_month", *[F.lit(0).cast("bigint").alias(c) for c in ("rows", "authors", "chars")]))
+    return K.written_months(spark, path).join(counted, "source_month", "left").na.fill(0, ["rows", "authors", "chars"])
 
 
 @add("a12_publish_columns", X.oracle("cmt rate", "SELECT c.id, c.created_utc, c.body, r.model_a AS label, r.p_pro FROM cmt c LEFT JOIN rate r ON c.id = r.id"))
 def a12(spark, sf_dir):
-    path = K.write_table(X.cmt(spark, sf_dir).select("id", "created_utc", "body"), session.new_table_path(spark, "scored"))
-    scores = X.rate(spark, sf_dir).select("id", F.col("model_a").alias("label"), "p_pro")
-    K.publish(K.with_scores(spark.read.parquet(path), scores), path, ["label", "p_pro"])
-    return spark.read.parquet(path)
+    """Two columns, published one after the other."""
+    root = K.start_table(X.cmt(spark, sf_dir).select("id", "created_utc", "body"), session.new_table_path(spark, "scored"))
+    rate = X.rate(spark, sf_dir)
+    for column in (F.col("model_a").alias("label"), F.col("p_pro")):
+        scored = K.with_scores(K.current(spark, root), rate.select("id", column))
+        K.publish(scored, root, scored.columns[-1:], ["id", "created_utc"])
+    return K.current(spark, root)
 
 
 @add("a13_checkpointed_parts", X.oracle("cmt", "SELECT id, created_utc, CAST(length(body) AS BIGINT) AS chars, 'limit=512' AS settings FROM cmt"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from forumlens.functions import flags as G
 from forumlens.functions import text as T
 from forumlens.operators import survey as S
+from forumlens.operators.staging import computed_once
 from forumlens.plans import book as B
 from forumlens.plans import d_survey
 from forumlens.plans import fixtures as X
@@ -71,7 +72,8 @@ def c14(spark, sf_dir):
 
 @add("c15_drop_empty", X.oracle("cmt", f"SELECT id, created_utc, body_clean FROM (SELECT *, {B.sql_clean('body')} AS body_clean FROM cmt) WHERE body_clean <> ''"))
 def c15(spark, sf_dir):
-    return X.cmt(spark, sf_dir).select(*KEY, T.clean_text("body").alias("body_clean")).filter("body_clean != ''")
+    cleaned = computed_once(X.cmt(spark, sf_dir).select(*KEY, "body"), "body_clean", T.clean_text("body"))
+    return cleaned.select(*KEY, "body_clean").filter("body_clean != ''")
 
 
 on_comments("c16_keyword_only_in_quote", "only_in_quote", lambda: ~T.mentions(T.clean_text("body"), B.KEYWORD),

@@ -97,11 +97,14 @@ def d04(spark, sf_dir):
 
 @add("d05_date_parse", X.oracle("svy_raw", f"""
     SELECT CAST(rid AS BIGINT) AS rid, CAST({_MDY} AS VARCHAR) AS mddyy, CAST({_YMD} AS VARCHAR) AS yymmdd,
-      CAST(CAST(try_strptime(date_text, '%d-%b-%Y %H:%M:%S') AS DATE) AS VARCHAR) AS stamp FROM six_raw""", SIX))
+      CAST(CAST(try_strptime(date_text, '%d-%b-%Y %H:%M:%S') AS DATE) AS VARCHAR) AS stamp,
+      CAST(DATE '2017-01-01' + CAST(rid % 700 AS INTEGER) AS VARCHAR) AS typed FROM six_raw""", SIX))
 def d05(spark, sf_dir):
     return X.svy_raw(spark, sf_dir).select(
         F.col("rid").cast("bigint").alias("rid"), S.parse_day("date_code", "mddyy").cast("string").alias("mddyy"),
-        S.parse_day("date_code", "yymmdd").cast("string").alias("yymmdd"), S.parse_day("date_text", "atp").cast("string").alias("stamp"))
+        S.parse_day("date_code", "yymmdd").cast("string").alias("yymmdd"), S.parse_day("date_text", "atp").cast("string").alias("stamp"),
+        # a wave whose file already types the column, at the start of its day
+        S.parse_day(F.to_timestamp(F.date_add(F.lit("2017-01-01").cast("date"), (F.col("rid") % 700).cast("int"))), "date").cast("string").alias("typed"))
 
 
 @add("d06_date_style", X.oracle("svy_raw", """

@@ -10,6 +10,7 @@ from forumlens.operators import threads as H
 from forumlens.plans import book as B
 from forumlens.plans import fixtures as X
 from forumlens.plans.e_duplicates import SINGLE
+from forumlens.session import cut_lineage
 
 BOOK = B.Book()
 add = BOOK.add
@@ -123,7 +124,7 @@ def f09(spark, sf_dir):
 
 @add("f10_validated_join", X.oracle("rate", "SELECT id, final, model_a, model_b FROM rate"))
 def f10(spark, sf_dir):
-    rate = X.rate(spark, sf_dir)
+    rate = cut_lineage(X.rate(spark, sf_dir).select("id", "final", "model_a", "model_b"))  # read by all three sides
     first = H.join_validated(rate.select("id", "final"), rate.select("id", "model_a"), ["id"])
     return H.join_validated(first, rate.select("id", "model_b"), ["id"])
 

@@ -13,9 +13,12 @@ MONTH = """CASE WHEN doc_id % 24 < 6 THEN '2017' WHEN doc_id % 24 < 12 THEN '201
       || '-0' || (doc_id % 6 + 1)"""
 PLACE = """CASE WHEN doc_id % 7 < 4 THEN 'main' WHEN doc_id % 7 = 4 THEN 'ask' WHEN doc_id % 7 = 5 THEN 'left' ELSE 'right' END"""
 
+# eight neighbouring documents are one thread, whose post is made from the first of them; every thirteenth post is missing
+THREAD = "(doc_id - doc_id % 8)"
+
 CMT_BASE = f"""
-  SELECT doc_id AS k, 'c' || doc_id AS id, 's' || (doc_id % 60) AS submission_id, lang,
-    CASE WHEN doc_id % 3 = 0 OR doc_id < 60 THEN 't3_s' || (doc_id % 60) ELSE 't1_c' || (doc_id - 60) END AS parent_id,
+  SELECT doc_id AS k, 'c' || doc_id AS id, 's' || {THREAD} AS submission_id, lang,
+    CASE WHEN doc_id % 3 = 0 OR doc_id % 8 = 0 THEN 't3_s' || {THREAD} ELSE 't1_c' || (doc_id - 1) END AS parent_id,
     1483228800 + doc_id * 3600 AS created_utc,
     {MONTH} AS source_month,
     {PLACE} AS subreddit,
@@ -45,12 +48,12 @@ SUB = f"""
     {MONTH} AS source_month,
     {PLACE} AS subreddit,
     CASE WHEN doc_id % 11 = 0 THEN '[deleted]' ELSE 'u' || (doc_id % 37) END AS author,
-    CASE doc_id % 9 WHEN 0 THEN '[Removed by moderator]' WHEN 1 THEN '?I_support_Trump' ELSE substr(text, 1, 80) END AS title,
+    CASE doc_id % 9 WHEN 0 THEN '[Removed by moderator]' WHEN 1 THEN '?I_support_Trump' ELSE split_part(text, chr(10), 1) END AS title,
     CASE doc_id % 4 WHEN 0 THEN '[deleted]' WHEN 1 THEN '[removed]' WHEN 2 THEN NULL ELSE text END AS selftext,
     CASE WHEN doc_id % 24 < 12 THEN NULL ELSE CAST(doc_id % 100 AS DOUBLE) / 100 END AS upvote_ratio,
     CASE WHEN doc_id % 19 = 0 THEN 'moderator' END AS distinguished,
     CAST(doc_id % 101 AS INT) AS score, CAST(doc_id % 13 AS INT) AS num_comments, lang
-  FROM {{documents}} WHERE doc_id < 55"""
+  FROM {{documents}} WHERE doc_id % 104 <> 40"""
 
 THR_POST = "SELECT 'p' || conv_id AS submission_id, text AS post FROM {conversations} WHERE turn = 0 AND conv_id % 10 <> 9"
 
@@ -92,11 +95,11 @@ POLL_WIDE = """
     count(CASE WHEN extract(year FROM o_orderdate) = 1998 THEN 1 END) AS d1998
   FROM {orders} GROUP BY o_orderpriority, o_orderstatus"""
 
-RATE_BASE = """
-  SELECT d.doc_id AS k, 'c' || d.doc_id AS id, 's' || (d.doc_id % 60) AS submission_id, d.lang AS grp,
+RATE_BASE = f"""
+  SELECT d.doc_id AS k, 'c' || d.doc_id AS id, 's' || {THREAD.replace('doc_id', 'd.doc_id')} AS submission_id, d.lang AS grp,
     CASE WHEN d.doc_id % 24 < 12 THEN 'T1' ELSE 'T2' END AS term, d.n_chars,
     CASE WHEN l.toxic = 1 THEN 0 WHEN l.quality = 1 THEN 2 ELSE 1 END AS t
-  FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id"""
+  FROM {{documents}} d JOIN {{labels}} l ON d.doc_id = l.doc_id"""
 
 
 def _rating(shift: str) -> str:

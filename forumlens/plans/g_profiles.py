@@ -55,13 +55,48 @@ def g05(spark, sf_dir):
 
 
 @add("g06_before_after", X.oracle("cmt sub", """
-    SELECT coalesce(kind, 'TOTAL') AS kind, CAST(sum(b) AS BIGINT) AS rows_before, CAST(sum(a) AS BIGINT) AS rows_after, round(100.0 * (1 - sum(a) / sum(b)), 2) AS rows_removed_pct
-    FROM (SELECT 'comments' AS kind, (SELECT count(*) FROM cmt) AS b, (SELECT count(*) FROM cc) AS a
-      UNION ALL SELECT 'submissions', (SELECT count(*) FROM sub), (SELECT count(*) FROM linked WHERE fate = 'kept')) GROUP BY ROLLUP (kind)""", *CLEAN, *POSTS))
+    SELECT coalesce(kind, 'TOTAL') AS kind, CAST(sum(b) AS BIGINT) AS rows_before, CAST(sum(a) AS BIGINT) AS rows_after, CAST(sum(cb) AS BIGINT) AS cols_before, CAST(sum(ca) AS BIGINT) AS cols_after,
+      round(100.0 * (1 - sum(a) / sum(b)), 2) AS rows_removed_pct
+    FROM (SELECT 'comments' AS kind, (SELECT count(*) FROM cmt) AS b, (SELECT count(*) FROM cc) AS a, 16 AS cb, 22 AS ca
+      UNION ALL SELECT 'submissions', (SELECT count(*) FROM sub), (SELECT count(*) FROM linked WHERE fate = 'kept'), 12, 32) GROUP BY ROLLUP (kind)""", *CLEAN, *POSTS))
 def g06(spark, sf_dir):
-    raw_c, raw_s = X.cmt(spark, sf_dir), X.sub(spark, sf_dir)
-    return P.overview({"comments": raw_c, "submissions": raw_s},
-                      {"comments": C.clean_comments(raw_c, SETTINGS), "submissions": linked(spark, sf_dir).filter("fate = 'kept'")})
+    return P.overview({"comments": X.cmt(spark, sf_dir), "submissions": X.sub(spark, sf_dir)},
+                      {"comments": cleaned_comments(spark, sf_dir), "submissions": cleaned_posts(spark, sf_dir)})
+
+
+def cleaned_comments(spark, sf_dir):
+    return C.clean_comments(X.cmt(spark, sf_dir), SETTINGS).select(*C.COMMENT_SCHEMA)
+
+
+def cleaned_posts(spark, sf_dir):
+    """Columns that the test tables do not have are made from those that they have."""
+    posts = X.sub(spark, sf_dir).withColumns({
+        "author_flair_text": F.when(F.col("score") % 4 == 0, " Undecided "), "is_self": F.col("score") % 2 == 0,
+        "domain": F.concat(F.lit("self."), "subreddit"), "url": F.concat(F.lit("https://ex.org/"), "id"),
+        "link_flair_text": F.lit(None).cast("string"), "removed_by_category": F.lit(None).cast("string"),
+        "stickied": F.col("score") % 7 == 0})
+    comments = C.clean_comments(X.cmt(spark, sf_dir), SETTINGS)
+    return C.clean_posts(posts, comments, SETTINGS).select(*C.POST_SCHEMA)
+
+
+_TIMES = f"""make_timestamp(created_utc * 1000000) AS created_at, CAST(substr(source_month, 1, 4) AS SMALLINT) AS "year", {B.SQL_PERIOD} AS period, substr({B.SQL_PERIOD}, 1, 2) AS term, {B.SQL_STANCE} AS stance"""
+
+
+@add("g06b_comments_clean", X.oracle("cmt", f"""SELECT id, submission_id, parent_id, created_utc, source_month, subreddit, author, {B.SQL_FLAIR} AS author_flair_text, body, score,
+    CAST(controversiality AS TINYINT) AS controversiality, stickied, edited <> 'False' AS edited, body_clean, only_in_quote, coalesce(author = '[deleted]', false) AS author_deleted,
+    starts_with(parent_id, 't3_') AS is_top_level, {_TIMES} FROM cc""", *CLEAN))
+def g06b(spark, sf_dir):
+    """The cleaned comments in their final schema."""
+    return C.final_table(cleaned_comments(spark, sf_dir), C.COMMENT_SCHEMA)
+
+
+@add("g06c_submissions_clean", X.oracle("cmt sub", f"""SELECT id, created_utc, source_month, subreddit, author, {B.SQL_FLAIR} AS author_flair_text, title, selftext, is_self, 'self.' || subreddit AS domain,
+    'https://ex.org/' || id AS url, NULL::VARCHAR AS link_flair_text, score, num_comments, upvote_ratio, NULL::VARCHAR AS removed_by_category, score % 7 = 0 AS stickied, mentions_keyword, has_keyword_comment,
+    selftext_deleted, selftext_removed, author_deleted, title_unusable, is_mod_or_bot_post, text, text_clean, {_TIMES}, in_scope
+    FROM (SELECT *, score % 2 = 0 AS is_self, CASE WHEN score % 4 = 0 THEN ' Undecided ' END AS author_flair_text FROM linked WHERE fate = 'kept')""", *CLEAN, *POSTS))
+def g06c(spark, sf_dir):
+    """The cleaned posts in their final schema."""
+    return C.final_table(cleaned_posts(spark, sf_dir), C.POST_SCHEMA)
 
 
 _SIDE = """SELECT coalesce(a.category, b.category) AS category, coalesce(comments, 0) AS comments, coalesce(submissions, 0) AS submissions

@@ -13,13 +13,14 @@ from forumlens.operators import sampling as S
 from forumlens.operators.quantiles import exact_quantiles
 from forumlens.plans import book as B
 from forumlens.plans import fixtures as X
-from forumlens.session import small_side
+from forumlens.session import cut_lineage, small_side
 from forumlens.sources.readers import rows_with_ids
 from forumlens.plans.h_windows import STRATA, cand_sql, candidates
 
 BOOK = B.Book()
 add = BOOK.add
-TOTAL = 60
+PERCENT = 60  # of the eligible rows, so that some strata are taken whole
+TOTAL = f"(SELECT count(*) * {PERCENT} // 100 FROM cand)"
 
 # the cap is found by trying every value, independent of the running-sum rule on the Spark side
 SIZES = ("sizes", "SELECT subreddit, source_month, count(*) AS stratum_size FROM cand GROUP BY 1, 2")
@@ -33,7 +34,7 @@ DRAWN = (SIZES, CAP, PLAN, CHOSEN, SAMPLE)
 
 
 def drawn(spark, sf_dir):
-    return S.stratified_sample(candidates(spark, sf_dir), STRATA, TOTAL)
+    return S.stratified_sample(candidates(spark, sf_dir), STRATA, percent=PERCENT)
 
 
 def drawn_with_text(spark, sf_dir):
@@ -46,7 +47,8 @@ def drawn_with_text(spark, sf_dir):
 
 @add("i01_even_allocation", cand_sql("SELECT * FROM plan", *DRAWN[:3]))
 def i01(spark, sf_dir):
-    return S.allocate(R.group_sizes(candidates(spark, sf_dir), STRATA, "stratum_size"), STRATA, TOTAL)
+    sizes = cut_lineage(R.group_sizes(candidates(spark, sf_dir), STRATA, "stratum_size"))
+    return S.allocate(sizes, STRATA, S.total_of(sizes, PERCENT))
 
 
 @add("i02_hash_rank", cand_sql("SELECT id, rank FROM cand"))
@@ -60,7 +62,7 @@ def i03(spark, sf_dir):
     return drawn_with_text(spark, sf_dir).select("id", *STRATA, "part", "order", "stratum_size", "stratum_sampled", "text")
 
 
-@add("i04_sample_fingerprint", cand_sql("SELECT count(*) AS rows, sha256(string_agg(id, chr(10) ORDER BY id)) AS sha256 FROM sample", *DRAWN))
+@add("i04_sample_fingerprint", cand_sql("SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(digest, chr(10) ORDER BY bucket)) AS sha256 FROM (SELECT substr(sha256(id), 1, 4) AS bucket, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS digest FROM sample GROUP BY 1)", *DRAWN))
 def i04(spark, sf_dir):
     return S.fingerprint(drawn(spark, sf_dir))
 

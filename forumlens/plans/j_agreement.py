@@ -134,14 +134,14 @@ def error_sql(replicates: str, keys: list[str], by: list[str] | None = None, val
     inner = ", ".join(f"q.{v}, sum(q.{v} * d.times) OVER w / sum(d.times) FILTER (WHERE q.{v} IS NOT NULL) OVER w AS mean_{v}" for v in values)
     outer = ", ".join(f"sqrt((sum(times) - 1.0) / sum(times) * sum(times * ({v} - mean_{v}) * ({v} - mean_{v}))) AS {v}_se" for v in values)
     plain = ", ".join(keys)
-    return (f"SELECT {plain}, {outer} FROM (SELECT {k}, d.times, {inner} FROM {replicates} q JOIN cells d ON q.replicate = d.replicate{on} "
+    return (f"SELECT {plain}, sum(times) AS size, {outer} FROM (SELECT {k}, d.times, {inner} FROM {replicates} q JOIN cells d ON q.replicate = d.replicate{on} "
             f"WINDOW w AS (PARTITION BY {k})) GROUP BY {plain}")
 
 
 def interval_sql(point: str, errors: str, keys: list[str], more: str = "") -> str:
     """Values and errors; both ends of the interval must fit the error."""
     k, on = ", ".join(f"p.{c}" for c in keys), " AND ".join(f"p.{c} = e.{c}" for c in keys)
-    return f"SELECT {k}, round(p.value, 6) AS value, round(e.value_se, 6) AS se, true AS ci_fits{more} FROM {point} p JOIN {errors} e ON {on}"
+    return f"SELECT {k}, round(p.value, 6) AS value, round(e.value_se, 6) AS se, CASE WHEN e.size >= 30 THEN true END AS ci_fits{more} FROM {point} p JOIN {errors} e ON {on}"
 
 
 CHECKED = ("value", "se", "ci_fits")  # the ends themselves are random draws
@@ -358,8 +358,8 @@ def share_sql(source: str, by: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
 
-@add("j25_shares_and_gaps", sql("""SELECT p.grp, p.source, p.measure, p.n, round(p.value, 6) AS value, round(e.value_se, 6) AS se, true AS fits,
-      round(p.gap, 6) AS gap, round(e.gap_se, 6) AS gap_se, true AS gap_fits
+@add("j25_shares_and_gaps", sql("""SELECT p.grp, p.source, p.measure, p.n, round(p.value, 6) AS value, round(e.value_se, 6) AS se, CASE WHEN e.size >= 30 THEN true END AS fits,
+      round(p.gap, 6) AS gap, round(e.gap_se, 6) AS gap_se, CASE WHEN e.size >= 30 THEN true END AS gap_fits
     FROM point p JOIN errors e ON p.grp = e.grp AND p.source = e.source AND p.measure = e.measure""",
     *left_out_sql("rate", SOURCES, ["grp"]), ("point", share_sql("rate", ["grp"])), ("replicates", share_sql("left_out", ["grp", "replicate"])),
     ("errors", error_sql("replicates", ["grp", "source", "measure"], ["grp"], ("value", "gap")))))
@@ -393,8 +393,8 @@ def change_sql(source: str, by: list[str]) -> str:
                               for s in SOURCES for m in MEASURES)
 
 
-@add("j26_change_between_terms", sql("""SELECT p.source, p.measure, round(p.value, 6) AS change, round(e.value_se, 6) AS se, true AS fits,
-      round(p.extra, 6) AS minus_reference, round(e.extra_se, 6) AS minus_se, true AS minus_fits
+@add("j26_change_between_terms", sql("""SELECT p.source, p.measure, round(p.value, 6) AS change, round(e.value_se, 6) AS se, CASE WHEN e.size >= 30 THEN true END AS fits,
+      round(p.extra, 6) AS minus_reference, round(e.extra_se, 6) AS minus_se, CASE WHEN e.size >= 30 THEN true END AS minus_fits
     FROM point p JOIN errors e ON p.source = e.source AND p.measure = e.measure""",
     *left_out_sql("rate", [*SOURCES, "term"]), ("point", change_sql("rate", [])), ("replicates", change_sql("left_out", ["replicate"])),
     ("errors", error_sql("replicates", ["source", "measure"], None, ("value", "extra")))))

@@ -21,7 +21,8 @@ from forumlens.plans import book as B
 from forumlens.session import cut_lineage
 from forumlens.plans import fixtures as X
 from forumlens.plans.f_joins import CONTEXT, placed
-from forumlens.plans.i_sampling import WEIGHTED, folded, weighted
+from forumlens.plans.i_sampling import FOLDS, WEIGHTED, folded, weighted
+from forumlens.sources.readers import rows_with_ids
 
 BOOK = B.Book()
 add = BOOK.add
@@ -35,27 +36,55 @@ def labelled_texts(spark, sf_dir):
 
 
 def train_and_test(spark, sf_dir, kind):
+    """Rows per side of the split, terms within the document limits, and whether the test rows are told apart
+    better than by the most frequent label of the training rows."""
     rows = labelled_texts(spark, sf_dir)
-    fitted = M.TextClassifier(kind, iterations=20).fit(rows.filter("split = 'train'"), "text", "final")
-    return M.evaluate(fitted.predict(rows.filter("split <> 'train'"), "text"), "final")
+    train, rest = rows.filter("split = 'train'"), rows.filter("split <> 'train'")
+    fitted = M.TextClassifier(kind).fit(train, "text", "final")
+    found = M.evaluate(fitted.predict(rest, "text"), "final")
+    usual = train.groupBy("final").count().orderBy(F.desc("count"), "final").first()["final"]
+    plain = M.evaluate(rest.withColumn("predicted", F.lit(usual)), "final").first()["macro_f1"]
+    return found.select(F.lit(train.count()).alias("train_rows"), F.col("n").alias("test_rows"), F.lit(len(fitted.counter.vocabulary)).cast("bigint").alias("terms"),
+                        (F.col("macro_f1") > plain).alias("beats_majority"))
 
 
-@add("k01_word_classifier")
+MARKED, PLAIN_LETTERS = M.accents()
+TEXTS = ("texts", "SELECT f.k, f.final, f.split, d.text FROM folded f JOIN documents d ON f.k = d.doc_id")
+# the terms of a training text: words and pairs of neighbours, or pieces of 3 to 5 characters inside padded words
+WORDS = (("lists", f"SELECT k, regexp_extract_all(lower(translate(text, '{MARKED}', '{PLAIN_LETTERS}')), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM texts WHERE split = 'train'"),
+         ("terms", "SELECT DISTINCT k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM lists"))
+PIECES = (("padded", f"SELECT k, ' ' || unnest(list_filter(string_split_regex({B.sql_strip('lower(text)')}, '{B.WS}+'), lambda x: x <> '')) || ' ' AS w FROM texts WHERE split = 'train'"),
+          ("terms", "SELECT DISTINCT k, substr(w, CAST(i AS BIGINT), CAST(n AS BIGINT)) AS term FROM (SELECT k, w, n, unnest(range(1, greatest(length(w) - n + 1, 1) + 1)) AS i FROM (SELECT DISTINCT k, w, unnest(range(3, least(5, greatest(3, length(w))) + 1)) AS n FROM padded))"))
+
+
+def model_sql(terms: tuple, limits: str) -> str:
+    return X.oracle("rate", f"""SELECT count(*) FILTER (WHERE split = 'train')::INTEGER AS train_rows, count(*) FILTER (WHERE split <> 'train') AS test_rows,
+      (SELECT least(120000, count(*)) FROM (SELECT term FROM terms GROUP BY term HAVING {limits})) AS terms, true AS beats_majority FROM folded""", *FOLDS, TEXTS, *terms)
+
+
+@add("k01_word_classifier", model_sql(WORDS, "count(*) >= 3 AND count(*) <= 0.995 * (SELECT count(*) FROM lists)"))
 def k01(spark, sf_dir):
     return train_and_test(spark, sf_dir, "word")
 
 
-@add("k02_character_classifier")
+@add("k02_character_classifier", model_sql(PIECES, "count(*) >= 5"))
 def k02(spark, sf_dir):
     return train_and_test(spark, sf_dir, "character")
 
 
-@add("k03_selection_and_refit")
+@add("k03_selection_and_refit", X.oracle("rate", """SELECT model, part, n, true AS above_chance, chosen FROM (
+    SELECT unnest(['word', 'character']) AS model, 'validation' AS part, count(*) FILTER (WHERE split = 'validation') AS n, NULL::BOOLEAN AS chosen FROM folded
+    UNION ALL SELECT 'best', 'test', count(*) FILTER (WHERE split = 'test'), true FROM folded)""", *FOLDS))
 def k03(spark, sf_dir):
+    """Which model is chosen depends on the fit; that it is the best one on the validation rows does not."""
     rows = labelled_texts(spark, sf_dir)
     part = lambda name: rows.filter(F.col("split") == name)
-    return M.select_and_refit(part("train"), part("validation"), part("test"), "text", "final",
-                              {k: M.TextClassifier(k, iterations=20) for k in ("word", "character")})
+    found = cut_lineage(M.select_and_refit(part("train"), part("validation"), part("test"), "text", "final",
+                                           {k: M.TextClassifier(k) for k in ("word", "character")}))
+    best = found.filter("part = 'validation'").agg(F.max(F.struct("macro_f1", "model"))["model"].alias("m")).first()["m"]
+    tested = F.col("part") == "test"
+    return found.select(F.when(tested, "best").otherwise(F.col("model")).alias("model"), "part", "n",
+                        (F.col("macro_f1") > 0.25).alias("above_chance"), F.when(tested, F.col("model") == best).alias("chosen"))
 
 
 @add("k04_term_statistics", X.oracle("", """SELECT term, count(*) AS docs, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1, 6) AS idf
@@ -98,10 +127,10 @@ def k05(spark, sf_dir):
     return label_comments(X.cmt(spark, sf_dir).select("id", "created_utc", "body"))
 
 
-@add("k06_smoke_run")
+@add("k06_smoke_run", X.oracle("cmt", "SELECT student_label, count(*) AS rows FROM (SELECT * FROM scored ORDER BY created_utc, id LIMIT 2000) GROUP BY 1", *SCORED))
 def k06(spark, sf_dir):
     """The feature is a look at the first 2,000 rows."""
-    return S.smoke_run(X.cmt(spark, sf_dir).select("id", "created_utc", "body"), 2000, label_comments)
+    return S.smoke_run(X.cmt(spark, sf_dir).select("id", "created_utc", "body"), 2000, label_comments, ["created_utc", "id"])
 
 
 @add("k07_token_lengths", X.oracle("rate", " UNION ALL ".join(f"SELECT {t} AS \"limit\", round(100 * avg(CASE WHEN tokens > {t} THEN 1.0 ELSE 0 END), 6) AS share_of_sample, round(100 * sum(CASE WHEN tokens > {t} THEN w ELSE 0 END) / sum(w), 6) AS share_weighted FROM tok" for t in V.TOKEN_LIMITS), WEIGHTED,
@@ -198,9 +227,11 @@ def k15(spark, sf_dir):
 
 @add("k16_result_export", X.oracle("cmt rate", f"SELECT r.id, s.snippet, final, model_a, model_b, p_pro, round(p_pro - p_against, 6) AS score FROM rate r JOIN (SELECT id, min(substr(regexp_replace(body, '{B.WS}+', ' ', 'g'), 1, 160)) AS snippet FROM cmt GROUP BY 1) s ON r.id = s.id"))
 def k16(spark, sf_dir):
-    """One row per rated text with every label; the one-to-one joins are checked."""
-    rate = X.rate(spark, sf_dir)
-    snippets = X.cmt(spark, sf_dir).groupBy("id").agg(F.min(T.snippet("body")).alias("snippet"))
+    """One row per rated text with every label; the one-to-one joins are checked. Only rated comments are cut out
+    of the table and cleaned."""
+    rate = cut_lineage(X.rate(spark, sf_dir).select("id", "final", "model_a", "model_b", "p_pro", F.round(G.signed_score(), 6).alias("score")))
+    rated = rows_with_ids(X.cmt(spark, sf_dir).select("id", "body"), rate)
+    snippets = rated.groupBy("id").agg(F.min(T.snippet("body")).alias("snippet"))
     first = join_validated(rate.select("id", "final"), rate.select("id", "model_a", "model_b"), ["id"])
-    second = join_validated(first, rate.select("id", "p_pro", F.round(G.signed_score(), 6).alias("score")), ["id"])
+    second = join_validated(first, rate.select("id", "p_pro", "score"), ["id"])
     return second.join(snippets, "id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from forumlens import session
 from forumlens.plans import book as B
 from forumlens.plans import fixtures as X
@@ -13,9 +15,21 @@ BOOK = B.Book()
 add = BOOK.add
 
 
-def comment_stream(spark, sf_dir):
-    schema = X.table(spark, sf_dir, "documents").schema
-    return X.cmt_from(J.read_files(spark, sf_dir, schema, "documents.parquet"))
+ARRIVALS = 4
+
+
+def comment_stream(spark, sf_dir, again: str = "false"):
+    """Comments whose files arrive in four batches. Every batch has rows of all months, so months and threads
+    go on after later ones began; rows that satisfy ``again`` arrive a second time, one batch later."""
+    documents = X.table(spark, sf_dir, "documents")
+    folder = session.new_table_path(spark, "arrivals")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))
+    parts = F.when(F.expr(again), F.array(part, F.pmod(part + 1, F.lit(ARRIVALS)))).otherwise(F.array(part))
+    documents.withColumn("arrival", F.explode(parts)).write.partitionBy("arrival").parquet(folder)
+    files = len(spark.read.parquet(folder).inputFiles())
+    schema = spark.read.parquet(folder).schema
+    arriving = J.read_files(spark, folder, schema, files_per_batch=max(1, files // ARRIVALS))
+    return X.cmt_from(arriving.drop("arrival"))
 
 
 def finish(stream, spark, name):
@@ -31,8 +45,9 @@ def l01(spark, sf_dir):
 
 @add("l02_stateful_dedupe", X.oracle("cmt", f"SELECT DISTINCT source_month, id FROM cmt WHERE {B.sql_mentions('body')}"))
 def l02(spark, sf_dir):
-    rows = J.keyword_ingest(comment_stream(spark, sf_dir), B.KEYWORD).select("source_month", "id", "created_utc")
-    return finish(J.first_seen(rows, ["source_month", "id"]).select("source_month", "id"), spark, "dedupe")
+    """A tenth of the rows arrives twice, in different batches."""
+    rows = J.keyword_ingest(comment_stream(spark, sf_dir, "doc_id % 10 = 3"), B.KEYWORD).select("source_month", "id")
+    return finish(J.first_seen(rows, ["source_month", "id"]), spark, "dedupe")
 
 
 @add("l03_incremental_scoring", X.oracle("cmt", "SELECT * FROM scored WHERE (id, created_utc) NOT IN (SELECT id, created_utc FROM cmt WHERE subreddit = 'right')", *SCORED))

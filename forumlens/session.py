@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,14 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@cache
+def _own_folder() -> str:
+    """The folder of a local session; it is removed with the process."""
+    folder = tempfile.mkdtemp(prefix="forumlens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and for the bench; a cluster brings its own."""
     builder = (
@@ -38,6 +49,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("FORUMLENS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.checkpoint.dir", _own_folder())
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in RUNTIME_SETTINGS.items():
         builder = builder.config(key, value)
@@ -46,24 +59,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
-_OWN_FOLDER: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, or the checkpoint folder that the context already has.
 
-    Only a local-mode session without either gets a folder of its own: on a cluster a folder of one machine
-    would not survive the loss of that machine.
+    Only a local-mode session without either gets a folder of its own, which goes when the process ends: on a
+    cluster a folder of one machine would not survive the loss of that machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    application = spark.sparkContext.applicationId
-    if application not in _OWN_FOLDER:
-        _OWN_FOLDER[application] = tempfile.mkdtemp(prefix="forumlens-")
-    return _OWN_FOLDER[application]
+    return _own_folder()
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
@@ -80,14 +87,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# a side with at most this many narrow rows is broadcast; a larger one is joined by shuffle
+# a side of at most so many rows and bytes is broadcast; a larger one is joined by shuffle, with the same result
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """Compute an aggregate once, count it, and mark it for broadcast if it is as small as expected.
+    """Compute an aggregate once, measure it, and mark it for broadcast if it is as small as expected.
 
     Without the mark the plan would first shuffle the large side by a key that may be hot.
     """
     kept = cut_lineage(df)
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in kept.columns]))))
+    rows, bytes_ = kept.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(kept) if rows <= BROADCAST_ROWS and bytes_ <= BROADCAST_BYTES else kept

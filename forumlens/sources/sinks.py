@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +21,31 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return path
 
 
-def write_month_csv(df: DataFrame, path: str, month: str = "source_month") -> str:
-    """One folder of CSV files per month; blanks at the ends of a field are kept."""
-    (balanced(df, [month]).write.mode("errorifexists").partitionBy(month).option("header", True).option("escape", '"')
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+def _csv(df: DataFrame):
+    return (df.write.mode("errorifexists").option("header", True).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+
+
+def write_month_csv(df: DataFrame, path: str, month: str = "source_month", months: list[str] | None = None) -> str:
+    """One folder of CSV files per month; blanks at the ends of a field are kept.
+
+    Months of the calendar ``months`` that have no row get a file with the header and nothing else.
+    """
+    _csv(balanced(df, [month])).partitionBy(month).csv(path)
+    if months is not None:
+        there = df.sparkSession.read.option("header", True).csv(path).select(F.col(month).cast("string"))
+        nothing = df.drop(month).limit(0)
+        for row in empty_months(there, months, month).collect():
+            _csv(nothing.coalesce(1)).csv(f"{path}/{month}={row[0]}")
     return path
 
 
+def written_months(spark: SparkSession, path: str, month: str = "source_month") -> DataFrame:
+    """The months that have a file, be it one with a header only."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(f"{path}/{month}=*").select("path")
+    return files.select(F.regexp_extract("path", f"{month}=([^/]+)/", 1).alias(month)).distinct()
+
+
 def write_labels(df: DataFrame, path: str) -> str:
     (df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).write.mode("errorifexists")
      .option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
@@ -42,30 +63,57 @@ class PublishError(ValueError):
     """A rewritten table does not fit the one it replaces."""
 
 
-def _rename(spark: SparkSession, source: str, target: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    system = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.rename(path(source), path(target)):
-        raise PublishError(f"could not rename {source} to {target}")
+def _difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that do not occur equally often on both sides; null is a key like any other."""
+    one = left.select(*keys, F.lit(1).alias("__n")).unionByName(right.select(*keys, F.lit(-1).alias("__n")))
+    return one.groupBy(*keys).agg(F.sum("__n").alias("__n")).filter("__n <> 0")
+
+
+VERSIONS = "versions"
+
+
+def _versions(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("version int, name string, rows long").parquet(f"{root}/{VERSIONS}")
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The newest published version of a table."""
+    newest = _versions(spark, root).agg(F.max(F.struct("version", "name"))["name"]).first()[0]
+    return spark.read.parquet(f"{root}/{newest}")
+
+
+def _announce(spark: SparkSession, root: str, version: int, name: str, rows: int) -> None:
+    """From this one-row file on, readers find the version; until then they find the one before."""
+    spark.createDataFrame([(version, name, rows)], "version int, name string, rows long").coalesce(1).write.mode("append").parquet(f"{root}/{VERSIONS}")
+
+
+def start_table(df: DataFrame, root: str) -> str:
+    """The first version of a table that will get more columns."""
+    write_table(df, f"{root}/v0")
+    _announce(df.sparkSession, root, 0, "v0", df.sparkSession.read.parquet(f"{root}/v0").count())
+    return root
 
 
-def publish(df: DataFrame, path: str, added: list[str]) -> dict:
-    """Write a table with more columns next to the old one, check it, and swap the two by renaming.
+def publish(df: DataFrame, root: str, added: list[str], keys: list[str]) -> dict:
+    """Write a table with more columns as a new version, check it, and announce it.
 
-    The old table stays as ``.bak``.
+    It must have the ids of the version before, as often as there, and its columns followed by ``added``.
+    Earlier versions stay where they are, so a reader is never without a table and nothing is renamed; a version
+    that failed its checks is never announced.
     """
     spark = df.sparkSession
-    old = spark.read.parquet(path)
-    write_table(df, f"{path}.new")
-    new = spark.read.parquet(f"{path}.new")
-    rows_old, rows_new = old.count(), new.count()
-    if rows_old != rows_new:
-        raise PublishError(f"{rows_new} rows instead of {rows_old}")
-    if new.columns != [*old.columns, *added]:
-        raise PublishError(f"columns are {new.columns}")
-    _rename(spark, path, f"{path}.bak")
-    _rename(spark, f"{path}.new", path)
-    return {"rows": rows_new, "columns": len(new.columns)}
+    old = current(spark, root)
+    if df.columns != [*old.columns, *added]:
+        raise PublishError(f"columns are {df.columns}")
+    version = _versions(spark, root).agg(F.max("version")).first()[0] + 1
+    name = f"v{version}-{uuid.uuid4().hex[:8]}"  # a failed attempt leaves a folder that nobody reads
+    new = spark.read.parquet(write_table(df, f"{root}/{name}"))
+    other = _difference(old, new, keys).first()
+    if other is not None:
+        raise PublishError(f"ids differ, among others {dict(zip(keys, other))}")
+    rows = new.count()
+    _announce(spark, root, version, name, rows)
+    return {"rows": rows, "columns": len(new.columns), "version": version}
 
 
 def with_scores(comments: DataFrame, scores: DataFrame, key: str = "id") -> DataFrame:
@@ -74,8 +122,9 @@ def with_scores(comments: DataFrame, scores: DataFrame, key: str = "id") -> Data
 
 
 def unanswered(work: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
-    """Work that has no answer yet."""
-    return work.join(answers.select(*keys), keys, "left_anti")
+    """Work that has no answer yet; a null in a key equals a null."""
+    known = answers.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    return work.join(known, reduce(lambda a, b: a & b, [work[k].eqNullSafe(known[f"__{k}"]) for k in keys]), "left_anti")
 
 
 def append_answers(df: DataFrame, path: str) -> str:

@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from forumlens.functions.flags import utc_time
 from forumlens.functions.text import mentions
 
+# state of streaming operators in files next to the executors, backed up to the checkpoint folder
+DISK_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def read_files(spark: SparkSession, folder: str, schema: StructType, glob: str = "*.parquet",
                files_per_batch: int | None = None) -> DataFrame:
@@ -25,6 +27,7 @@ def read_files(spark: SparkSession, folder: str, schema: StructType, glob: str =
 
 def run(stream: DataFrame, table: str, checkpoint: str) -> DataFrame:
     """Process everything that is there, append it, stop, and return the whole table."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", DISK_STATE)
     query = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start(table))
     query.awaitTermination()
@@ -36,14 +39,13 @@ def keyword_ingest(comments: DataFrame, keyword: str, body: str = "body") -> Dat
     return comments.filter(mentions(body, keyword))
 
 
-def first_seen(comments: DataFrame, keys: list[str], seconds: str = "created_utc", lateness: str = "62 days") -> DataFrame:
-    """Each key once.
+def first_seen(comments: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key once, however late its first row or a copy arrives.
 
-    The state of a key is dropped when the event time has moved on by ``lateness``; a copy that arrives later
-    than that is not recognised, which a batch over the whole table would do.
+    No watermark: it would drop every row behind it, and the state of all keys must stay. ``run`` keeps the
+    state on disk, so it is bounded by the executors' disks and not by their memory.
     """
-    timed = comments.withColumn("event_time", utc_time(seconds)).withWatermark("event_time", lateness)
-    return timed.dropDuplicatesWithinWatermark(keys)
+    return comments.dropDuplicates(keys)
 
 
 def score_new(comments: DataFrame, label: Callable[[DataFrame], DataFrame], answers: DataFrame | None = None,

@@ -89,8 +89,10 @@ def test_keep_first_null_keys_and_gate(spark):
 def test_validated_join_rejects_copies(spark):
     left = spark.createDataFrame([(1, "a"), (1, "b")], "id int, v string")
     right = spark.createDataFrame([(1, "c")], "id int, w string")
-    with pytest.raises(D.DuplicateKeyError):
-        H.join_validated(left, right, ["id"], "1:1")
+    with pytest.raises(Exception, match="left side: 1 occurs 2 times"):
+        H.join_validated(left, right, ["id"], "1:1").collect()
+    with pytest.raises(Exception, match="right side: 1 occurs 2 times"):
+        H.join_validated(right, left, ["id"], "m:1").count()
     assert H.join_validated(left, right, ["id"], "m:1").count() == 2
 
 

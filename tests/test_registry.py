@@ -4,8 +4,11 @@ from oracle_check import compare, connect
 import __spark_entry__ as entry
 from forumlens.plans import registry
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
-SLOW = {"k01_word_classifier", "k02_character_classifier", "k03_selection_and_refit"}
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
+# fits at full length take a minute each: they run at one scale only
+FITS = {"k01_word_classifier", "k02_character_classifier", "k03_selection_and_refit"}
+# switches by size, streams, samples, fits and everything over threads are compared at the larger scale too
+LARGER = sorted(n for n in SQL if n[:1] in "fijkl" or n[:3] in ("a11", "a12", "a13", "g06", "g22", "h05"))
 
 
 @pytest.fixture(scope="module")
@@ -18,25 +21,31 @@ def test_every_operator_is_registered():
     for family, n in counts.items():
         names = {q[:3] for q in QUERIES if q[0] == family}
         assert names == {f"{family}{i:02d}" for i in range(1, n + 1)}
-    assert set(SQL) <= set(QUERIES) and registry.FLAGSHIP in SQL
+    assert set(SQL) == set(QUERIES) and registry.FLAGSHIP in SQL
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL)))
+# at the smallest scale no row satisfies the condition of these
+MAY_BE_EMPTY = set()
+
+
+@pytest.mark.parametrize("name", sorted(set(SQL) - FITS))
 def test_query_equals_its_sql(spark, sf_dir, con, name):
-    problems = [p for p in compare(QUERIES[name](spark, sf_dir), con, SQL[name]) if p != "no rows"]
-    assert not problems
+    problems = compare(QUERIES[name](spark, sf_dir), con, SQL[name])
+    assert not [p for p in problems if p != "no rows" or name not in MAY_BE_EMPTY]
+
+
+@pytest.mark.parametrize("name", LARGER)
+def test_query_equals_its_sql_at_a_larger_scale(spark, name):
+    larger = "/root/testdata/sf0.01"
+    assert not compare(QUERIES[name](spark, larger), connect(larger), SQL[name])
 
 
 def test_the_comparison_notices_a_difference(spark, sf_dir, con):
     df = QUERIES["i02_hash_rank"](spark, sf_dir)
     assert compare(df.limit(3), con, SQL["i02_hash_rank"])
     assert compare(df.withColumn("rank", df["id"]), con, SQL["i02_hash_rank"])
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
-def test_query_without_sql_returns_rows(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0

@@ -82,7 +82,11 @@ def test_sample_is_the_same_for_any_partitioning(people):
     assert a == b and len(a) == 100
     parts = first.groupBy("part").agg(F.count("*").alias("n"), F.max("order").alias("m")).collect()
     assert all(p["n"] == p["m"] == 50 for p in parts)
-    digest = hashlib.sha256("\n".join(sorted(x[0] for x in a)).encode()).hexdigest()
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    buckets = {}
+    for x in sorted(x[0] for x in a):
+        buckets.setdefault(sha(x)[:4], []).append(x)
+    digest = sha("\n".join(sha("\n".join(buckets[b])) for b in sorted(buckets)))
     assert S.fingerprint(first).first()["sha256"] == digest
     with pytest.raises(ValueError):
         S.require_fingerprint(first, "0" * 64)
@@ -181,3 +185,22 @@ def test_intervals_and_errors_against_brute_force(spark):
     for end, q in (("low", 0.025), ("high", 0.975)):
         assert found[f"accuracy_{end}"] == pytest.approx(np.quantile(accuracy, q), abs=0.02)
     assert all(r["ci_fits"] for r in Z.as_rows(Z.with_intervals(rows, [], ["label_1", "label_2"], statistics), [], ["accuracy", "kappa"]).collect())
+
+
+@pytest.mark.parametrize("rows", [0, 200_000])
+def test_joins_agree_on_both_sides_of_the_broadcast_limit(spark, monkeypatch, rows):
+    from forumlens import session
+    monkeypatch.setattr(session, "BROADCAST_ROWS", rows)
+    frame = spark.range(3000).select("id", (F.col("id") % 7).cast("string").alias("g"))
+    sized = R.with_group_sizes(frame, ["g"], "n")
+    assert {(r["g"], r["n"]) for r in sized.select("g", "n").distinct().collect()} == {(str(i), 429 if i < 4 else 428) for i in range(7)}
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_tone_is_the_same_with_a_joined_lexicon(spark, monkeypatch, limit):
+    from forumlens.operators import scoring
+    monkeypatch.setattr(scoring, "LEXICON_WORDS", limit)
+    texts = spark.createDataFrame([(1, "good good bad"), (2, "nothing here"), (3, None), (4, "BAD")], "id int, t string")
+    words = spark.createDataFrame([("good", 2.0), ("bad", -1.0)], "word string, w double")
+    tone = {r["id"]: round(r["tone"], 6) for r in scoring.lexicon_tone(texts, "t", ["id"], words).collect()}
+    assert tone == {1: round(3 / 24 ** 0.5, 6), 2: 0.0, 3: 0.0, 4: -0.25}

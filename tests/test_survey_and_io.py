@@ -42,7 +42,7 @@ def test_default_waves_harmonise(spark):
         row[wave["date"]] = date
         second = {**row, wave["id"]: 2, wave["weight"]: 3, wave["approval"]: None if wave.get("asked") else 9}
         sources[wave["wave_id"]] = spark.createDataFrame(pd.DataFrame([row, second]))
-    resp = S.harmonise(sources, V.WAVES)
+    resp = S.harmonise(sources)
     assert resp.count() == 2 * 9 - 1 and len(resp.columns) == 15
     quality = {r["wave_id"]: r for r in S.wave_quality(resp).collect()}
     assert quality["Jan18"]["approve_pct"] == 25.0 and quality["Typology17"]["n_respondents"] == 1
@@ -66,6 +66,7 @@ def test_low_cardinality(spark):
     assert set(found) == {"five", "flag", "same"}
     assert found["flag"]["bool_like"] and found["flag"]["null_pct"] == 50.0 and not found["same"]["bool_like"]
     assert [r["column_name"] for r in P.constant_columns(rows, rows.columns).collect()] == ["flag", "same"]
+    assert P.low_cardinality_scan(rows.select("six"), ["six"]).count() == 0
 
 
 def test_type_repair(spark):
@@ -85,12 +86,37 @@ def test_month_files_round_trip(spark):
         readers.read_month_files(spark, path + "/nothing-*", readers.text_schema(["id"]))
 
 
-def test_publish_checks_the_rows(spark):
-    path = sinks.write_table(spark.range(5).withColumnRenamed("id", "k"), session.new_table_path(spark, "t"))
-    old = spark.read.parquet(path)
-    with pytest.raises(sinks.PublishError):
-        sinks.publish(old.filter("k > 0").withColumn("s", F.lit(1)), path, ["s"])
-    assert spark.read.parquet(path).columns == ["k"]
+def test_publish_checks_columns_and_ids(spark):
+    root = sinks.start_table(spark.range(5).withColumnRenamed("id", "k"), session.new_table_path(spark, "t"))
+    old = sinks.current(spark, root)
+    for wrong in (old.filter("k > 0").withColumn("s", F.lit(1)), old.withColumn("k", F.col("k") + 1).withColumn("s", F.lit(1)),
+                  old.withColumn("k", F.when(F.col("k") > 0, F.col("k"))).withColumn("s", F.lit(1)), old.withColumn("x", F.lit(1))):
+        with pytest.raises(sinks.PublishError):
+            sinks.publish(wrong, root, ["s"], ["k"])
+    assert sinks.current(spark, root).columns == ["k"]
+
+
+def test_publish_twice(spark):
+    root = sinks.start_table(spark.createDataFrame([("a",), (None,), (None,)], "k string"), session.new_table_path(spark, "t"))
+    for name in ("first", "second"):
+        assert sinks.publish(sinks.current(spark, root).withColumn(name, F.lit(1)), root, [name], ["k"])["rows"] == 3
+    assert sinks.current(spark, root).columns == ["k", "first", "second"] and sinks.current(spark, root).count() == 3
+
+
+def test_month_without_rows_gets_a_header(spark):
+    rows = spark.createDataFrame([("a", "x", "2017-01")], "id string, body string, source_month string")
+    path = sinks.write_month_csv(rows, session.new_table_path(spark, "t"), months=["2017-01", "2017-02"])
+    assert sorted(r[0] for r in sinks.written_months(spark, path).collect()) == ["2017-01", "2017-02"]
+    text = spark.read.text(f"{path}/source_month=2017-02").collect()
+    assert [r["value"] for r in text] == ["id,body"]
+    assert readers.read_month_files(spark, path + "/*", readers.text_schema(["id", "body"])).count() == 1
+
+
+def test_resume_knows_rows_with_null_keys(spark):
+    path = session.new_table_path(spark, "answers")
+    work = spark.createDataFrame([("a",), (None,)], "id string")
+    for _ in range(3):
+        assert sinks.resume(work, path, ["id"], lambda df: df.withColumn("n", F.lit(1)), "v", "1").count() == 2
 
 
 def test_resume_scores_each_row_once_and_checks_settings(spark):
@@ -120,6 +146,8 @@ def test_streams_take_only_new_files(spark):
     arrive([("a", "2017-01", 220, "the x"), ("c", "2017-01", 300, "the y"), ("a", "2017-02", 320, "the x")])
     assert sorted((r["id"], r["source_month"]) for r in run().collect()) == [("a", "2017-01"), ("a", "2017-02"), ("c", "2017-01")]
     assert run().count() == 3
+    arrive([("late", "2016-01", 1, "the first of an old month"), ("c", "2017-01", 300, "the y")])
+    assert sorted(r["id"] for r in run().collect()) == ["a", "a", "c", "late"]
 
 
 def test_answers(spark):
