@@ -13,8 +13,8 @@ Windows without any shingle of an item of their size have similarity zero, so th
 looked up in the items' vocabulary, five known words in a row in the items' shingles, and only windows over such places
 are fingerprinted. Fingerprints of all windows of a stretch come from running sums, one pass per item size.
 
-The benchmark goes along with the tasks, ``BLOCK_ITEMS`` items at a time: a larger benchmark means more passes, each
-with an index of bounded size. Items of fewer than five words are not looked for, as their text occurs by chance.
+The benchmark goes along with the tasks, ``BLOCK_ITEMS`` items or ``BLOCK_BYTES`` of text at a time: a larger benchmark
+means more passes, each with an index of bounded size. Items of fewer than five words are not looked for, as their text occurs by chance.
 
 Results on edges: null and empty texts are clean. A document shorter than an item is one window. Null items and items
 with equal text count once each under their own id; null item ids are left out. Overlapping hits of one item count
@@ -40,7 +40,8 @@ WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 24
 BLOCKS = 8
-BLOCK_ITEMS = 50_000
+BLOCK_ITEMS = 50_000     # items of a pass, and
+BLOCK_BYTES = 16 << 20   # bytes of their texts
 _WORD = re.compile(r"\w+")
 
 
@@ -206,10 +207,11 @@ HIT = StructType([StructField("item_id", LongType()), StructField("start", Integ
                   StructField("similarity", DoubleType())])
 
 
-def item_blocks(benchmark: DataFrame, text: str = "text", key: str = "item_id", size: int = BLOCK_ITEMS):
-    """The items in lists of at most about ``size``, one at a time on the driver; every block has its own hash range."""
+def item_blocks(benchmark: DataFrame, text: str = "text", key: str = "item_id", size: int = BLOCK_ITEMS, bytes_: int = BLOCK_BYTES):
+    """The items in lists of about ``size`` or ``bytes_`` at most, one at a time on the driver, by their hash."""
     items = benchmark.filter(col(key).isNotNull() & col(text).isNotNull()).select(col(key).cast("long").alias("i"), col(text).alias("t"))
-    blocks = max(1, math.ceil(items.count() / size))
+    count, total = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    blocks = max(1, math.ceil(count / size), math.ceil(total / bytes_))
     for block in range(blocks):
         chosen = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
         yield [(r["i"], r["t"]) for r in chosen.collect()]
