@@ -1,7 +1,8 @@
 """Exact quantiles with linear interpolation that never sort a whole column in one task.
 
 A mergeable sketch with a guaranteed rank error brackets each wanted order statistic. A second pass counts
-the values below the bracket and keeps only distinct values inside it, so the exact step sorts a sliver.
+the values below the bracket and keeps only distinct values inside it, cut into slices, so the exact step sorts a sliver
+of a sliver.
 """
 
 from __future__ import annotations
@@ -16,6 +17,15 @@ from forumlens.session import cut_lineage, small_side
 ACCURACY = 10_000
 
 
+SLICES = 256
+
+
+def _slice(value: str, low: str, high: str) -> Column:
+    """The slice of a bracket that a value lies in; slices are in the order of the values."""
+    share = F.try_divide(F.col(value) - F.col(low), F.col(high) - F.col(low))
+    return F.coalesce(F.least(F.floor(share * SLICES), F.lit(SLICES - 1)), F.lit(0)).cast("int")
+
+
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: dict[str, float],
                     accuracy: int = ACCURACY, settle: bool = False) -> DataFrame:
     """One row per group with a column per entry of ``probabilities``; nulls are left out.
@@ -54,25 +64,41 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: dic
     counts = below.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(n).alias("name"), F.col(f"__b{i}").alias("n")) for i, n in enumerate(names)])).alias("b"))
     # inside, every distinct value is counted; a row is repeated only for the brackets that it lies in
-    cells = (marked.select(*keys, "__n", "__v", F.explode(F.filter("__spec", lambda s: F.col("__v").between(s["lo"], s["hi"]))).alias("s"))
-             .groupBy(*keys, "__n", F.col("s.name").alias("__name"), F.col("s.p").alias("__p"), "__v").agg(F.count(F.lit(1)).alias("__c")))
-    ordered = W.partitionBy(*keys, "__name").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    inside = F.filter("__spec", lambda s: F.col("__v").between(s["lo"], s["hi"]))
+    cells = cut_lineage(
+        marked.select(*keys, "__n", "__v", F.explode(inside).alias("s"))
+        .groupBy(*keys, "__n", F.col("s.name").alias("__name"), F.col("s.p").alias("__p"), _slice("__v", "s.lo", "s.hi").alias("__slice"), "__v")
+        .agg(F.count(F.lit(1)).alias("__c")))
+    # a bracket is cut into slices of equal width; only those that hold the wanted positions are ordered
     named = counts.select(*keys, F.col("b.name").alias("__name"), F.col("b.n").alias("__below"))
-    running = attach(cells, small_side(named), [*keys, "__name"]).withColumn("__to", F.col("__below") + F.sum("__c").over(ordered))
+    group = [*keys, "__name"]
     place = F.col("__p") * (F.col("__n") - 1)
     lower, upper = F.floor(place), F.ceil(place)
+    slices = cells.groupBy(*group, "__p", "__n", "__slice").agg(F.sum("__c").alias("__s"))
+    earlier = W.partitionBy(*group).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    placed = attach(slices, small_side(named), group).withColumn("__start", F.col("__below") + F.coalesce(F.sum("__s").over(earlier), F.lit(0)))
+
+    def holds(position: Column) -> Column:
+        return (F.col("__start") <= position) & (position < F.col("__start") + F.col("__s"))
+
+    chosen = small_side(placed.filter(holds(lower) | holds(upper)).select(*group, "__slice", "__start", "__below"))
+    ordered = W.partitionBy(*group, "__slice").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    running = (attach(cells, chosen, [*group, "__slice"]).filter(F.col("__start").isNotNull())
+               .withColumn("__to", F.col("__start") + F.sum("__c").over(ordered)))
 
     def at(position: Column) -> Column:
         return F.min(F.when(F.col("__to") > position, F.col("__v")))
 
     outside = (F.max("__below") > F.max(lower)) | (F.max("__to") <= F.max(upper))
-    points = running.groupBy(*keys, "__name").agg(
+    points = running.groupBy(*group).agg(
         F.when(outside, F.raise_error(F.lit("quantile outside its bracket")).cast("double")).otherwise(at(lower)).alias("__a"),
         at(upper).alias("__b"), F.max(place - lower).alias("__f"))
     one = points.select(*keys, "__name", (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__f")).alias("__q"))
     wide = one.groupBy(*keys).agg(*[
         F.max(F.when(F.col("__name") == name, F.col("__q"))).alias(name) for name in names])
-    return attach(wide, F.broadcast(ends) if not by else ends, keys).select(*by, *probabilities)
+    lost = F.raise_error(F.lit("quantile outside its bracket")).cast("double")
+    checked = attach(ends, wide, keys).withColumns({n: F.coalesce(F.col(n), lost) for n in names})
+    return checked.select(*by, *probabilities)
 
 
 def quartile_labels(df: DataFrame, value: str, out: str, unit: str) -> DataFrame:
