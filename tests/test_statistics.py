@@ -204,3 +204,15 @@ def test_tone_is_the_same_with_a_joined_lexicon(spark, monkeypatch, limit):
     words = spark.createDataFrame([("good", 2.0), ("bad", -1.0)], "word string, w double")
     tone = {r["id"]: round(r["tone"], 6) for r in scoring.lexicon_tone(texts, "t", ["id"], words).collect()}
     assert tone == {1: round(3 / 24 ** 0.5, 6), 2: 0.0, 3: 0.0, 4: -0.25}
+
+
+@pytest.mark.parametrize("kind", ["word", "character"])
+def test_classifier_learns_marked_texts(spark, kind):
+    from forumlens.operators.classifiers import TextClassifier, evaluate
+    marks = {"against": "gräßlich bad", "neutral": "maybe so", "pro": "lovely best"}
+    rows = [(i, f"text {i % 7} {marks[c]} {'filler ' * (i % 5)}" if i % 11 else "", c) for i in range(90) for c in A.V.CLASSES]
+    df = spark.createDataFrame(rows, "id int, text string, label string")
+    fitted = TextClassifier(kind, iterations=10).fit(df, "text", "label")
+    found = evaluate(fitted.predict(df, "text"), "label").first()
+    assert found["n"] == 270 and found["accuracy"] > 0.9
+    assert fitted.predict(df.withColumn("text", F.lit(None).cast("string")), "text").count() == 270
