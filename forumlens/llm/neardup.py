@@ -251,13 +251,16 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", radius
     """One row of each group of near duplicates, with the columns of the table.
 
     It is the row with the smallest id, then with the smallest digest of its columns; of wholly equal rows one."""
-    marked = docs.withColumn("__row", F.xxhash64(*[col(c) for c in docs.columns]))
-    groups = components_of(marked, text, key, radius, ("__row",))
-    order = F.struct(col(key).isNull().alias("none"), col(key).alias("id"), F.col("__row").alias("row"))
+    columns = [col(c) for c in docs.columns]
+    digest = ["__row1", "__row2"]  # 128 bits, so that different rows are told apart in tables of any size
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in columns])  # the hash passes over nulls
+    marked = docs.withColumns({"__row1": F.xxhash64(nulls, *columns), "__row2": F.xxhash64(F.lit(1), nulls, *columns)})
+    groups = components_of(marked, text, key, radius, tuple(digest))
+    order = F.struct(col(key).isNull().alias("none"), col(key).alias("id"), *digest)
     first = groups.groupBy("__component").agg(F.min(order).alias("first"))
-    wanted = first.select(F.col("first.id").alias("__key"), F.col("first.row").alias("__wanted"))
-    joined = marked.join(wanted, (F.col("__row") == F.col("__wanted")) & col(key).eqNullSafe(F.col("__key")), "left_semi")
-    return joined.dropDuplicates(["__row"]).select(*[col(c) for c in docs.columns])
+    wanted = first.select("first.__row1", "first.__row2")
+    # the join and the removal of equal rows need the same distribution, so the texts are exchanged once
+    return marked.join(wanted, digest, "left_semi").dropDuplicates(digest).select(*columns)
 
 
 @BOOK.add("op6_simhash_components")

@@ -119,6 +119,8 @@ def test_near_duplicates_on_odd_rows(spark):
     groups = set(brute_groups([brute_print(r[1]) for r in rows]))
     assert kept.count() == len(groups) == len(set(brute_groups([brute_print(r.text) for r in kept.collect()])))
     assert neardup.one_of_each(C.no_documents(spark)).count() == 0
+    alike = spark.createDataFrame([(1, "x", "a", None), (1, "x", None, "a"), (1, "x", None, "a")], "doc_id long, text string, lang string, source string")
+    assert [tuple(r) for r in neardup.one_of_each(alike).collect()] in ([(1, "x", "a", None)], [(1, "x", None, "a")])
 
 
 # --- decontamination --------------------------------------------------------------------------------------
