@@ -49,7 +49,7 @@ RATE = 0.01
 DECAY = 1e-4
 
 SIGNS = "!?.,;:#*$%&|<>-_=+/\\\"'()[]{}@~^`"      # one feature each, as a share of the characters
-_DIGITS, _SPACES = str.maketrans("", "", "0123456789"), re.compile(r"[ \t]{2,}")
+_SPACES = re.compile(r"[ \t]{2,}")
 
 
 def features(text: str | None) -> list[float]:
@@ -74,7 +74,7 @@ def features(text: str | None) -> list[float]:
     upper = sum(map(str.isupper, words))
     titled = sum(map(str.istitle, words))
     chars = n - text.count(" ") - text.count("\n")
-    digits = n - len(text.translate(_DIGITS))
+    digits = sum(map(text.count, "0123456789"))
     lengths = np.fromiter(map(len, words), np.float64, w)
     line_counts = Counter(lines)
     repeated_lines = 1 - len(line_counts) / max(1, len(lines))
