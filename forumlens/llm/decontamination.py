@@ -5,9 +5,11 @@ is as many words long as a benchmark item gets a SimHash fingerprint of its weig
 ``RADIUS`` bits of an item's are found by multi-index hashing: the 64 bits are cut into 8 blocks, of which at least one
 differs in at most RADIUS // 8 bits, so looking up each block's near values misses nothing. Candidates are verified by
 the exact similarity: the cosine of the two weighted shingle counts, which is the quantity that a SimHash distance
-estimates. A shingle weighs one divided by the number of items that have it, so phrases shared by many items count
-little. A window is a hit at a similarity of ``SIMILARITY`` = 0.8 or more; the radius lies 3.5 standard deviations
-above the distance expected at that similarity.
+estimates. It is taken twice: with plain counts, and with a weight of one divided by the number of different items that
+have a shingle, so that phrases shared by many items count little. A window is a hit where either is ``SIMILARITY`` =
+0.8 or more, so an edited copy of an item is found however many items share its text; the larger one is reported. The
+radius lies 3.5 standard deviations above the distance expected at that similarity, and where the weights of a window
+are not all one, both fingerprints are looked up. Items are counted over the whole benchmark, equal texts once.
 
 Windows without any shingle of an item of their size have similarity zero, so they need no fingerprint: words are
 looked up in the items' vocabulary, five known words in a row in the items' shingles, and only windows over such places
@@ -32,9 +34,10 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from forumlens.llm.common import BOOK, append_from_texts, col, table
+from forumlens.session import cut_lineage
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -76,39 +79,45 @@ def cosine(a: Counter, b: Counter, weight) -> float:
 class Index:
     """Items of a benchmark, by size: fingerprints in blocks, and what is needed to find and verify windows."""
 
-    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS, similarity: float = SIMILARITY):
+    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS, similarity: float = SIMILARITY,
+                 shared: dict[int, int] | None = None):
+        """``shared`` has the shingles of several items of the whole benchmark; without it these items are all."""
         self.radius, self.similarity = radius, similarity
         self.ids: list[int] = []
         self.counts: list[Counter] = []
         sizes: list[int] = []
         texts = [(i, words_of(t)) for i, t in sorted(items)]
         texts = [(i, w) for i, w in texts if len(w) >= WORDS]
-        has: Counter = Counter()
         hashes = [shingle_hashes(w) for _, w in texts]
-        for h in hashes:
-            has.update(set(h.tolist()))
-        self.has = dict(has)
+        if shared is None:
+            shared = Counter()
+            for h in {" ".join(w): h for (_, w), h in zip(texts, hashes)}.values():
+                shared.update(set(h.tolist()))
+        self.has = {s: n for s, n in shared.items() if n > 1}
         self.vocabulary: dict[str, int] = {}
         items_with: dict[int, list[int]] = {}
-        prints = []
+        prints, plain = [], []
         for row, ((i, w), h) in enumerate(zip(texts, hashes)):
             self.ids.append(i)
             sizes.append(len(w))
             self.counts.append(Counter(h.tolist()))
             prints.append(to_prints(bit_votes(h, self.weights(h)).sum(axis=0, keepdims=True))[0])
+            plain.append(to_prints(bit_votes(h, np.ones(len(h))).sum(axis=0, keepdims=True))[0])
             numbers = np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64)
             for code in set(self.codes(numbers).tolist()):
                 items_with.setdefault(code, []).append(row)
         self.sizes, self.prints = np.array(sizes, np.int64), np.array(prints, np.uint64)
+        self.plain = np.array(plain, np.uint64)
         self.known = np.array(sorted(items_with), np.int64)
         self.items_with = {c: np.array(r) for c, r in items_with.items()}
         # one index per item size: for each block and each value of its 8 bits the items near that value
         near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= radius // BLOCKS
-        self.by_size = {}
-        for size in set(sizes):
-            rows = np.flatnonzero(self.sizes == size)
-            values = self.prints[rows].astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
-            self.by_size[size] = (rows, [near[:, values[:, b]] for b in range(BLOCKS)])
+        self.by_size, self.by_size_plain = {}, {}
+        for found, of in ((self.by_size, self.prints), (self.by_size_plain, self.plain)):
+            for size in set(sizes):
+                rows = np.flatnonzero(self.sizes == size)
+                values = of[rows].astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
+                found[size] = (rows, [near[:, values[:, b]] for b in range(BLOCKS)])
 
     def weights(self, hashes: np.ndarray) -> np.ndarray:
         return np.fromiter((1 / self.has.get(h, 1) for h in hashes.tolist()), np.float64, len(hashes))
@@ -125,15 +134,15 @@ class Index:
             code ^= code >> np.uint64(31)
         return np.where(known, code.view(np.int64), 0)
 
-    def candidates(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs of a size within the radius."""
-        rows, tables = self.by_size[size]
+    def candidates(self, prints: np.ndarray, size: int, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs of a size within the radius, by weighted or plain fingerprints."""
+        rows, tables = (self.by_size_plain if plain else self.by_size)[size]
         values = prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
         reached = np.zeros((len(prints), len(rows)), bool)
         for b, table_ in enumerate(tables):
             reached |= table_[values[:, b]]
         window, item = np.nonzero(reached)
-        close = np.bitwise_count(prints[window] ^ self.prints[rows[item]]) <= self.radius
+        close = np.bitwise_count(prints[window] ^ (self.plain if plain else self.prints)[rows[item]]) <= self.radius
         return window[close], rows[item[close]]
 
     def places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,12 +189,20 @@ class Index:
         for begin in range(first, last + 1, 4096):
             stop = min(begin + 4095, last)
             hashes = shingle_hashes(words[begin:stop + size_here])
-            votes = np.vstack([np.zeros(64), np.cumsum(bit_votes(hashes, self.weights(hashes)), axis=0)])
             span = max(size_here - WORDS + 1, 1)
-            prints = to_prints(np.round(votes[span:] - votes[:-span], 9))
-            for window, row in zip(*(x.tolist() for x in self.candidates(prints, size))):
+            pairs: set[tuple[int, int]] = set()
+            weights, prints = np.ones(len(hashes)), None
+            for plain in (True, False) if self.has else (True,):
+                own = weights if plain else self.weights(hashes)
+                if prints is None or (own != weights).any():
+                    votes = np.vstack([np.zeros(64), np.cumsum(bit_votes(hashes, own), axis=0)])
+                    prints = to_prints(np.round(votes[span:] - votes[:-span], 9))
+                pairs.update(zip(*(x.tolist() for x in self.candidates(prints, size, plain))))
+            for window, row in sorted(pairs):
                 counts = Counter(hashes[window:window + span].tolist())
-                similarity = cosine(counts, self.counts[row], lambda s: 1 / self.has.get(s, 1))
+                similarity = cosine(counts, self.counts[row], lambda s: 1)
+                if self.has:
+                    similarity = max(similarity, cosine(counts, self.counts[row], lambda s: 1 / self.has.get(s, 1)))
                 if similarity >= self.similarity:
                     found.setdefault(row, []).append((similarity, begin + window, begin + window + size_here))
 
@@ -207,14 +224,31 @@ HIT = StructType([StructField("item_id", LongType()), StructField("start", Integ
                   StructField("similarity", DoubleType())])
 
 
+def as_words(items: DataFrame) -> DataFrame:
+    """The words of every text in ``t`` between single blanks, so that texts of equal words are equal."""
+    return append_from_texts(items.select("t"), "t", [StructField("w", StringType())],
+                             lambda texts: [[" ".join(words_of(t)) for t in texts]], []).select(F.col("w").alias("t"))
+
+
+def item_shingles(items: DataFrame) -> DataFrame:
+    """(t, s): the different shingles of every text in ``t``, as signed numbers."""
+    found = append_from_texts(items, "t", [StructField("s", ArrayType(LongType()))],
+                              lambda texts: [[list(set(shingle_hashes(w).view(np.int64).tolist())) if len(w := words_of(t)) >= WORDS
+                                              else [] for t in texts]])
+    return found.select(*items.columns, F.explode("s").alias("s"))
+
+
 def item_blocks(benchmark: DataFrame, text: str = "text", key: str = "item_id", size: int = BLOCK_ITEMS, bytes_: int = BLOCK_BYTES):
-    """The items in lists of about ``size`` or ``bytes_`` at most, one at a time on the driver, by their hash."""
+    """Lists of about ``size`` or ``bytes_`` at most, one at a time on the driver, by the hash of the items: the items,
+    and how many different texts of the whole benchmark have each of their shingles, where several have it."""
     items = benchmark.filter(col(key).isNotNull() & col(text).isNotNull()).select(col(key).cast("long").alias("i"), col(text).alias("t"))
     count, total = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
     blocks = max(1, math.ceil(count / size), math.ceil(total / bytes_))
+    shared = cut_lineage(item_shingles(as_words(items).distinct()).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     for block in range(blocks):
         chosen = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
-        yield [(r["i"], r["t"]) for r in chosen.collect()]
+        own = shared if blocks == 1 else shared.join(item_shingles(chosen.select("t")).select("s").distinct(), "s")
+        yield [(r["i"], r["t"]) for r in chosen.collect()], {r["s"] % (1 << 64): r["n"] for r in own.select("s", "n").collect()}
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "hits", keep: list[str] | None = None,
@@ -223,8 +257,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "
     context = docs.sparkSession.sparkContext
     kept = [c for c in docs.columns if c.lower() != out.lower() and (keep is None or c in keep)]
     found, columns = docs.select(*[col(c) for c in kept], col(text).alias("__content")), []
-    for number, items in enumerate(item_blocks(benchmark, size=block_items)):
-        index = context.broadcast(Index(items, **options))
+    for number, (items, shared) in enumerate(item_blocks(benchmark, size=block_items)):
+        index = context.broadcast(Index(items, shared=shared, **options))
         columns.append(f"__hits{number}")
         found = append_from_texts(found, "__content", [StructField(columns[-1], ArrayType(HIT))],
                                   lambda texts, index=index: [[index.value.hits(t) for t in texts]])
