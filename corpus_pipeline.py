@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumlens.llm import decontamination, nearcopies, pieces, pii, quality
+from forumlens.llm import decontamination, neardup, pieces, pii, quality
 from forumlens.llm.common import prepared, table
 from forumlens.session import new_table_path
 
@@ -22,9 +22,9 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with a Jaccard index of five-word shingles of 0.8 or more: the one with the smallest id."""
+    """One document of each component of linked fingerprints: the one with the smallest id."""
     prepared(spark)
-    return nearcopies.one_of_each(docs)
+    return neardup.one_of_each(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
