@@ -51,13 +51,18 @@ def without(df: DataFrame, names: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
-def hash_sample(df: DataFrame, key: str, bound: int, rows: int, salt: int = 0) -> DataFrame:
-    """About ``bound`` of ``rows`` rows (all where there are fewer), chosen by a hash of the key; the choice is
-    the same in every run. The expected number is the bound, its spread is the square root of the bound."""
+def is_sampled(keys: Sequence[str], bound: int, rows: int, salt: int = 0) -> Column:
+    """Whether a row belongs to about ``bound`` of ``rows`` rows (to all where there are fewer), by a hash of some columns."""
     if rows <= bound:
-        return df
-    cut = int(bound / rows * (1 << 40))
-    return df.filter(F.pmod(F.xxhash64(col(key), F.lit(salt)), F.lit(1 << 40)) < F.lit(cut))
+        return F.lit(True)
+    return F.pmod(F.xxhash64(*[col(k) for k in keys], F.lit(salt)), F.lit(1 << 40)) < F.lit(int(bound / rows * (1 << 40)))
+
+
+def hash_sample(df: DataFrame, keys: str | Sequence[str], bound: int, rows: int, salt: int = 0) -> DataFrame:
+    """About ``bound`` of ``rows`` rows (all where there are fewer), chosen by a hash of the key columns; the choice is
+    the same in every run. If no two rows are equal in all of them, the expected number is the bound and its spread the
+    square root of the bound, so callers hash id and text and take equal rows once."""
+    return df.filter(is_sampled([keys] if isinstance(keys, str) else keys, bound, rows, salt))
 
 
 def append_from_texts(df: DataFrame, text: str, fields: Sequence[StructField],

@@ -3,8 +3,8 @@
 Texts are lower-cased; runs of anything but letters become one blank. N-grams of the sizes ``GRAMS`` (over letters
 and word borders) are learned per language: an n-gram belongs to a language if at least ``min_share`` of that
 language's sampled documents have it, and if its share there is at least ``min_ratio`` of its largest share in any
-language. All n-grams go into one bit-sliced Bloom filter: a table of bit masks, one bit per language, in which an
-n-gram sets its languages' bits at ``HASHES`` places. Looking an n-gram up is one "and" of the masks at its places and
+language. All n-grams go into one bit-sliced Bloom filter: a table of bit masks, one bit per language (a 64-bit word for every 64
+languages), in which an n-gram sets its languages' bits at ``HASHES`` places. Looking an n-gram up is one "and" of the masks at its places and
 gives all languages that contain it at once.
 
 A text is decided by popcounts: for each language, the number of its n-grams whose mask has the language's bit. Some of
@@ -12,10 +12,10 @@ these are false positives, at a rate f that the filter's fill of the language te
 corrected to (c - n f) / (1 - f). The largest corrected count wins (ties: the language that sorts first); the score is
 the corrected count divided by n, between 0 and 1.
 
-Fitting is bounded: about ``SAMPLE`` labelled documents, chosen by a hash of the id, are read whole. The n-grams of
+Fitting is bounded: about ``SAMPLE`` labelled documents, chosen by a hash of id and text (equal rows once), are read whole. The n-grams of
 all partitions are counted there and summed by Spark; those above the share limit come to the driver, at most (n-grams
-of an average document) / ``min_share`` per language. The filter has a fixed size of 8 bytes times ``SLOTS`` for up
-to 64 languages, and is broadcast.
+of an average document) / ``min_share`` per language. The filter has a fixed size of 8 bytes times ``SLOTS`` for every
+64 languages, and is broadcast.
 
 Results on edges: null texts and texts without a letter are ``und`` with score 0; so is every text if no labelled row
 was there to learn from. A text without any known n-gram gets the language with most sampled documents, score 0.
@@ -128,15 +128,13 @@ def _places(codes: np.ndarray, slots: int) -> list[np.ndarray]:
 def build(grams: dict[str, np.ndarray], documents: dict[str, int], slots: int = SLOTS, sizes: tuple[int, ...] = GRAMS) -> Filters:
     """The filter of the n-grams of each language."""
     languages = sorted(grams)
-    if len(languages) > 64:
-        raise ValueError("a mask has 64 bits; fit one filter per 64 languages")
-    masks = np.zeros(slots, np.uint64)
+    masks = np.zeros((max(1, -(-len(languages) // 64)), slots), np.uint64)
     rates = np.zeros(len(languages))
     for bit, language in enumerate(languages):
         hit = np.zeros(slots, bool)
         for places in _places(grams[language], slots):
             hit[places] = True
-        masks[hit] |= np.uint64(1 << bit)
+        masks[bit // 64, hit] |= np.uint64(1 << bit % 64)
         rates[bit] = np.prod(hit.reshape(HASHES, -1).mean(axis=1))
     usual = max(range(len(languages)), key=lambda i: (documents[languages[i]], -i)) if languages else -1
     return Filters(languages, usual, masks, rates, sizes)
@@ -156,13 +154,14 @@ def counts(texts: list[str], filters: Filters) -> tuple[np.ndarray, np.ndarray]:
         owner = np.repeat([i for i, _ in waiting], [len(c) for c in codes])
         flat = np.concatenate(codes)
         if len(flat):
-            places = _places(flat, len(filters.masks))
-            mask = filters.masks[places[0]]
-            for more in places[1:]:
-                mask &= filters.masks[more]
+            places = _places(flat, filters.masks.shape[1])
             total[:] += np.bincount(owner, minlength=len(texts))
-            for bit in range(len(filters.languages)):
-                found[:, bit] += np.bincount(owner, (mask >> np.uint64(bit)) & np.uint64(1), minlength=len(texts))
+            for word, slots in enumerate(filters.masks):
+                mask = slots[places[0]]
+                for more in places[1:]:
+                    mask &= slots[more]
+                for bit in range(min(64, len(filters.languages) - 64 * word)):
+                    found[:, 64 * word + bit] += np.bincount(owner, (mask >> np.uint64(bit)) & np.uint64(1), minlength=len(texts))
         waiting.clear()
 
     size = 0
@@ -196,7 +195,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
         sizes: tuple[int, ...] = GRAMS) -> Filters:
     """Learn the filter from the rows with text and label."""
     known = labelled.filter(col(label).isNotNull())
-    chosen = hash_sample(known, key, sample, known.select(F.count(F.lit(1))).first()[0]).filter(col(text).isNotNull())
+    rows = known.select(F.count(F.lit(1))).first()[0]
+    chosen = hash_sample(known.select(col(key), col(text), col(label)), [key, text], sample, rows).dropDuplicates().filter(col(text).isNotNull())
 
     def run(batches):
         """(language, n-gram, documents that have it); n-gram null: documents in all."""

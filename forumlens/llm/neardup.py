@@ -14,7 +14,9 @@ Equal fingerprints collapse before anything is replicated, so a group of exact c
 fingerprints that link are found group by group, and each is linked to the smallest of its group there: as many links
 as fingerprints, not as pairs. Where very many different fingerprints stand around one anchor, it is split by the four
 bytes of the other half, one of which is equal in every linked pair. Links become components by alternating large-star
-and small-star rounds on tables, each cut by a checkpoint; nothing but counters reaches the driver.
+and small-star rounds on tables, each cut by a checkpoint; nothing but counters reaches the driver. What stands on a hub (a
+node with more than 1 in ``HUBS`` of the rows that are joined; there are at most ``HUBS`` of them) is joined from memory, so no
+task gets all neighbours of one node, nor all copies of one text.
 
 Results on edges: null and empty texts have fingerprint zero, which links like any other. The id of a component is
 its smallest id; null ids count as larger than all, and a component without any other id has a null id. Repeated rows
@@ -41,6 +43,7 @@ RADIUS = 3
 BLOCK = 1 << 14          # shingles whose bits are counted at once
 HOT_ANCHOR = 20_000      # fingerprints around one anchor above which it is split
 HOT_SAMPLE = 16          # one fingerprint in so many is looked at to find such anchors
+HUBS = 2048              # a key with more than one in so many rows is joined from memory
 MAX_ROUNDS = 60
 
 
@@ -202,26 +205,37 @@ def _smaller(edges: DataFrame) -> DataFrame:
     return (edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def with_looked_up(rows: DataFrame, side: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """Join rows with a side that has one row per key and the number of its rows as ``__n``, of ``total`` rows at least.
+
+    Keys with ``total / HUBS`` rows or more, at most ``HUBS`` of them, are joined by broadcast, all others by shuffle."""
+    is_hub = F.col("__n") * F.lit(HUBS) >= F.lit(max(total, HUBS))
+    marked = rows.join(F.broadcast(side.filter(is_hub).withColumn("__hub", F.lit(True))), key, "left")
+    values = [c for c in side.columns if c != key]
+    rest = marked.filter("__hub IS NULL").drop("__hub", *values).join(side.filter(~is_hub), key, how)
+    return marked.filter("__hub").drop("__hub").unionByName(rest)
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("__n"))
+    return with_looked_up(both.filter("b > a"), least, "a", n).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    tied = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("__n"))
+    tied = with_looked_up(edges, least, "a", n).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return tied.unionByName(least.select("a", F.col("m").alias("b")))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): every node but the smallest of a component, and that smallest node."""
     now = cut_lineage(_smaller(edges))
-    mark = None
+    mark = (now.count(), None)
     for _ in range(MAX_ROUNDS):
-        now = cut_lineage(_smaller(_small_star(_smaller(_large_star(now)))))
+        now = cut_lineage(_smaller(_small_star(_smaller(_large_star(now, mark[0])), mark[0])))
         row = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if mark == (row["n"], row["s"]):
             return now
@@ -233,17 +247,18 @@ def components_of(docs: DataFrame, text: str = "text", key: str = "doc_id", radi
                   extra: tuple[str, ...] = ()) -> DataFrame:
     """(key, extra columns, fingerprint, component_id) for every row."""
     prints = cut_lineage(fingerprints(docs, text, "__print", [key, *extra]))
-    distinct = prints.groupBy("__print").agg(F.min(col(key)).alias("__lead"))
+    distinct = prints.groupBy("__print").agg(F.min(col(key)).alias("__lead"), F.count(F.lit(1)).alias("__copies"))
     roots = components(links(distinct, "__print", radius)).select(F.col("a").alias("__print"), F.col("b").alias("__to"))
     placed = cut_lineage(distinct.join(roots, "__print", "left").withColumn("__root", F.coalesce("__to", "__print"))
-                         .select("__print", "__lead", "__root"))
+                         .select("__print", "__lead", "__root", "__copies"))
+    n_prints, n_rows = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum("__copies"), F.lit(0))).first()
     # only fingerprints with a link need their component's smallest id looked up
     least = placed.groupBy("__root").agg(F.min("__lead").alias("__id"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-    named = placed.join(least, "__root", "left").select(
+    named = with_looked_up(placed, least, "__root", n_prints, "left").select(
         "__print", F.when(F.col("__n").isNotNull(), F.col("__id")).otherwise(F.col("__lead")).alias("component_id"),
-        F.col("__root").alias("__component"))
+        F.col("__root").alias("__component"), F.col("__copies").alias("__n"))
     kept = without(prints.drop("__print"), ["fingerprint", "component_id"])
-    return prints.join(named, "__print").select(
+    return with_looked_up(prints, cut_lineage(named), "__print", n_rows).select(
         *[col(c) for c in kept], F.lower(F.lpad(F.hex("__print"), 16, "0")).alias("fingerprint"), "component_id", "__component")
 
 

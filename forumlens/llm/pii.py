@@ -5,21 +5,22 @@ spans always stay. The field adds spans that the patterns miss: a number written
 an address with a bracketed "at", a phone number without its plus sign.
 
 Nodes are all candidate tokens of a document, in order: base spans and tokens that look like one (numbers of 7 to 19
-digits with separators, words around an at sign). Labels are "none" and the four kinds; a base span's node is
+digits with separators, four numbers of at most 255, words around an at sign). Labels are "none" and the four kinds; a base span's node is
 observed. Potentials:
 
 * node: a softmax regression on the shape (digits, groups, separators, checks, the word in front). It is trained on the
   shapes of base spans against other candidates; the plus sign of a phone number is left out of the shape, so that
   it can be recognised without one. Targets are smoothed, as an unmatched candidate may be personal data all the same;
 * chain: neighbouring candidates that are at most ``NEAR`` characters apart;
-* skip: all candidates of a document that are equal or similar (same address without case, same last ten digits) share
+* skip: all candidates of a document that are equal or similar (same address without case, same four parts of an IPv4
+  address however they are separated, same last ten digits of another number) share
   one cluster variable, which each of them pulls to its label. That is one edge per token and not one per pair.
 
 Loopy sum-product messages run over all documents of an Arrow batch at once, damped, for ``ROUNDS`` rounds; a
 candidate becomes a span if a kind reaches ``THRESHOLD`` belief. Chain and skip weights are smoothed log odds of how
 often base spans of the sample agree.
 
-Fitting is bounded: about ``SAMPLE`` documents, chosen by a hash of the id and read whole, whose distinct shapes and
+Fitting is bounded: about ``SAMPLE`` documents, chosen by a hash of id and text (equal rows once) and read whole, whose distinct shapes and
 label pairs are counted by Spark; only these counts come to the driver.
 
 Results on edges: null and empty texts have no spans. Positions are code points, ends exclusive. Every search is
@@ -57,6 +58,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")  # a match cannot
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_DIGITS = re.compile(r"[0-9]+")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -88,6 +90,17 @@ def _byte(digits: str) -> bool:
     return len(digits) < 4 and int(digits or "0") < 256
 
 
+def four_bytes(groups: list[str]) -> bool:
+    """Whether runs of digits are the parts of an IPv4 address."""
+    return len(groups) == 4 and all(map(_byte, groups))
+
+
+def is_candidate(token: str) -> bool:
+    """Numbers of 7 to 19 digits, and four parts of an address with any digits."""
+    groups = _DIGITS.findall(token)
+    return 7 <= sum(map(len, groups)) <= 19 or four_bytes(groups)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, label) by start, then kind."""
     spans = [(a, b, 1) for a, b in emails(text)] if "@" in text else []
@@ -134,12 +147,13 @@ def shape_of(text: str, start: int, end: int) -> tuple[tuple, str]:
         return (("mail", "dot" if "." in domain else "no dot", "", "", cue),
                 "m" + re.sub(r"\s", "", token[:sign.start()] + "@" + domain).lower())
     digits = _NOT_DIGIT.sub("", token)
-    groups = [len(g) for g in re.findall(r"[0-9]+", token)]
+    groups = _DIGITS.findall(token)
     separators = "".join(s for s in " .-(" if s in token)
-    check = "ip" if len(groups) == 4 and separators == "." and all(g < 4 for g in groups) and all(
-        int(g) < 256 for g in token.strip("+(").split(".") if g) else "luhn" if len(digits) >= 12 and luhn(digits) else ""
-    key = f"d{digits[-10:]}" if len(digits) >= 9 else ""
-    return ("number", str(min(len(digits), 20)), "-".join(map(str, groups[-3:])), separators + check, cue), key
+    four = four_bytes(groups)
+    check = "ip" if four and separators == "." else "luhn" if len(digits) >= 12 and luhn(digits) else ""
+    key = "i" + ".".join(str(int(g)) for g in groups) if four else f"d{digits[-10:]}" if len(digits) >= 7 else ""
+    lengths = "-".join(str(len(g)) for g in groups[-3:])
+    return ("number", str(min(len(digits), 20)), lengths, separators + check, cue), key
 
 
 def nodes_of(text: str) -> list[Node]:
@@ -148,8 +162,7 @@ def nodes_of(text: str) -> list[Node]:
     nodes = [Node(a, b, label, *shape_of(text, a, b)) for a, b, label in base]
     others: list[tuple[int, int]] = []
     if _DIGIT.search(text):
-        others = [m.span() for m in _NUMBER.finditer(text) if m.end() - m.start() >= 7
-                  and 7 <= sum(c.isdigit() for c in m.group()) <= 19]
+        others = [m.span() for m in _NUMBER.finditer(text) if m.end() - m.start() >= 7 and is_candidate(m.group())]
     if "@" in text or "at" in text and _AT_SIGN.search(text):
         others += _around_at(text)
     if others:
@@ -311,7 +324,8 @@ SPAN = StructType([StructField("kind", StringType()), StructField("start", Integ
 
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Field:
     """Learn the weights from the base spans of a sample."""
-    chosen = hash_sample(docs, key, sample, docs.select(F.count(F.lit(1))).first()[0], salt=3)
+    rows = docs.select(F.count(F.lit(1))).first()[0]
+    chosen = hash_sample(docs.select(col(key), col(text)), [key, text], sample, rows, salt=3).dropDuplicates()
 
     def run(batches):
         counts: Counter = Counter()

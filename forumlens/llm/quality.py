@@ -7,20 +7,22 @@ network g is fitted to minimise the non-negative unbiased risk
 
 with the logistic loss l and the class prior p, by mini-batches in a fixed order. Where the estimate in the brackets of
 a batch falls below zero, its gradient is turned round (the usual correction against overfitting). The prior is
-estimated: from the labels, as the smoothed share of good rows among the labelled ones, if bad rows are labelled too;
-otherwise as the largest share that keeps the estimated number of negatives above zero, from the scores of a first
-classifier of positives against unlabelled (its mean over unlabelled rows by its mean over held-back positives). The score is
-the logistic of g, between 0 and 1, so that a score is an estimate of the chance of label 1.
+always estimated from positives and unlabelled rows alone: classifiers tell positives from unlabelled rows, and among the
+rows they score highest, which are nearly all positives, the share of the unlabelled by the share of the positives is the
+prior; each scores the half of the sample that it has not seen. The share of good rows among the labelled ones is kept next
+to it for comparison (``Model.labelled``), and used for nothing. The score is the logistic of g, between 0 and 1, so that a
+score is an estimate of the chance of label 1. It is summed feature by feature in a fixed order, so that it does not depend
+on the texts around it.
 
 Features come from whole texts: shares of symbols, capitals, digits, blanks and separators, lengths of words and
 lines, repeated words, neighbours and lines, and the share of words by shape (upper case, with which sign behind it).
 They do not depend on label, language, source or id.
 
-Fitting is bounded: about ``POSITIVES`` positive and ``UNLABELLED`` unlabelled rows, chosen by a hash of the id, whose
-few dozen features come to the driver.
+Fitting is bounded: about ``POSITIVES`` positive and ``UNLABELLED`` unlabelled rows, chosen by a hash of id and text
+(equal rows once, so that the bounds hold for any key), whose few dozen features come to the driver.
 
 Results on edges: null texts count as empty; an empty text has the score of its features (all zero and "empty" one).
-Without any positive row, or any unlabelled one, every score is the prior (0.5 if there are no labels at all).
+Without any positive row, or any unlabelled one, every score is the smoothed share of good labels (0.5 without labels).
 Labels of repeated ids count once (the larger one), labels that are null are no labels. Repeated rows score alike.
 """
 
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, StructField
 
-from forumlens.llm.common import BOOK, append_from_texts, col, hash_sample, id_fold, table
+from forumlens.llm.common import BOOK, append_from_texts, col, hash_sample, id_fold, is_sampled, table
 from forumlens.session import small_side
 
 POSITIVES = 15_000
@@ -95,6 +97,19 @@ class Model(NamedTuple):
     scale: np.ndarray
     layers: tuple
     prior: float
+    labelled: float
+
+
+def _one_by_one(x: np.ndarray, layers) -> np.ndarray:
+    """The output for every row, added up in one order whatever the number of rows (a matrix product may change it)."""
+    w1, b1, w2, b2 = layers
+    inner = np.tile(b1, (len(x), 1))
+    for j in range(x.shape[1]):
+        inner += x[:, j:j + 1] * w1[j]
+    hidden, out = np.tanh(inner), np.full(len(x), b2[0])
+    for j in range(hidden.shape[1]):
+        out += hidden[:, j] * w2[j]
+    return out
 
 
 def _forward(x: np.ndarray, layers) -> tuple[np.ndarray, np.ndarray]:
@@ -107,9 +122,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = HIDDEN, epochs: int = EPOCHS,
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, hidden: int = HIDDEN, epochs: int = EPOCHS,
           batch: int = BATCH, rate: float = RATE, decay: float = DECAY, seed: int = 7) -> tuple:
-    """Layers that minimise the non-negative unbiased risk, by Adam over mini-batches in a seeded order."""
+    """Layers that minimise the non-negative unbiased risk, by Adam over mini-batches in a seeded order.
+
+    Without a prior the loss is the plain one of telling positive from unlabelled rows."""
     generator = np.random.default_rng(seed)
     width = positive.shape[1]
     layers = [generator.normal(0, 1 / math.sqrt(width), (width, hidden)), np.zeros(hidden),
@@ -125,9 +142,10 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: in
             hidden_p, out_p = _forward(p, layers)
             hidden_u, out_u = _forward(u, layers)
             soft = np.logaddexp
-            negative = soft(0, out_u).mean() - prior * soft(0, out_p).mean()     # l(-g) = log(1 + exp(g))
             up, uu = _sigmoid(out_p), _sigmoid(out_u)
-            if negative >= 0:
+            if prior is None:
+                slope_p, slope_u = (up - 1) / len(p), uu / len(u)
+            elif soft(0, out_u).mean() >= prior * soft(0, out_p).mean():     # l(-g) = log(1 + exp(g))
                 slope_p = prior * (up - 1) / len(p) - prior * up / len(p)
                 slope_u = uu / len(u)
             else:
@@ -146,15 +164,29 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: in
     return tuple(layers)
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives among unlabelled rows without any labelled negative: a classifier of positives against
-    unlabelled rows, its mean over the unlabelled by its mean over held-back positives."""
-    held = np.arange(len(positive)) % 4 == 0
-    if held.all() or not held.any():
-        return 0.5
-    layers = train(positive[~held], unlabelled, 0.5, epochs=15)
-    over_u, over_p = (_sigmoid(_forward(x, layers)[1]).mean() for x in (unlabelled, positive[held]))
-    return float(np.clip(over_u / max(over_p, 1e-9), 0.05, 0.95))
+def smallest_ratio(positive: np.ndarray, unlabelled: np.ndarray, chance: float = 0.1) -> float:
+    """The least share of unlabelled scores above a cut, by the share of positive scores above it.
+
+    Where scores are high, unlabelled rows are nearly all positives, and the ratio is the class prior. Cuts with few rows
+    above are noisy, so the one with the least upper confidence bound of the ratio is taken."""
+    cuts = np.unique(positive)
+    above_p, above_u = (1 - np.searchsorted(np.sort(x), cuts, "left") / len(x) for x in (positive, unlabelled))
+    slack = sum(math.sqrt(math.log(4 / chance) / 2 / len(x)) for x in (positive, unlabelled))
+    at = ((above_u + slack) / above_p).argmin()
+    return float(above_u[at] / above_p[at])
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 2, epochs: int = 12) -> float:
+    """Share of positives among unlabelled rows: classifiers of positives against unlabelled rows score the fold that they
+    have not seen, and the scores of both kinds are compared (``smallest_ratio``); the mean over the folds."""
+    found = []
+    for fold in range(folds):
+        held_p, held_u = (np.arange(len(x)) % folds == fold for x in (positive, unlabelled))
+        if not (held_p.any() and held_u.any()) or held_p.all() or held_u.all():
+            return 0.5
+        layers = train(positive[~held_p], unlabelled[~held_u], None, epochs=epochs)
+        found.append(smallest_ratio(*(_forward(x, layers)[1] for x in (positive[held_p], unlabelled[held_u]))))
+    return float(np.clip(np.mean(found), 0.02, 0.98))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality",
@@ -164,25 +196,28 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
              .agg(F.max(col(label)).alias("__label")))
     good, all_ = known.select(F.coalesce(F.sum(F.when(F.col("__label") == 1, 1)), F.lit(0)), F.count(F.lit(1))).first()
     trusted = hash_sample(known.filter("__label = 1"), "__key", positives, good, salt=1).select("__key", F.lit(True).alias("__good"))
-    rows = docs.select(F.count(F.lit(1))).first()[0]
-    # both samples in one pass over the texts: the chosen ids are few and joined from memory
-    web = hash_sample(docs.select(col(key).alias("__key")), "__key", unlabelled, rows, salt=2).select("__key", F.lit(True).alias("__web"))
-    chosen = small_side(trusted.join(web.filter("__key IS NOT NULL").distinct(), "__key", "full"))
-    sample = docs.select(col(key).alias("__key"), col(text).alias("__content")).join(chosen, "__key")
+    chosen = small_side(trusted)
+    narrow = docs.select(col(key).alias("__key"))
+    rows = narrow.select(F.count(F.lit(1))).first()[0]
+    good_rows = narrow.join(chosen, "__key", "left_semi").select(F.count(F.lit(1))).first()[0]  # an id may stand on many rows
+    # both samples in one pass over the texts: the trusted ids are few and joined from memory
+    parts = ["__key", "__content"]
+    sample = (docs.select(col(key).alias("__key"), col(text).cast("string").alias("__content")).join(chosen, "__key", "left")
+              .withColumns({"__good": F.col("__good").isNotNull() & is_sampled(parts, positives, good_rows, salt=1),
+                            "__web": is_sampled(parts, unlabelled, rows, salt=2)})
+              .filter("__good OR __web").withColumn("__mark", F.xxhash64(F.lit(5), *parts)))
     vectors = append_from_texts(sample, "__content", [StructField("vector", ArrayType(FloatType()))],
-                                lambda texts: [[features(t) for t in texts]], ["__key", "__good", "__web"])
-    found = vectors.select("__key", F.coalesce("__good", F.lit(False)).alias("good"),
-                           F.coalesce("__web", F.lit(False)).alias("web"), "vector").orderBy("__key", F.hash("vector")).toArrow()
+                                lambda texts: [[features(t) for t in texts]], ["__key", "__mark", "__good", "__web"])
+    found = vectors.dropDuplicates(["__key", "__mark"]).orderBy("__key", "__mark").toArrow()
     matrix = np.array(found.column("vector").to_pylist(), np.float64).reshape(-1, SIZE)
-    is_good, is_web = (found.column(c).to_numpy().astype(bool) for c in ("good", "web"))
-    prior = float((good + 1) / (all_ + 2)) if all_ else 0.5
+    is_good, is_web = (found.column(c).to_numpy().astype(bool) for c in ("__good", "__web"))
+    share = float((good + 1) / (all_ + 2)) if all_ else 0.5
     if not is_good.any() or not is_web.any():
-        return Model(np.zeros(SIZE), np.ones(SIZE), (), prior)
+        return Model(np.zeros(SIZE), np.ones(SIZE), (), share, share)
     mean, scale = matrix.mean(axis=0), matrix.std(axis=0) + 1e-3
     scaled = np.clip((matrix - mean) / scale, -8, 8)
-    if good == all_:
-        prior = estimate_prior(scaled[is_good], scaled[is_web])
-    return Model(mean, scale, train(scaled[is_good], scaled[is_web], prior), prior)
+    prior = estimate_prior(scaled[is_good], scaled[is_web])
+    return Model(mean, scale, train(scaled[is_good], scaled[is_web], prior), prior, share)
 
 
 def scores(texts: list[str | None], model: Model) -> np.ndarray:
@@ -191,7 +226,7 @@ def scores(texts: list[str | None], model: Model) -> np.ndarray:
     if not texts:
         return np.zeros(0)
     scaled = np.clip((np.array([features(t) for t in texts]) - model.mean) / model.scale, -8, 8)
-    return _sigmoid(_forward(scaled, model.layers)[1])
+    return _sigmoid(_one_by_one(scaled, model.layers))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD,

@@ -9,7 +9,7 @@ the stored text, so a collision of hashes never decides. Of the rules that fit,
 then the longest path; equal keys keep the block.
 
 A rule fits its host and all subdomains, if the path of the URL starts with the path of the rule. Only path lengths
-that some rule has are tried. ``default`` is the verdict without a rule.
+and numbers of host labels that some rule has are tried, so the work for a host is linear in its length. ``default`` is the verdict without a rule.
 
 Results on edges: a null URL or one without ``://`` has an empty host and an empty path, no rule and the default
 verdict. Repeated rows are judged alike. An empty list of rules gives the default everywhere.
@@ -49,7 +49,7 @@ RULES = (Rule("org", "/", ALLOW), Rule("example.org", "/es/", BLOCK), Rule("exam
 
 
 def write_digests(rules, path: str) -> int:
-    """Write the sorted array: count, hashes, offsets, verdicts, path lengths in use, keys. Returns its bytes."""
+    """Write the sorted array: counts, path lengths and label counts in use, hashes, offsets, verdicts, keys. Returns its bytes."""
     by_key: dict[bytes, str] = {}
     for rule in rules:
         if not rule.path.startswith("/") or "/" in rule.host or rule.verdict not in (ALLOW, BLOCK):
@@ -58,14 +58,15 @@ def write_digests(rules, path: str) -> int:
         by_key[key] = BLOCK if BLOCK in (rule.verdict, by_key.get(key)) else ALLOW
     keys = sorted(by_key, key=lambda k: (xxhash.xxh64_intdigest(k), k))
     lengths = np.array(sorted({len(k.decode()) - k.decode().index("/") for k in keys}), "<u8")
+    labels = np.array(sorted({k[:k.index(b"/")].count(b".") + 1 for k in keys}), "<u8")
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, keys), "<u8", len(keys))
     offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype("<u8")
     verdicts = np.array([by_key[k] == BLOCK for k in keys], "<u4")
-    size = 16 + 8 * len(lengths) + 16 * len(keys) + 8 + 4 * len(keys) + int(offsets[-1])
+    size = 24 + 8 * (len(lengths) + len(labels)) + 16 * len(keys) + 8 + 4 * len(keys) + int(offsets[-1])
     if size > MAX_FILE_BYTES:
         raise ValueError(f"{size} bytes of rules: split the list")
     with open(path, "wb") as file:
-        for part in (np.array([len(keys), len(lengths)], "<u8"), lengths, hashes, offsets, verdicts):
+        for part in (np.array([len(keys), len(lengths), len(labels)], "<u8"), lengths, labels, hashes, offsets, verdicts):
             file.write(part.tobytes())
         file.writelines(keys)
     return size
@@ -76,8 +77,8 @@ class Digests:
 
     def __init__(self, path: str):
         self.raw = np.memmap(path, np.uint8, "r")
-        n, m = (int(x) for x in self.raw[:16].view("<u8"))
-        at = 16
+        n, m, k = (int(x) for x in self.raw[:24].view("<u8"))
+        at = 24
 
         def part(kind: str, count: int):
             nonlocal at
@@ -85,7 +86,8 @@ class Digests:
             at += found.nbytes
             return found
 
-        self.lengths = part("<u8", m).tolist()
+        self.lengths = sorted(part("<u8", m).tolist(), reverse=True)
+        self.labels = sorted(part("<u8", k).tolist(), reverse=True)
         self.hashes, self.offsets, self.verdicts = part("<u8", n), part("<u8", n + 1), part("<u4", n)
         self.keys = self.raw[at:]
 
@@ -130,16 +132,16 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def keys_of(host: str, path: str, lengths: list[int]) -> list[bytes]:
-    """Keys of all rules that can fit, the longest host first, then the longest path."""
+def keys_of(host: str, path: str, lengths: list[int], counts: list[int]) -> list[bytes]:
+    """Keys of all rules that can fit, the longest host first, then the longest path; both lists of sizes fall."""
     labels = host.split(".")
-    prefixes = [path[:n] for n in sorted(lengths, reverse=True) if n <= len(path)]
-    return [f"{'.'.join(labels[i:])}{prefix}".encode() for i in range(len(labels)) for prefix in prefixes] if host else []
+    prefixes = [path[:n] for n in lengths if n <= len(path)]
+    return [f"{'.'.join(labels[-n:])}{prefix}".encode() for n in counts if n <= len(labels) for prefix in prefixes] if host else []
 
 
 def decide(hosts: list[str], paths: list[str], digests: Digests, default: str) -> tuple[list[str | None], list[str]]:
     """Rule and verdict of each URL."""
-    candidates = [keys_of(h, p, digests.lengths) for h, p in zip(hosts, paths)]
+    candidates = [keys_of(h, p, digests.lengths, digests.labels) for h, p in zip(hosts, paths)]
     distinct = list(dict.fromkeys(k for keys in candidates for k in keys))
     row = dict(zip(distinct, digests.find(distinct).tolist()))
     rules, verdicts = [], []

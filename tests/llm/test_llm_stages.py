@@ -3,10 +3,8 @@
 import random
 from collections import Counter
 
-import llm_cases as C
 import pytest
 
-import corpus_pipeline
 from forumlens.llm import decontamination
 from forumlens.llm.common import prepared
 
@@ -16,53 +14,6 @@ def ready(spark):
     prepared(spark)
 
 
-def shingle_set(text):
-    words = (text or "").encode().lower().split()
-    return {tuple(words[i:i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
-
-
-def least_of_components(rows):
-    """Smallest ids of the components of all pairs with a Jaccard index of 0.8 or more."""
-    sets, root = [shingle_set(t) for _, t in rows], list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) > 0:
-                old, new = root[i], root[j]
-                root = [new if r == old else r for r in root]
-    return {min(rows[i][0] for i in range(len(rows)) if root[i] == r) for r in set(root)}
-
-
-def test_near_copies_of_the_stage_against_brute_force(spark):
-    rng = random.Random(11)
-    texts = ["", None, "  ", "three short words", "Three SHORT words", "one two three four five six"]
-    for base in range(25):
-        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([9, 30, 80, 300]))]
-        texts.append(" ".join(words))
-        for _ in range(base % 7):  # from a word to a fifth of the words changed, so both sides of 0.8 occur
-            copy = list(words)
-            for _ in range(rng.randrange(1, max(2, len(words) // 25))):
-                copy[rng.randrange(len(copy))] = f"new{rng.randrange(3000)}"
-            texts.append(" ".join(copy))
-    origin = [f"o{i}" for i in range(100)]  # a family: similar to its origin, less so among themselves
-    family = [" ".join(origin)] + [" ".join(origin[:i] + ["x"] + origin[i + 1:i + 40] + ["y"] + origin[i + 41:]) for i in range(5, 55)]
-    rows = list(enumerate(texts + family))
-    rng.shuffle(rows)
-    expected = least_of_components(rows)
-    assert len(expected) < len(rows) - 60
-    kept = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
-    assert sorted(r.doc_id for r in kept) == sorted(expected)
-
-
-def test_near_copies_on_odd_rows(spark):
-    docs = C.odd_documents(spark)
-    kept = corpus_pipeline.one_of_each(spark, docs, "")
-    assert kept.columns == docs.columns
-    assert len({frozenset(shingle_set(r.text)) for r in kept.collect()}) == kept.count()
-    assert corpus_pipeline.one_of_each(spark, C.no_documents(spark), "").count() == 0
-    alike = spark.createDataFrame([(1, "x", "a", None), (1, "x", None, "a"), (1, "x", None, "a")], "doc_id long, text string, lang string, source string")
-    assert [tuple(r) for r in corpus_pipeline.one_of_each(spark, alike, "").collect()] in ([(1, "x", "a", None)], [(1, "x", None, "a")])
-
-
 def plain_hits(items, text):
     """Items of which a window has a cosine of plain shingle counts of 0.8 or more."""
     words, out = decontamination.words_of(text), set()

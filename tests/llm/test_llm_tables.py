@@ -107,6 +107,23 @@ def test_chains_become_one_component(spark):
     assert neardup.components(edges.filter("a < 0")).count() == 0
 
 
+def test_hubs_are_joined_from_memory_with_the_same_result(spark, monkeypatch):
+    rng = random.Random(8)
+    pairs = [(0, i) for i in range(1, 200)] + [(500 + rng.randrange(80), 500 + rng.randrange(80)) for _ in range(70)] + [(199, 900), (900, 901)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    found = []
+    for hubs in (1, 3, 2048, 1 << 40):
+        monkeypatch.setattr(neardup, "HUBS", hubs)
+        found.append({r.a: r.b for r in neardup.components(edges).collect()})
+    assert found[0] == found[1] == found[2] == found[3] and found[0][901] == 0 and len({v for k, v in found[0].items() if k < 200}) == 1
+    rows = spark.createDataFrame([(i % 3 and i % 7, i) for i in range(60)], "k long, v long")
+    side = rows.groupBy("k").count().withColumnRenamed("count", "__n").filter("k < 5")
+    for how, n in (("inner", rows.filter("k < 5").count()), ("left", 60)):
+        monkeypatch.setattr(neardup, "HUBS", 4)
+        joined = neardup.with_looked_up(rows, side, "k", 60, how).collect()
+        assert len(joined) == n and all((r["__n"] is None) == (r.k >= 5) for r in joined)
+
+
 def test_near_duplicates_on_odd_rows(spark):
     docs = C.odd_documents(spark)
     got = neardup.components_of(docs).collect()
@@ -226,6 +243,38 @@ def test_quality_on_odd_rows(spark):
     assert 0 < only_good.prior < 1
 
 
+def test_scores_do_not_depend_on_the_batch(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = quality.fit(docs, table(spark, "/root/testdata/sf0.01", "labels"))
+    texts = [r.text for r in docs.limit(300).collect()] + ["", None]
+    whole = quality.scores(texts, model)
+    for size in (1, 2, 7, 64):
+        assert np.concatenate([quality.scores(texts[i:i + size], model) for i in range(0, len(texts), size)]).tolist() == whole.tolist()
+
+
+def test_one_id_on_many_rows_does_not_fill_the_sample(spark):
+    rows = [(7, C.PROSE if i % 2 else f"{C.PROSE} number {i}") for i in range(900)] + [(100 + i, f"{C.VARIED} {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1)] + [(100 + i, i % 2) for i in range(300)], "doc_id long, quality int")
+    seen = []
+    real, quality.train = quality.train, lambda positive, unlabelled, *a, **k: seen.append((len(positive), len(unlabelled))) or real(positive, unlabelled, *a, **k)
+    try:
+        quality.fit(docs, labels, positives=100, unlabelled=100)
+    finally:
+        quality.train = real
+    assert seen and all(p < 160 and u < 160 for p, u in seen)
+
+
+def test_the_prior_is_estimated_from_a_known_mixture():
+    rng = np.random.default_rng(1)
+    for share in (0.3, 0.6, 0.9):
+        n = 3000
+        positive = rng.normal(2, 1, (n, 3))
+        mixed = np.vstack([rng.normal(2, 1, (int(n * share), 3)), rng.normal(-2, 1, (n - int(n * share), 3))])
+        rng.shuffle(mixed)
+        assert abs(quality.estimate_prior(positive, mixed) - share) < 0.06
+
+
 # --- URLs -----------------------------------------------------------------------------------------------
 def test_urls_on_odd_rows(spark):
     rows = ["http://A.Example.ORG/es/x?q", "https://www.example.org/en/17", "ftp://com/fr/", "x://com/de/?a", None, "", "no scheme", "://", "http://",
@@ -242,6 +291,15 @@ def test_urls_on_odd_rows(spark):
     assert {r.verdict for r in urls.judge(pages, rules=[], default="block").collect()} == {"block"}
 
 
+def test_hosts_of_many_labels_take_few_keys(tmp_path):
+    path = str(tmp_path / "digests")
+    urls.write_digests(urls.RULES, path)
+    d = urls.Digests(path)
+    host = ".".join(["a"] * 16_000) + ".example.org"
+    assert len(urls.keys_of(host, "/es/x", d.lengths, d.labels)) <= len(d.lengths) * len(d.labels) == 6
+    assert urls.decide([host, "org"], ["/es/x", "/"], d, urls.ALLOW) == (["example.org/es/", "org/"], ["block", "allow"])
+
+
 def test_digests_confirm_full_texts(tmp_path, monkeypatch):
     rules = [urls.Rule(f"h{i % 50}.example", f"/{i}/", urls.BLOCK if i % 2 else urls.ALLOW) for i in range(400)]
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda k: zlib.crc32(k) % 7)  # every hash collides

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import llm_cases as C
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -243,6 +244,36 @@ def test_field_adds_what_patterns_miss(spark, sf_dir):
     assert pii.spans_of(["652-555-4544 +1 652 555 4544", None], bare)[0] == [{"kind": "phone", "start": 13, "end": 28, "base": True}]
 
 
+def test_any_run_of_digits_and_signs_is_read():
+    rng = random.Random(3)
+    assert pii.spans_of(["123).45.67.8"], pii.train({}, {}, 0, 0)) == [[]]
+    for _ in range(30_000):
+        pii.nodes_of("".join(rng.choice("0123456789 .-()+@a") for _ in range(rng.randrange(4, 24))))
+
+
+def test_second_mentions_in_another_notation_are_found(spark):
+    field = pii.fit(table(spark, "/root/testdata/sf0.01", "documents"))
+    for kind, first, second in (("ip", "10.0.0.1", "10-0-0-1"), ("ip", "192.168.7.20", "192 168 7 20"), ("phone", "+1 652 555 4544", "652-555-4544"),
+                                ("card", "4111 1111 1111 1111", "4111.1111.1111.1111"), ("email", "anna.b@mail.example.org", "Anna.B [at] mail.example.org")):
+        text = f"Write to {first} today. Later they wrote {second} once more."
+        found = [(s["kind"], text[s["start"]:s["end"]], s["base"]) for s in pii.spans_of([text], field)[0]]
+        assert found == [(kind, first, True), (kind, second, False)], found
+
+
+def test_messages_in_a_loop_come_near_exact_marginals():
+    rng = np.random.default_rng(5)
+    own = rng.normal(0, 1, (4, pii.LABELS))
+    own[3] = 0                                        # the cluster variable that two tokens share, next to their chain
+    left, right = np.array([0, 1, 0, 2]), np.array([1, 2, 3, 3])
+    tables = np.stack([np.clip(rng.normal(0, 0.5, (pii.LABELS, pii.LABELS)), -1, 1) for _ in range(2)] + [np.eye(pii.LABELS) * 1.5] * 2)
+    joint = np.zeros((pii.LABELS,) * 4)
+    for place in np.ndindex(*joint.shape):
+        joint[place] = np.exp(sum(own[i, place[i]] for i in range(4)) + sum(t[place[a], place[b]] for a, b, t in zip(left, right, tables)))
+    joint /= joint.sum()
+    exact = np.array([joint.sum(axis=tuple(j for j in range(4) if j != i)) for i in range(4)])
+    assert np.abs(pii.beliefs(own, left, right, tables) - exact).max() < 0.03
+
+
 def test_messages_equal_exact_marginals():
     import itertools
 
@@ -303,6 +334,16 @@ def test_filter_returns_all_languages_of_an_ngram():
     assert language.decide(["beta", "12 ?!", None, "ZZZZ"], f)[0] == ["x", "und", "und", "x"]
 
 
+def test_more_than_64_languages():
+    rng = np.random.default_rng(2)
+    words = {f"l{i:03}": ["".join(chr(97 + c) for c in rng.integers(0, 26, 8)) for _ in range(20)] for i in range(130)}
+    grams = {k: np.unique(language.grams_of(language._points(" ".join(v)))) for k, v in words.items()}
+    filters = language.build(grams, dict.fromkeys(words, 1))
+    assert filters.masks.shape[0] == 3
+    predicted, score = language.decide([" ".join(v) for v in words.values()], filters)
+    assert predicted == sorted(words) and min(score) > 0.9
+
+
 def test_language_on_odd_rows(spark):
     docs = C.odd_documents(spark)
     found = language.predict(docs, language.fit(docs)).collect()
