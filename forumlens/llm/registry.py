@@ -8,7 +8,8 @@ import corpus_pipeline
 
 from forumlens.llm.common import BOOK
 
-MODULES = ["pieces", "rules", "tokens", "neardup", "language", "quality", "urls", "sharding", "pii", "decontamination"]
+MODULES = ["pieces", "rules", "tokens", "neardup", "language", "quality", "urls", "sharding", "pii", "decontamination",
+           "whitening", "search", "merkle"]
 
 
 def _filled():

@@ -378,7 +378,7 @@ def test_packed_keys_sort_like_pairs(pairs):
 # --- pipeline and registry ----------------------------------------------------------------------------
 def test_registry_names():
     names = registry.queries()
-    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in names
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline_stages_against_brute_force(spark, sf_dir):
