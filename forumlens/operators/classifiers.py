@@ -1,14 +1,15 @@
-"""Linear text classifiers on word or character n-grams, with Spark ML."""
+"""Linear text classifiers on word or character n-grams."""
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer
+import pyarrow as pa
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from forumlens import fixed_values as V
 from forumlens.functions.text import SPACE, strip
 from forumlens.operators import agreement as A
+from forumlens.operators import newton
 from forumlens.operators.scoring import words_of
 from forumlens.operators.staging import computed_once
 from forumlens.session import cut_lineage
@@ -76,47 +78,81 @@ _sublinear = _dampen.asNondeterministic()
 
 @dataclass
 class TextClassifier:
-    """Term counts, dampened and weighted by rarity, into one linear separator per class."""
+    """Term counts, dampened and weighted by rarity, into one linear separator with squared hinge loss per class."""
 
     kind: str = "word"
     max_features: int = 120_000
     c: float = 1.0
-    iterations: int = 100
+    tolerance: float = newton.TOLERANCE
     classes: tuple = tuple(V.CLASSES)
 
     def terms(self, text: str) -> Column:
-        return word_terms(F.col(text)) if self.kind == "word" else character_terms(F.col(text))
+        found = word_terms(F.col(text)) if self.kind == "word" else character_terms(F.col(text))
+        return F.coalesce(found, F.array().cast("array<string>"))
+
+    def vocabulary(self, terms: DataFrame, rows: int) -> list[tuple[str, int, int]]:
+        """(term, occurrences, rows with it) of the most frequent terms within the limits of the kind; of terms with equal
+        occurrences, those that sort first. At most ``max_features`` of them reach the driver."""
+        within = (F.col("rows") >= 3) & (F.col("rows") <= 0.995 * rows) if self.kind == "word" else F.col("rows") >= 5
+        kept = occurrences(terms).filter(within).orderBy(F.desc("n"), "term").limit(self.max_features)
+        return [(r.term, r.n, r.rows) for r in kept.collect()]
 
     def fit(self, rows: DataFrame, text: str, label: str) -> "FittedClassifier":
         code = F.array_position(F.array(*[F.lit(c) for c in self.classes]), F.col(label)) - 1
-        terms = computed_once(rows, "terms", self.terms(text)).select("terms", code.cast("double").alias("label"))
+        terms = computed_once(rows, "terms", self.terms(text)).select("terms", code.cast("int").alias("label"))
         train = cut_lineage(terms.hint("rebalance"))  # as many partitions as its size asks for
         size = train.count()
-        limits = {"minDF": 3.0, "maxDF": 0.995} if self.kind == "word" else {"minDF": 5.0}
-        counter = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=self.max_features, **limits).fit(train)
-        dampened = cut_lineage(counter.transform(train).select("label", _sublinear("counts").alias("tf")))
-        idf = IDF(inputCol="tf", outputCol="rare").fit(dampened).idf
-        weigher = ElementwiseProduct(inputCol="tf", outputCol="weighted", scalingVec=Vectors.dense(idf.toArray() + 1.0))
-        norm = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
-        svm = LinearSVC(maxIter=self.iterations, regParam=1.0 / (self.c * size), standardization=False)
-        model = OneVsRest(classifier=svm, parallelism=len(self.classes)).fit(norm.transform(weigher.transform(dampened)).select("label", "features"))
-        return FittedClassifier(self, counter, weigher, norm, model)
+        known = self.vocabulary(train, size)
+        model = FittedClassifier(self, known, size, np.zeros((len(self.classes), len(known) + 1)), np.zeros(len(self.classes)))
+        features = cut_lineage(model.features(train).select("label", "features")).persist()
+        try:
+            model.weights, model.gradient = newton.fit(features, len(known), len(self.classes), self.c, self.tolerance)
+        finally:
+            features.unpersist()
+        return model
+
+
+def occurrences(terms: DataFrame) -> DataFrame:
+    """(term, n, rows): how often each term occurs, and in how many rows."""
+    of_row = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first"), F.lit(0).alias("n")))
+    every = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("first"), F.lit(1).alias("n")))
+    return (terms.select(F.inline(F.concat(of_row, every))).groupBy("term")
+            .agg(F.sum("n").alias("n"), F.sum("first").alias("rows")))
 
 
 @dataclass
 class FittedClassifier:
     spec: TextClassifier
-    counter: object
-    weigher: object
-    norm: object
-    model: object
+    known: list
+    rows: int
+    weights: np.ndarray
+    gradient: np.ndarray
+
+    def features(self, counted: DataFrame) -> DataFrame:
+        """Append unit vectors of weighted terms; ``counted`` has the terms of each row."""
+        names = [t for t, _, _ in self.known]
+        if not names:
+            return counted.withColumn("features", F.lit(None).cast(VectorUDT()))
+        rare = [math.log((1 + self.rows) / (1 + n)) + 1 for _, _, n in self.known]
+        counter = CountVectorizerModel.from_vocabulary(names, inputCol="terms", outputCol="counts")
+        weigher = ElementwiseProduct(inputCol="tf", outputCol="weighted", scalingVec=Vectors.dense(rare))
+        norm = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
+        return norm.transform(weigher.transform(counter.transform(counted).withColumn("tf", _sublinear("counts"))))
 
     def predict(self, rows: DataFrame, text: str, out: str = "predicted") -> DataFrame:
-        counted = self.counter.transform(computed_once(rows, "terms", self.spec.terms(text)))
-        features = self.norm.transform(self.weigher.transform(counted.withColumn("tf", _sublinear("counts"))))
+        weights, size = rows.sparkSession.sparkContext.broadcast(self.weights), len(self.known)
+
+        @F.pandas_udf("int")
+        def best(vectors: pd.DataFrame) -> pd.Series:
+            entries = newton.Entries(pa.StructArray.from_arrays(
+                [pa.array(list(vectors[c]), pa.list_(kind)) for c, kind in (("indices", pa.int32()), ("values", pa.float64()))],
+                ["indices", "values"]), size)
+            return pd.Series(np.argmax([entries.times(w) for w in weights.value], axis=0).astype(np.int32))
+
+        features = self.features(computed_once(rows, "terms", self.spec.terms(text)))
         names = F.array(*[F.lit(c) for c in self.spec.classes])
-        return (self.model.transform(features).withColumn(out, F.element_at(names, F.col("prediction").cast("int") + 1))
-                .select(*rows.columns, out))
+        place = best("features") if size else F.lit(int(self.weights[:, -1].argmax()))
+        return features.withColumn(out, F.get(names, place)).select(*rows.columns, out)
 
 
 def evaluate(predicted: DataFrame, label: str, out: str = "predicted") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from forumlens import fixed_values as V
 from forumlens.operators.ranking import (
-    alternate, attach, first_per_group, global_row_numbers, group_row_numbers, group_sizes, hash_rank)
+    alternate, attach, first_per_group, group_row_numbers, group_sizes, hash_rank)
 from forumlens.session import cut_lineage, small_side
 
 
@@ -150,22 +150,6 @@ def random_subset(rows: DataFrame, n: int, key: str = "id", seed: int = V.SEED)
     return rows.withColumn("rank", hash_rank(key, seed)).orderBy("rank", key).limit(n)
 
 
-def grouped_folds(rows: DataFrame, thread: str, strata: list[str], folds: int = V.N_FOLDS,
-                  seed: int = V.SEED, out: str = "fold") -> DataFrame:
-    """Folds that keep threads whole and spread the strata.
-
-    Threads are ordered by their most frequent stratum and a hash and dealt out in turn; rows inherit the
-    fold of their thread.
-    """
-    stratum = F.concat_ws("|", *strata)
-    cells = rows.groupBy(thread, stratum.alias("__stratum")).agg(F.count(F.lit(1)).alias("__n"))
-    leading = cells.groupBy(thread).agg(F.min(F.struct((-F.col("__n")).alias("n"), "__stratum")).alias("__lead"))
-    threads = leading.select(thread, F.col("__lead.__stratum").alias("__stratum"), hash_rank(thread, seed).alias("__rank"))
-    dealt = global_row_numbers(cut_lineage(threads), ["__stratum"], "__rank", "__row", [thread])
-    fold = dealt.select(thread, F.pmod(F.col("__row") - 1, F.lit(folds)).cast("int").alias(out))
-    return rows.join(fold, thread)
-
-
 def split_name(fold: str = "fold") -> Column:
     """Fold 0 is the test part, fold 1 the validation part, the rest trains."""
     return F.when(F.col(fold) == 0, "test").when(F.col(fold) == 1, "validation").otherwise("train")

@@ -148,7 +148,8 @@ def oracle(views: str, body: str, *tables: tuple[str, str]) -> str:
         parts.update(VIEWS[view])
     parts.update(tables)
     ctes = ",\n".join(f"{name} AS ({sql})" for name, sql in parts.items())
-    return (f"WITH {ctes}\n" if ctes else "") + body
+    kind = "WITH RECURSIVE" if "/* recursive */" in ctes else "WITH"
+    return (f"{kind} {ctes}\n" if ctes else "") + body
 
 
 # --- the same views as DataFrames ------------------------------------------------------------------

@@ -10,6 +10,7 @@ from forumlens.functions import text as T
 from forumlens.operators import profile as P
 from forumlens.operators import ranking as R
 from forumlens.operators import sampling as S
+from forumlens.operators.folds import grouped_folds
 from forumlens.operators.quantiles import exact_quantiles
 from forumlens.plans import book as B
 from forumlens.plans import fixtures as X
@@ -104,15 +105,32 @@ def i08(spark, sf_dir):
     return S.random_subset(pool(spark, sf_dir), 50).select("id", "rank")
 
 
+# the greedy rule thread by thread: counters of every fold and stratum, f folds and k strata, in one list
+_OFF = "10 * n[(c - 1) * 10 + j] - list_sum(n[(c - 1) * 10 + 1 : c * 10])"
+_COST = f"""list_sum([sqrt(CAST(list_sum([({_OFF}) * ({_OFF}) for j in range(1, 11)]) + 20 * v[c] * ({_OFF.replace('+ j]', '+ i]')}) + 90 * v[c] * v[c] AS DOUBLE)) / y[c]
+    for c in range(1, len(v) + 1) if v[c] > 0])"""
 FOLDS = (("cells", "SELECT submission_id, concat_ws('|', final, grp, term) AS stratum, count(*) AS n FROM rate GROUP BY 1, 2"),
-         ("lead_of", "SELECT submission_id, stratum FROM (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY n DESC, stratum) AS rn FROM cells) WHERE rn = 1"),
-         ("fold_of", "SELECT submission_id, CAST((row_number() OVER (ORDER BY stratum, substr(sha256('42:' || submission_id), 1, 16)) - 1) % 10 AS INTEGER) AS fold FROM lead_of"),
-         ("folded", "SELECT r.*, f.fold, CASE f.fold WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM rate r JOIN fold_of f ON r.submission_id = f.submission_id"))
+         ("strata", "SELECT stratum, CAST(sum(n) AS BIGINT) AS y FROM cells GROUP BY 1"),
+         ("totals", "SELECT list(y ORDER BY stratum) AS y FROM strata"),
+         ("dense", """SELECT t.submission_id, list(coalesce(c.n, 0) ORDER BY s.stratum) AS v, CAST(sum(c.n) AS BIGINT) AS size,
+             count(*) * CAST(sum(c.n * c.n) AS BIGINT) - CAST(sum(c.n) AS BIGINT) * CAST(sum(c.n) AS BIGINT) AS spread, string_agg(s.stratum || ':' || c.n, ',' ORDER BY s.stratum) AS name
+             FROM (SELECT DISTINCT submission_id FROM cells) t CROSS JOIN strata s LEFT JOIN cells c ON c.submission_id = t.submission_id AND c.stratum = s.stratum GROUP BY 1"""),
+         ("turns", """SELECT *, row_number() OVER (ORDER BY spread DESC, substr(sha256('42:' || name), 1, 16), name,
+             substr(sha256('42:' || submission_id), 1, 16), submission_id) AS turn FROM dense"""),
+         ("greedy", f"""SELECT CAST(0 AS BIGINT) AS turn, [CAST(0 AS BIGINT) for x in range(10 * len(y))] AS n, [CAST(0 AS BIGINT) for x in range(10)] AS filled, CAST(-1 AS BIGINT) AS fold, NULL::VARCHAR AS submission_id FROM totals
+             UNION ALL /* recursive */
+             SELECT turn, [n[k] + CASE WHEN (k - 1) % 10 = fold THEN v[(k - 1) // 10 + 1] ELSE 0 END for k in range(1, len(n) + 1)],
+                 [filled[k] + CASE WHEN k - 1 = fold THEN size ELSE 0 END for k in range(1, 11)], fold, submission_id
+             FROM (SELECT *, list_sort([{{'filled': filled[i], 'i': i}} for i in range(1, 11) if costs[i] <= list_min(costs) * (1 + 1e-13)])[1].i - 1 AS fold
+                   FROM (SELECT t.turn, n, filled, v, size, t.submission_id, [{_COST} for i in range(1, 11)] AS costs
+                         FROM greedy g JOIN turns t ON t.turn = g.turn + 1 CROSS JOIN totals))"""),
+         ("folded", """SELECT r.*, CAST(f.fold AS INTEGER) AS fold, CASE f.fold WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split
+             FROM rate r JOIN greedy f ON r.submission_id = f.submission_id"""))
 
 
 def folded(spark, sf_dir):
     rows = X.rate(spark, sf_dir)
-    return S.grouped_folds(rows, "submission_id", ["final", "grp", "term"]).withColumn("split", S.split_name())
+    return grouped_folds(rows, "submission_id", ["final", "grp", "term"]).withColumn("split", S.split_name())
 
 
 @add("i09_grouped_folds", X.oracle("rate", "SELECT id, submission_id, fold, split FROM folded", *FOLDS))

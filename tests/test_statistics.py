@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from forumlens.operators.folds import grouped_folds
 from forumlens.operators import agreement as A
 from forumlens.operators import bootstrap as Z
 from forumlens.operators import ranking as R
@@ -101,7 +102,7 @@ def test_quota_sample_fails_when_a_cell_is_short(spark):
 def test_folds_keep_threads_whole(spark):
     rows = spark.range(2000).select(F.col("id"), F.concat(F.lit("t"), F.col("id") % 150).alias("thread"),
                                     (F.col("id") % 3).cast("string").alias("label"))
-    folds = S.grouped_folds(rows, "thread", ["label"])
+    folds = grouped_folds(rows, "thread", ["label"])
     assert folds.count() == 2000
     assert folds.groupBy("thread").agg(F.count_distinct("fold").alias("n")).filter("n > 1").isEmpty()
     sizes = [r["count"] for r in folds.groupBy("fold").count().collect()]
@@ -212,7 +213,7 @@ def test_classifier_learns_marked_texts(spark, kind):
     marks = {"against": "gräßlich bad", "neutral": "maybe so", "pro": "lovely best"}
     rows = [(i, f"text {i % 7} {marks[c]} {'filler ' * (i % 5)}" if i % 11 else "", c) for i in range(90) for c in A.V.CLASSES]
     df = spark.createDataFrame(rows, "id int, text string, label string")
-    fitted = TextClassifier(kind, iterations=10).fit(df, "text", "label")
+    fitted = TextClassifier(kind).fit(df, "text", "label")
     found = evaluate(fitted.predict(df, "text"), "label").first()
     assert found["n"] == 270 and found["accuracy"] > 0.9
     assert fitted.predict(df.withColumn("text", F.lit(None).cast("string")), "text").count() == 270
