@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forumlens import fixed_values as V
 from forumlens.functions.text import flag
+from forumlens.sources.layout import ROW
 
 
 def keep_first(df: DataFrame, key: list[str], order: list[str], exempt: Column | None = None) -> DataFrame:
@@ -39,18 +40,40 @@ def keep_first(df: DataFrame, key: list[str], order: list[str], exempt: Column |
     return rows.select(*columns("__row"))
 
 
+def digest(columns: list[str]) -> Column:
+    """SHA-256 over some columns, each with its length; equal digests stand for equal values."""
+    parts = [F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+             for c in columns]
+    return F.unhex(F.sha2(F.concat(*parts).cast("binary"), 256))
+
+
+def keep_first_at(table: DataFrame, key: list[str], order: list[str], exempt: Column | None = None) -> DataFrame:
+    """``keep_first`` on a table with addresses (``sources.layout``): the choice is made on digests of the key, the order and
+    the addresses, and the rows are taken by address, so that no text is shuffled or sorted. The wide columns are read
+    twice. Rows equal in key and order are decided by a digest of the rest."""
+    rest = [c for c in table.columns if c not in key and c not in order and c != ROW]
+    narrow = table.select(digest(key).alias("__key"), F.when(F.lit(False) if exempt is None else exempt, F.col(ROW)).alias("__own"),
+                          F.struct(*order, digest(rest).alias("__rest") if rest else F.lit(None).alias("__rest"), ROW).alias("__place"))
+    first = narrow.groupBy("__key", "__own").agg(F.min("__place").alias("__first"))
+    return table.join(first.select(F.col(f"__first.{ROW}")), ROW, "left_semi").drop(ROW)
+
+
 def has_null(key: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in key])
 
 
+def is_deleted(author: str) -> Column:
+    """A deleted author stands for many people."""
+    return flag(F.col(author) == V.DELETED)
+
+
 def drop_repeated_posts(df: DataFrame, order: list[str], author="author", thread="submission_id",
                         body="body") -> DataFrame:
     """One copy per author, thread and raw text.
 
-    A deleted author stands for many people, so such rows are never copies; an unknown author counts as
-    one author.
+    Rows of deleted authors are never copies; an unknown author counts as one author.
     """
-    return keep_first(df, [author, thread, body], order, exempt=flag(F.col(author) == V.DELETED))
+    return keep_first(df, [author, thread, body], order, exempt=is_deleted(author))
 
 
 def distinct_then_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

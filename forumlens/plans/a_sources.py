@@ -13,6 +13,7 @@ from forumlens.plans import d_survey as D
 from forumlens.plans import fixtures as X
 from forumlens.plans.g_profiles import STUDY_MONTHS
 from forumlens.sources import readers as R
+from forumlens.sources import layout as L
 from forumlens.sources import sinks as K
 
 BOOK = B.Book()
@@ -56,14 +57,18 @@ def a05(spark, sf_dir):
 
 @add("a06_scan_by_id_list", X.oracle("cmt rate", "SELECT id, created_utc, body FROM cmt WHERE id IN (SELECT id FROM rate WHERE label_1 = 'skip')"))
 def a06(spark, sf_dir):
+    """Comments stored in the order of their ids; the list is pushed into the scan."""
     ids = X.rate(spark, sf_dir).filter("label_1 = 'skip'").select("id")
-    return R.rows_with_ids(X.cmt(spark, sf_dir).select("id", "created_utc", "body"), ids)
+    path = L.write_by_key(X.cmt(spark, sf_dir).select("id", "created_utc", "body"), session.new_table_path(spark, "by_id"), "id")
+    return L.rows_of_keys(spark, path, ["id", "created_utc", "body"], ids, "id")
 
 
 @add("a07_id_filter", X.oracle("cmt rate", "SELECT id, submission_id, parent_id, author, score FROM cmt WHERE id IN (SELECT id FROM rate)"))
 def a07(spark, sf_dir):
-    rows = X.cmt(spark, sf_dir).select("id", "submission_id", "parent_id", "author", "score")
-    return R.rows_with_ids(rows, X.rate(spark, sf_dir))
+    """The list is too long for a filter: the scan is cut to its range and joined."""
+    columns = ["id", "submission_id", "parent_id", "author", "score"]
+    path = L.write_by_key(X.cmt(spark, sf_dir).select(*columns, "body"), session.new_table_path(spark, "by_id"), "id")
+    return L.rows_of_keys(spark, path, columns, X.rate(spark, sf_dir), "id", most=20)
 
 
 @add("a08_wave_sources", D.resp_sql("SELECT wave_id, approval, age_group, count(*) AS n, round(sum(weight_raw), 4) AS weight FROM resp GROUP BY 1, 2, 3"))
@@ -104,12 +109,11 @@ def a11(spark, sf_dir):
 @add("a12_publish_columns", X.oracle("cmt rate", "SELECT c.id, c.created_utc, c.body, r.model_a AS label, r.p_pro FROM cmt c LEFT JOIN rate r ON c.id = r.id"))
 def a12(spark, sf_dir):
     """Two columns, published one after the other."""
-    root = K.start_table(X.cmt(spark, sf_dir).select("id", "created_utc", "body"), session.new_table_path(spark, "scored"))
+    root = L.start_table(X.cmt(spark, sf_dir).select("id", "created_utc", "body"), session.new_table_path(spark, "scored"))
     rate = X.rate(spark, sf_dir)
     for column in (F.col("model_a").alias("label"), F.col("p_pro")):
-        scored = K.with_scores(K.current(spark, root), rate.select("id", column))
-        K.publish(scored, root, scored.columns[-1:], ["id", "created_utc"])
-    return K.current(spark, root)
+        L.publish(L.current(spark, root, [L.ROW, "id"]).join(rate.select("id", column), "id", "left").drop("id"), root)
+    return L.current(spark, root)
 
 
 @add("a13_checkpointed_parts", X.oracle("cmt", "SELECT id, created_utc, CAST(length(body) AS BIGINT) AS chars, 'limit=512' AS settings FROM cmt"))

@@ -9,6 +9,8 @@ from forumlens.functions import text as T
 from forumlens.operators import dedupe as D
 from forumlens.plans import book as B
 from forumlens.plans import fixtures as X
+from forumlens.session import new_table_path
+from forumlens.sources import layout as L
 
 BOOK = B.Book()
 add = BOOK.add
@@ -17,8 +19,9 @@ REST = "k, submission_id, lang, parent_id, source_month, subreddit, author, auth
 
 @add("e01_first_per_id", X.oracle("cmt", f"SELECT id, created_utc, author, body FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_utc, {REST}) AS rn FROM cmt) WHERE rn = 1"))
 def e01(spark, sf_dir):
+    """The comments are laid out by address first; choosing and taking rows then moves no text."""
     rows = X.cmt(spark, sf_dir).select("id", "created_utc", "author", "body")
-    return D.keep_first(rows, ["id"], ["created_utc"])
+    return D.keep_first_at(L.addressed(rows, new_table_path(spark, "comments")), ["id"], ["created_utc"])
 
 
 @add("e02_first_per_month_and_id", X.oracle("cmt", f"""
@@ -43,8 +46,9 @@ SINGLE = (
 
 @add("e03_copy_paste", X.oracle("cmt", "SELECT id, created_utc, author, submission_id, body FROM single", *SINGLE))
 def e03(spark, sf_dir):
-    rows = X.cmt(spark, sf_dir).filter(~G.is_bot_or_moderator())
-    return D.drop_repeated_posts(rows.select("id", "created_utc", "author", "submission_id", "body"), ["created_utc", "id"])
+    rows = X.cmt(spark, sf_dir).filter(~G.is_bot_or_moderator()).select("id", "created_utc", "author", "submission_id", "body")
+    table = L.addressed(rows, new_table_path(spark, "comments"))
+    return D.keep_first_at(table, ["author", "submission_id", "body"], ["created_utc", "id"], exempt=D.is_deleted("author"))
 
 
 @add("e04_distinct_then_key", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (

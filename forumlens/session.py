@@ -22,6 +22,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a bucket written by sources.layout is one sorted file, which a merge join reads as it stands
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
 }
 
 

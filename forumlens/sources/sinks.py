@@ -1,8 +1,7 @@
-"""Writing tables, month files, published columns and resumable answers."""
+"""Writing tables, month files and resumable answers."""
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,68 +58,6 @@ def empty_months(df: DataFrame, months: list[str], month: str = "source_month")
     return calendar.join(df.select(month).distinct(), month, "left_anti")
 
 
-class PublishError(ValueError):
-    """A rewritten table does not fit the one it replaces."""
-
-
-def _difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that do not occur equally often on both sides; null is a key like any other."""
-    one = left.select(*keys, F.lit(1).alias("__n")).unionByName(right.select(*keys, F.lit(-1).alias("__n")))
-    return one.groupBy(*keys).agg(F.sum("__n").alias("__n")).filter("__n <> 0")
-
-
-VERSIONS = "versions"
-
-
-def _versions(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema("version int, name string, rows long").parquet(f"{root}/{VERSIONS}")
-
-
-def current(spark: SparkSession, root: str) -> DataFrame:
-    """The newest published version of a table."""
-    newest = _versions(spark, root).agg(F.max(F.struct("version", "name"))["name"]).first()[0]
-    return spark.read.parquet(f"{root}/{newest}")
-
-
-def _announce(spark: SparkSession, root: str, version: int, name: str, rows: int) -> None:
-    """From this one-row file on, readers find the version; until then they find the one before."""
-    spark.createDataFrame([(version, name, rows)], "version int, name string, rows long").coalesce(1).write.mode("append").parquet(f"{root}/{VERSIONS}")
-
-
-def start_table(df: DataFrame, root: str) -> str:
-    """The first version of a table that will get more columns."""
-    write_table(df, f"{root}/v0")
-    _announce(df.sparkSession, root, 0, "v0", df.sparkSession.read.parquet(f"{root}/v0").count())
-    return root
-
-
-def publish(df: DataFrame, root: str, added: list[str], keys: list[str]) -> dict:
-    """Write a table with more columns as a new version, check it, and announce it.
-
-    It must have the ids of the version before, as often as there, and its columns followed by ``added``.
-    Earlier versions stay where they are, so a reader is never without a table and nothing is renamed; a version
-    that failed its checks is never announced.
-    """
-    spark = df.sparkSession
-    old = current(spark, root)
-    if df.columns != [*old.columns, *added]:
-        raise PublishError(f"columns are {df.columns}")
-    version = _versions(spark, root).agg(F.max("version")).first()[0] + 1
-    name = f"v{version}-{uuid.uuid4().hex[:8]}"  # a failed attempt leaves a folder that nobody reads
-    new = spark.read.parquet(write_table(df, f"{root}/{name}"))
-    other = _difference(old, new, keys).first()
-    if other is not None:
-        raise PublishError(f"ids differ, among others {dict(zip(keys, other))}")
-    rows = new.count()
-    _announce(spark, root, version, name, rows)
-    return {"rows": rows, "columns": len(new.columns), "version": version}
-
-
-def with_scores(comments: DataFrame, scores: DataFrame, key: str = "id") -> DataFrame:
-    """Score columns next to every comment; a comment that was not scored gets nulls."""
-    return comments.join(scores, key, "left").select(*comments.columns, *[c for c in scores.columns if c != key])
-
-
 def unanswered(work: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
     """Work that has no answer yet; a null in a key equals a null."""
     known = answers.select(*[F.col(k).alias(f"__{k}") for k in keys])

@@ -86,23 +86,6 @@ def test_month_files_round_trip(spark):
         readers.read_month_files(spark, path + "/nothing-*", readers.text_schema(["id"]))
 
 
-def test_publish_checks_columns_and_ids(spark):
-    root = sinks.start_table(spark.range(5).withColumnRenamed("id", "k"), session.new_table_path(spark, "t"))
-    old = sinks.current(spark, root)
-    for wrong in (old.filter("k > 0").withColumn("s", F.lit(1)), old.withColumn("k", F.col("k") + 1).withColumn("s", F.lit(1)),
-                  old.withColumn("k", F.when(F.col("k") > 0, F.col("k"))).withColumn("s", F.lit(1)), old.withColumn("x", F.lit(1))):
-        with pytest.raises(sinks.PublishError):
-            sinks.publish(wrong, root, ["s"], ["k"])
-    assert sinks.current(spark, root).columns == ["k"]
-
-
-def test_publish_twice(spark):
-    root = sinks.start_table(spark.createDataFrame([("a",), (None,), (None,)], "k string"), session.new_table_path(spark, "t"))
-    for name in ("first", "second"):
-        assert sinks.publish(sinks.current(spark, root).withColumn(name, F.lit(1)), root, [name], ["k"])["rows"] == 3
-    assert sinks.current(spark, root).columns == ["k", "first", "second"] and sinks.current(spark, root).count() == 3
-
-
 def test_month_without_rows_gets_a_header(spark):
     rows = spark.createDataFrame([("a", "x", "2017-01")], "id string, body string, source_month string")
     path = sinks.write_month_csv(rows, session.new_table_path(spark, "t"), months=["2017-01", "2017-02"])
