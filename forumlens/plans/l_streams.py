@@ -45,9 +45,9 @@ def l01(spark, sf_dir):
 
 @add("l02_stateful_dedupe", X.oracle("cmt", f"SELECT DISTINCT source_month, id FROM cmt WHERE {B.sql_mentions('body')}"))
 def l02(spark, sf_dir):
-    """A tenth of the rows arrives twice, in different batches."""
+    """A tenth of the rows arrives twice, in different batches; months close while their rows still arrive."""
     rows = J.keyword_ingest(comment_stream(spark, sf_dir, "doc_id % 10 = 3"), B.KEYWORD).select("source_month", "id")
-    return finish(J.first_seen(rows, ["source_month", "id"]), spark, "dedupe")
+    return J.FirstSeen(spark, session.new_table_path(spark, "first"), rows.schema, "source_month", "id").run(rows)
 
 
 @add("l03_incremental_scoring", X.oracle("cmt", "SELECT * FROM scored WHERE (id, created_utc) NOT IN (SELECT id, created_utc FROM cmt WHERE subreddit = 'right')", *SCORED))
@@ -56,4 +56,5 @@ def l03(spark, sf_dir):
     done = X.cmt(spark, sf_dir).filter("subreddit = 'right'").select("id", "created_utc")
     path = write_table(done, session.new_table_path(spark, "answered"))
     rows = comment_stream(spark, sf_dir).select("id", "created_utc", "body")
-    return finish(J.score_new(rows, label_comments, spark.read.parquet(path), ["id", "created_utc"]), spark, "scores")
+    table = session.new_table_path(spark, "scores")
+    return J.score_new(rows, label_comments, table, f"{table}-progress", spark.read.parquet(path), ["id", "created_utc"])

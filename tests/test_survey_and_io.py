@@ -14,7 +14,6 @@ from forumlens.operators import survey as S
 from forumlens.operators.classifiers import character_terms, without_accents, word_terms
 from forumlens.plans.k_models import make_rule_scorer
 from forumlens.sources import readers, sinks
-from forumlens.streaming import jobs
 
 
 def test_dates(spark):
@@ -112,27 +111,6 @@ def test_resume_scores_each_row_once_and_checks_settings(spark):
         sinks.resume(work, path, ["id"], make, "prompt_version", "v2")
 
 
-def test_streams_take_only_new_files(spark):
-    folder, table = session.new_table_path(spark, "in"), session.new_table_path(spark, "out")
-    schema = "id string, source_month string, created_utc long, body string"
-
-    def arrive(rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
-
-    def run():
-        stream = jobs.read_files(spark, folder, spark.createDataFrame([], schema).schema)
-        once = jobs.first_seen(jobs.keyword_ingest(stream, "the"), ["source_month", "id"])
-        return jobs.run(once.select("id", "source_month"), table, table + "-progress")
-
-    arrive([("a", "2017-01", 100, "the x"), ("a", "2017-01", 160, "the x"), ("b", "2017-01", 200, "none")])
-    assert [r["id"] for r in run().collect()] == ["a"]
-    arrive([("a", "2017-01", 220, "the x"), ("c", "2017-01", 300, "the y"), ("a", "2017-02", 320, "the x")])
-    assert sorted((r["id"], r["source_month"]) for r in run().collect()) == [("a", "2017-01"), ("a", "2017-02"), ("c", "2017-01")]
-    assert run().count() == 3
-    arrive([("late", "2016-01", 1, "the first of an old month"), ("c", "2017-01", 300, "the y")])
-    assert sorted(r["id"] for r in run().collect()) == ["a", "a", "c", "late"]
-
-
 def test_answers(spark):
     rows = spark.createDataFrame([
         ("pro", '{"top":[{"token":"pro","logprob":-0.5},{"token":"against","logprob":-1.5},{"token":"x","logprob":0}]}'),
