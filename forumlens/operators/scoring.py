@@ -4,24 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forumlens import fixed_values as V
 from forumlens.functions.flags import argmax_label
-from forumlens.operators.ranking import attach
 from forumlens.operators.staging import computed_once
-from forumlens.session import cut_lineage
 
 Scorer = Callable[[list[str]], "object"]
 
 
-def probabilities_udf(make_scorer: Callable[[], Scorer], classes: list[str] = V.CLASSES):
+PADDED = 64_000          # characters of a model's batch, counted with its padding
+
+
+def packs(lengths: np.ndarray, padded: int = PADDED) -> list[tuple[int, int]]:
+    """Cut lengths, which rise, into runs whose number times the longest stays within a budget; one text always fits."""
+    found, start = [], 0
+    for i, length in enumerate(lengths.tolist()):
+        if i > start and (i + 1 - start) * length > padded:
+            found.append((start, i))
+            start = i
+    return [*found, (start, len(lengths))] if len(lengths) else []
+
+
+def probabilities_udf(make_scorer: Callable[[], Scorer], classes: list[str] = V.CLASSES, padded: int = PADDED):
     """A column function from text to class probabilities.
 
-    The scorer is made once per Python worker. Each Arrow batch is scored from short to long texts, so that a
-    model that pads a batch pads little. A null text is not scored.
+    The scorer is made once per Python worker. The texts of an Arrow batch are scored from short to long, packed into
+    batches of texts of about one length, whose size is a number of characters with the padding. A null text is not scored.
     """
     names = [f"p_{c}" for c in classes]
 
@@ -33,20 +46,41 @@ def probabilities_udf(make_scorer: Callable[[], Scorer], classes: list[str] = V.
             known = texts.dropna()
             if len(known):
                 known = known.iloc[known.str.len().argsort(kind="stable")]
-                out.loc[known.index, names] = pd.DataFrame(scorer(known.tolist()), index=known.index, columns=names).astype("float32")
+                found = [pd.DataFrame(scorer(known.iloc[a:b].tolist()), columns=names) for a, b in packs(known.str.len().to_numpy(), padded)]
+                out.loc[known.index, names] = pd.concat(found).set_axis(known.index).astype("float32")
             yield out
     return score
 
 
+def padding(df: DataFrame, text: Column | str, padded: int = PADDED, plain: int | None = None) -> DataFrame:
+    """One row: texts, their characters, and characters with padding, if texts are sorted by length and packed, or, with
+    ``plain``, taken as they come in batches of that many."""
+    t = F.col(text) if isinstance(text, str) else text
+    lengths = df.select(F.length(t).alias("n")).filter(F.col("n").isNotNull())
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column(0).to_numpy()
+            cuts = packs(np.sort(n), padded) if plain is None else [(i, min(i + plain, len(n))) for i in range(0, len(n), plain)]
+            runs = [np.sort(n)[a:b] if plain is None else n[a:b] for a, b in cuts]
+            yield pa.RecordBatch.from_arrays([pa.array([len(n)]), pa.array([int(n.sum())]), pa.array([sum(len(r) * int(r.max()) for r in runs)])],
+                                             ["texts", "characters", "padded"])
+
+    rows = lengths if plain is not None else lengths.sortWithinPartitions("n")
+    return (rows.mapInArrow(run, "texts long, characters long, padded long")
+            .agg(*[F.sum(c).alias(c) for c in ("texts", "characters", "padded")]))
+
+
 def with_label(df: DataFrame, text: Column | str, skip: Column, make_scorer: Callable[[], Scorer],
                classes: list[str] = V.CLASSES, prefix: str = "student") -> DataFrame:
     """Label and probabilities next to every row; skipped rows get nulls.
 
     Only the texts that are scored travel to Python; all other columns stay where they are, so nothing has
-    to be joined back.
+    to be joined back. The rows of a task are sorted by the length of the text, so that texts that are scored together
+    are about as long.
     """
     t = F.col(text) if isinstance(text, str) else text
-    chosen = computed_once(df, "__text", F.when(~skip, t))
+    chosen = computed_once(df, "__text", F.when(~skip, t)).sortWithinPartitions(F.length("__text"))
     scored = chosen.withColumn("__p", probabilities_udf(make_scorer, classes)("__text"))
     named = scored.withColumns({f"{prefix}_p_{c}": F.col(f"__p.p_{c}") for c in classes}).drop("__p", "__text")
     label = argmax_label({c: f"{prefix}_p_{c}" for c in classes})
@@ -76,31 +110,6 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
-LEXICON_WORDS = 100_000
-
-
-def lexicon_tone(df: DataFrame, text: str, keys: list[str], lexicon: DataFrame, alpha: float = 15.0) -> DataFrame:
-    """Sum of word weights per text, squeezed into -1 to 1; a text without a known word scores zero.
-
-    The lexicon is counted and, up to ``LEXICON_WORDS``, goes along as one map, so that the weights are added up
-    inside each row: one scan and no shuffle. A larger lexicon is joined to the words, which collapse to one row
-    per text and task before they are shuffled; the texts' words are never the broadcast side.
-    """
-    known = cut_lineage(lexicon.groupBy("word").agg(F.sum("w").alias("w")))
-    if known.count() <= LEXICON_WORDS:
-        weights = known.agg(F.map_from_entries(F.collect_list(F.struct("word", "w"))).alias("__weights"))
-        one = F.lit(1).alias("__one")
-        joined = df.select(*keys, F.col(text).alias("__text"), one).join(F.broadcast(weights.select("__weights", one)), "__one")
-        total = F.aggregate(words_of(F.col("__text")), F.lit(0.0),
-                            lambda s, word: s + F.coalesce(F.try_element_at(F.col("__weights"), word), F.lit(0.0)))
-        scored = joined.select(*keys, F.coalesce(total, F.lit(0.0)).alias("__s"))
-    else:
-        words = df.select(*keys, F.explode(words_of(F.col(text))).alias("word"))
-        hits = words.join(known.hint("shuffle_hash"), "word").groupBy(*keys).agg(F.sum("w").alias("__s"))
-        scored = attach(df.select(*keys), hits, keys).select(*keys, F.coalesce(F.col("__s"), F.lit(0.0)).alias("__s"))
-    return scored.select(*keys, (F.col("__s") / F.sqrt(F.col("__s") * F.col("__s") + alpha)).alias("tone"))
-
-
 def term_statistics(df: DataFrame, text: str, min_docs: int = 3) -> DataFrame:
     """Documents per term and inverse document frequency.
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forumlens.operators.tone import word_table
+
 MONTH = """CASE WHEN doc_id % 24 < 6 THEN '2017' WHEN doc_id % 24 < 12 THEN '2018' WHEN doc_id % 24 < 18 THEN '2025' ELSE '2026' END
       || '-0' || (doc_id % 6 + 1)"""
 PLACE = """CASE WHEN doc_id % 7 < 4 THEN 'main' WHEN doc_id % 7 = 4 THEN 'ask' WHEN doc_id % 7 = 5 THEN 'left' ELSE 'right' END"""
@@ -217,5 +219,16 @@ def rate(spark, sf_dir):
     return spark.sql(RATE.replace("FROM rate_base", "FROM {rate_base}"), rate_base=base)
 
 
+BOOSTERS = {"in": 0.293, "to": -0.293, "en": 0.293, "le": -0.293}
+NEGATIONS = ["that", "ha", "de"]
+CONTRASTS = ["or", "ou"]
+
+
+def tone_words(spark):
+    """What words do to the tone of a text."""
+    one = lambda words: spark.createDataFrame([(w,) for w in words], "word string")
+    return word_table(lex(spark), spark.createDataFrame(list(BOOSTERS.items()), "word string, w double"), one(NEGATIONS), one(CONTRASTS))
+
+
 def lex(spark):
     return spark.createDataFrame([("the", 1.0), ("of", -0.5), ("and", 0.25), ("not", -2.0)], "word string, w double")

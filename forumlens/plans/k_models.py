@@ -18,6 +18,7 @@ from forumlens.operators import scoring as S
 from forumlens.operators.quantiles import exact_quantiles
 from forumlens.operators.staging import computed_once
 from forumlens.operators.threads import join_validated
+from forumlens.operators.tone import lexicon_tone
 from forumlens.plans import book as B
 from forumlens.session import cut_lineage
 from forumlens.plans import fixtures as X
@@ -222,15 +223,37 @@ def k14(spark, sf_dir):
     return Q.failed_controls(rate.select("id", F.col("model_a").alias("label")), known)
 
 
-LEXED = (("words", "SELECT id, created_utc, unnest(regexp_extract_all(lower(body), '[\\p{L}\\p{N}_]{2,}')) AS word FROM cmt"),
-         ("sums", "SELECT id, created_utc, CAST(sum(w) AS DOUBLE) AS s FROM words JOIN lex USING (word) GROUP BY 1, 2"),
-         ("toned", "SELECT c.id, c.created_utc, coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0) + 15) AS tone FROM cmt c LEFT JOIN sums s ON c.id = s.id AND c.created_utc = s.created_utc"))
+def _cases(values: dict, otherwise: str = "NULL") -> str:
+    return f"CASE lower(x) {' '.join(f'WHEN {w!r} THEN {v}' for w, v in values.items())} ELSE {otherwise} END"
 
 
-@add("k15_lexicon_tone", X.oracle("cmt lex", "SELECT id, created_utc, round(tone, 6) AS tone, CASE WHEN tone >= 0.05 THEN 'pro' WHEN tone <= -0.05 THEN 'against' ELSE 'neutral' END AS label FROM toned", *LEXED))
+def _tone_step(before: str, distance: int, fade: float) -> str:
+    """The values of the weighted words after a look at the word at some distance."""
+    p = f"i - {distance}"
+    loud = f"CASE WHEN shouts AND loud[{p}] THEN sign({before}[i]) * 0.733 ELSE 0.0 END"
+    pushed = f"({before}[i] + CASE WHEN boost[{p}] IS NOT NULL THEN (sign({before}[i]) * boost[{p}] + {loud}) * {fade} ELSE 0.0 END)"
+    return f"[CASE WHEN i > {distance} AND weight[{p}] IS NULL THEN {pushed} * CASE WHEN turns[{p}] THEN -0.74 ELSE 1.0 END ELSE {before}[i] END for i in range(1, len(w) + 1)]"
+
+
+LEXED = (("words", r"SELECT id, created_utc, body, regexp_extract_all(coalesce(body, ''), '[\p{L}\p{N}_]{2,}') AS w FROM cmt"),
+         ("infos", f"""SELECT *, [{_cases({'the': '1.0::DOUBLE', 'of': '-0.5::DOUBLE', 'and': '0.25::DOUBLE', 'not': '-2.0::DOUBLE'}, 'NULL::DOUBLE')} for x in w] AS weight,
+             [{_cases({k: f'{v}::DOUBLE' for k, v in X.BOOSTERS.items()}, 'NULL::DOUBLE')} for x in w] AS boost,
+             [lower(x) IN ({', '.join(map(repr, X.NEGATIONS))}) for x in w] AS turns, [lower(x) IN ({', '.join(map(repr, X.CONTRASTS))}) for x in w] AS contrast,
+             [upper(x) = x AND lower(x) <> x for x in w] AS loud FROM words"""),
+         ("marked", "SELECT *, len([x for x in loud if x]) BETWEEN 1 AND len(w) - 1 AS shouts, coalesce(list_position(contrast, true), 0) AS split FROM infos"),
+         ("t0", "SELECT *, [weight[i] + CASE WHEN shouts AND loud[i] THEN sign(weight[i]) * 0.733 ELSE 0.0 END for i in range(1, len(w) + 1)] AS v0 FROM marked"),
+         ("t1", f"SELECT *, {_tone_step('v0', 1, 1.0)} AS v1 FROM t0"), ("t2", f"SELECT *, {_tone_step('v1', 2, 0.95)} AS v2 FROM t1"),
+         ("t3", f"SELECT *, {_tone_step('v2', 3, 0.9)} AS v3 FROM t2"),
+         ("sums", """SELECT id, created_utc, coalesce(list_sum([v3[i] * CASE WHEN split = 0 OR i = split THEN 1.0 WHEN i < split THEN 0.5 ELSE 1.5 END for i in range(1, len(w) + 1) if v3[i] IS NOT NULL]), 0.0) AS s,
+             length(body) - length(replace(body, '!', '')) AS calls, length(body) - length(replace(body, '?', '')) AS asks FROM t3"""),
+         ("whole", "SELECT id, created_utc, s + sign(s) * coalesce(least(calls, 4) * 0.292 + CASE WHEN asks < 2 THEN 0.0 WHEN asks <= 3 THEN asks * 0.18 ELSE 0.96 END, 0) AS s FROM sums"),
+         ("toned", "SELECT id, created_utc, s / sqrt(s * s + 15) AS tone FROM whole"))
+
+
+@add("k15_lexicon_tone", X.oracle("cmt", "SELECT id, created_utc, round(tone, 6) AS tone, CASE WHEN tone >= 0.05 THEN 'pro' WHEN tone <= -0.05 THEN 'against' ELSE 'neutral' END AS label FROM toned", *LEXED))
 def k15(spark, sf_dir):
-    tone = S.lexicon_tone(X.cmt(spark, sf_dir).select("id", "created_utc", "body"), "body", ["id", "created_utc"], X.lex(spark))
-    return tone.select("id", "created_utc", F.round("tone", 6).alias("tone"), G.label_by_threshold("tone").alias("label"))
+    toned = lexicon_tone(X.cmt(spark, sf_dir).select("id", "created_utc", "body"), "body", X.tone_words(spark))
+    return toned.select("id", "created_utc", F.round("tone", 6).alias("tone"), G.label_by_threshold("tone").alias("label"))
 
 
 @add("k16_result_export", X.oracle("cmt rate", f"SELECT r.id, s.snippet, final, model_a, model_b, p_pro, round(p_pro - p_against, 6) AS score FROM rate r JOIN (SELECT id, min(substr(regexp_replace(body, '{B.WS}+', ' ', 'g'), 1, 160)) AS snippet FROM cmt GROUP BY 1) s ON r.id = s.id"))

@@ -197,16 +197,6 @@ def test_joins_agree_on_both_sides_of_the_broadcast_limit(spark, monkeypatch, ro
     assert {(r["g"], r["n"]) for r in sized.select("g", "n").distinct().collect()} == {(str(i), 429 if i < 4 else 428) for i in range(7)}
 
 
-@pytest.mark.parametrize("limit", [0, 100_000])
-def test_tone_is_the_same_with_a_joined_lexicon(spark, monkeypatch, limit):
-    from forumlens.operators import scoring
-    monkeypatch.setattr(scoring, "LEXICON_WORDS", limit)
-    texts = spark.createDataFrame([(1, "good good bad"), (2, "nothing here"), (3, None), (4, "BAD")], "id int, t string")
-    words = spark.createDataFrame([("good", 2.0), ("bad", -1.0)], "word string, w double")
-    tone = {r["id"]: round(r["tone"], 6) for r in scoring.lexicon_tone(texts, "t", ["id"], words).collect()}
-    assert tone == {1: round(3 / 24 ** 0.5, 6), 2: 0.0, 3: 0.0, 4: -0.25}
-
-
 @pytest.mark.parametrize("kind", ["word", "character"])
 def test_classifier_learns_marked_texts(spark, kind):
     from forumlens.operators.classifiers import TextClassifier, evaluate
