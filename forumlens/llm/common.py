@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window as W
+
+from forumlens.session import cut_lineage, small_side
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -93,6 +96,21 @@ def append_from_texts(df: DataFrame, text: str, fields: Sequence[StructField],
     return source.mapInArrow(run, schema)
 
 
+def numbered(rows: DataFrame, tree: str, order: Sequence[str]) -> DataFrame:
+    """Append the place of every row within its tree (``idx``, from 0) and the rows of the tree (``n``).
+
+    Rows equal in all columns of the order may be in any order: spread by a number of their own, they need no common task."""
+    spread = rows.withColumn("__spread", F.monotonically_increasing_id())
+    placed = cut_lineage(spread.repartitionByRange(tree, *order, "__spread").sortWithinPartitions(tree, *order).drop("__spread")
+                         .withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    runs = placed.groupBy("__part", tree).agg(F.min("__at").alias("__from"), F.count(F.lit(1)).alias("__rows"))
+    before = W.partitionBy(tree).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.withColumns({"__start": F.coalesce(F.sum("__rows").over(before), F.lit(0)), "n": F.sum("__rows").over(W.partitionBy(tree))})
+    return (placed.join(small_side(runs.drop("__rows")), ["__part", tree])
+            .withColumn("idx", F.col("__at") - F.col("__from") + F.col("__start")).drop("__at", "__part", "__from", "__start"))
+
+
 class Book:
     """Queries of the subpackage and the SQL they are checked against."""
 

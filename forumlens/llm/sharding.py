@@ -1,19 +1,20 @@
 """Sharding by histogram sort.
 
-Rows are ordered by (hash of the text, id), so equal texts stand together and everything else is shuffled. The order is
-cut into shards of nearly equal bytes. The cuts are found by counting: every round counts, exactly and in all
-partitions, the bytes between candidate keys, with the smallest and largest key that occurs there; each wanted cut
-lies between two candidates, and the next round places its candidates inside that gap only. A cut is settled when its
-gap holds at most one row or fewer bytes than the tolerance. A group of copies of one text, however large, is cut by
-id: the gap shrinks to one hash after one round, and then the candidates run over the ids. Only candidates and their
-counts reach the driver, at most ``PROBES`` per cut.
-
-With the cuts known, rows are exchanged once. Each shard is cut further into pieces of bounded rows, whose counts are
-known, so a slot is the rows of the shard's earlier pieces plus the place within the piece: no shard is sorted in one
-task. The number of pieces grows with the table.
-
-The law is ``bytes``: sizes of shards are equal up to the tolerance and one row on either side. Equal rows (same text
-and id) cannot be told apart, so a cut never falls between them.
+Rows are ordered by (hash of the text, id, number of the row), so equal texts stand together and everything else is
+shuffled. The order is cut into shards of nearly equal bytes. The cuts are found by counting: every round counts, exactly
+and in all partitions, the bytes between candidate keys, with the smallest and largest key that occurs there; each wanted
+cut lies between two candidates, and the next round places its candidates inside that gap only. A cut is settled when its
+gap holds one row or fewer bytes than the tolerance. A group of copies of one text, however large, is cut by id, and one
+of wholly equal rows by their numbers: the gap shrinks to one hash after one round, then to one id. Only candidates and
+their counts reach the driver, at most ``PROBES`` per cut.
+
+With the cuts known, the keys alone are put in order once by Spark, which gives every key its place in its shard, and every
+``PIECE_ROWS``-th key is the border of a piece. Rows are exchanged once, to their pieces, and a slot is the place of the
+piece's border plus the place within the piece: no shard is sorted in one task, and no piece has more rows than that,
+whatever their size. The borders, one for every ``PIECE_ROWS`` rows of the table, are sent to the tasks.
+
+The law is ``bytes``: sizes of shards are equal up to the tolerance and one row on either side. Rows are numbered as they
+are read, which must be in the same partitions both times: from files, or settled (``session.cut_lineage``).
 
 Results on edges: a null text has no bytes and the checksum 0; every row has 16 bytes besides its text. Null ids sort
 before all others. An empty table gives an empty table. Ids that are no whole numbers are ordered by their hash.
@@ -21,8 +22,6 @@ before all others. An empty table gives an empty table. Ids that are no whole nu
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,35 +29,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window as W
 
-from forumlens.llm.common import BOOK, col, table, without
+from forumlens.llm.common import BOOK, col, numbered, table, without
 from forumlens.session import cut_lineage
 
 SHARDS = 40
 ROW_BYTES = 16
 TOLERANCE = 1e-4         # of the mean bytes of a shard
 PROBES = 128             # candidates in the gap of each cut and round
-PIECE_ROWS = 100_000
+PIECE_ROWS = 100_000     # rows of a piece, exactly, but for a shard's last one
 MAX_ROUNDS = 64
 _SIGN = np.uint64(1 << 63)
 
 
-def packed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Two signed 64-bit numbers as 16 bytes that sort like the pair."""
-    pair = np.stack([first.astype(np.int64).view(np.uint64) ^ _SIGN, second.astype(np.int64).view(np.uint64) ^ _SIGN], axis=1)
-    return np.ascontiguousarray(pair.astype(">u8")).view("S16").reshape(-1)
+WORDS = 3                # 64-bit numbers of a key
+
+
+def packed(*parts: np.ndarray) -> np.ndarray:
+    """Signed 64-bit numbers side by side as bytes that sort like the tuple."""
+    columns = np.stack([p.astype(np.int64).view(np.uint64) ^ _SIGN for p in parts], axis=1)
+    return np.ascontiguousarray(columns.astype(">u8")).view(f"S{8 * len(parts)}").reshape(-1)
 
 
 def to_number(key: bytes) -> int:
-    return int.from_bytes(key.ljust(16, b"\0"), "big")  # numpy drops zero bytes at the end
+    return int.from_bytes(key.ljust(8 * WORDS, b"\0"), "big")  # numpy drops zero bytes at the end
 
 
 def to_bytes(number: int) -> bytes:
-    return min(number, (1 << 128) - 1).to_bytes(16, "big")
+    return min(number, (1 << 64 * WORDS) - 1).to_bytes(8 * WORDS, "big")
 
 
-def bins(candidates: list[int], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+def bins(candidates: list[bytes], keys: np.ndarray) -> np.ndarray:
     """How many candidates are at most each key."""
-    return np.searchsorted(np.array([to_bytes(c) for c in candidates], "S16"), packed(first, second), "right")
+    return np.searchsorted(np.array(candidates, f"S{8 * WORDS}"), keys, "right")
 
 
 def histogram(keys: DataFrame, candidates: list[int]) -> dict[int, tuple[int, int, int, int]]:
@@ -66,12 +68,14 @@ def histogram(keys: DataFrame, candidates: list[int]) -> dict[int, tuple[int, in
     def run(batches):
         n = len(candidates) + 1
         size, rows = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        low, high = np.full(n, (1 << 128) - 1, object), np.full(n, -1, object)
+        low, high = np.full(n, (1 << 64 * WORDS) - 1, object), np.full(n, -1, object)
+        probes = [to_bytes(c) for c in candidates]
         for batch in batches:
-            first, second, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if not len(first):
+            *parts, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(WORDS + 1))
+            if not len(sizes):
                 continue
-            bin_, key = bins(candidates, first, second), packed(first, second)
+            key = packed(*parts)
+            bin_ = bins(probes, key)
             order = np.argsort(key, kind="stable")     # candidates are ordered as keys are, so bins come out in order
             bin_, key = bin_[order], key[order]
             there, starts = np.unique(bin_, return_index=True)
@@ -86,7 +90,7 @@ def histogram(keys: DataFrame, candidates: list[int]) -> dict[int, tuple[int, in
              pa.array([to_bytes(low[b]) for b in used], pa.binary()), pa.array([to_bytes(high[b]) for b in used], pa.binary())],
             ["bin", "bytes", "rows", "low", "high"])
 
-    found = (keys.select("__first", "__second", "__size").mapInArrow(run, "bin int, bytes long, rows long, low binary, high binary")
+    found = (keys.select(*KEY, "__size").mapInArrow(run, "bin int, bytes long, rows long, low binary, high binary")
              .groupBy("bin").agg(F.sum("bytes"), F.sum("rows"), F.min("low"), F.max("high")).collect())
     return {r[0]: (r[1], r[2], to_number(bytes(r[3])), to_number(bytes(r[4]))) for r in found}
 
@@ -126,53 +130,62 @@ def splitters(keys: DataFrame, total: int, parts: int, tolerance: int) -> list[i
 
 
 def spread(low: int, high: int) -> list[int]:
-    """Candidates for a gap: its first key, the key behind its last, and between them steps over its hashes, or over
-    its ids where it has one hash only."""
-    first, last = low >> 64, high >> 64
-    if first != last:
-        inner = {(first + (last - first) * i // PROBES) << 64 for i in range(1, PROBES + 1)}
-    else:
-        inner = {low + max(1, (high - low) * i // PROBES) for i in range(1, PROBES + 1)}
+    """Candidates for a gap: its first key, the key behind its last, and between them steps over its hashes, over its
+    ids where it has one hash only, or over the numbers of its rows where they are all equal."""
+    inner: set[int] = set()
+    for shift in range(64 * (WORDS - 1), -1, -64):
+        first, last = low >> shift, high >> shift
+        if first != last:
+            inner = {(first + max(1, (last - first) * i // PROBES)) << shift for i in range(1, PROBES + 1)}
+            break
     return sorted({c for c in inner if low < c} | {low, high, high + 1})
 
 
+KEY = ["__first", "__second", "__tie"]
+
+
 def _keys(docs: DataFrame, text: str, key: str) -> DataFrame:
     whole = isinstance(docs.schema[key].dataType, IntegralType)
     second: Column = col(key).cast("long") if whole else F.xxhash64(col(key))
     return (docs.withColumn("__first", F.xxhash64(col(text)))
             .withColumn("__second", F.coalesce(second, F.lit(-(1 << 63))))
+            .withColumn("__tie", F.monotonically_increasing_id())
             .withColumn("__size", F.coalesce(F.octet_length(col(text)), F.lit(0)).cast("long") + F.lit(ROW_BYTES)))
 
 
-def shard(docs: DataFrame, text: str = "text", key: str = "doc_id", shards: int = SHARDS, tolerance: float = TOLERANCE,
-          piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """Append size, shard and slot to every row."""
+def _placed(borders: list[bytes], shards: list[int], starts: list[int]) -> Column:
+    """From keys to the part between two borders, its shard and its first slot; there is one part more than borders."""
     from pyspark.sql.functions import pandas_udf
 
-    narrow = cut_lineage(_keys(docs.select(*{key: 0, text: 0}), text, key).select("__first", "__second", "__size"))
-    total, rows = narrow.agg(F.coalesce(F.sum("__size"), F.lit(0)), F.count(F.lit(1))).first()
-    pieces = max(1, math.ceil(rows / shards / piece_rows))
-    cuts = splitters(narrow, total, shards * pieces, int(tolerance * total / shards))
-    counts = {b: r[1] for b, r in histogram(narrow, cuts).items()} if cuts else {0: rows}
-    starts, before = [], 0
-    for part in range(shards * pieces):
-        before = 0 if part % pieces == 0 else before
-        starts.append(before)
-        before += counts.get(part, 0)
-
-    @pandas_udf("int")
-    def part_of(first, second):
+    owners, firsts = np.array(shards, np.int32), np.array(starts, np.int64)
+
+    @pandas_udf("part int, shard int, start long")
+    def place(first, second, tie):
         import pandas as pd
 
-        return pd.Series(bins(cuts, first.to_numpy(), second.to_numpy()) if cuts else np.zeros(len(first)), dtype=np.int32)
+        part = bins(borders, packed(first.to_numpy(), second.to_numpy(), tie.to_numpy()))
+        return pd.DataFrame({"part": part.astype(np.int32), "shard": owners[part], "start": firsts[part]})
+
+    return place(*KEY)
 
+
+def shard(docs: DataFrame, text: str = "text", key: str = "doc_id", shards: int = SHARDS, tolerance: float = TOLERANCE,
+          piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Append size, shard and slot to every row."""
+    narrow = cut_lineage(_keys(docs.select(*{key: 0, text: 0}), text, key).select(*KEY, "__size"))
+    total = narrow.agg(F.coalesce(F.sum("__size"), F.lit(0))).first()[0]
+    cuts = sorted(to_bytes(c) for c in splitters(narrow, total, shards, int(tolerance * total / shards)))
+    parts = list(range(len(cuts) + 1))
+    placed = numbered(narrow.select(*KEY, _placed(cuts, parts, [0] * len(parts))["shard"].alias("__shard")), "__shard", KEY)
+    # the first key of every shard and of every piece of it, in order; the table below all of them is empty
+    borders = sorted((packed(*(np.array([r[c]]) for c in KEY)).tobytes(), r["__shard"], r["idx"])
+                     for r in placed.filter(F.col("idx") % piece_rows == 0).collect())
     kept = without(docs, ["size", "shard", "slot"])
-    placed = _keys(docs, text, key).withColumn("__part", part_of("__first", "__second"))
-    inside = F.row_number().over(W.partitionBy("__part").orderBy("__first", "__second"))
-    first_slot = F.element_at(F.lit(starts).cast("array<bigint>"), F.col("__part") + 1)
-    return placed.select(*[col(c) for c in kept], F.col("__size").alias("size"),
-                         F.floor(F.col("__part") / F.lit(pieces)).cast("int").alias("shard"),
-                         (first_slot + inside - 1).cast("long").alias("slot"))
+    place = _placed([b[0] for b in borders], [0, *[b[1] for b in borders]], [0, *[b[2] for b in borders]])
+    rows = _keys(docs, text, key).withColumn("__place", place).withColumn("__part", F.col("__place.part"))
+    inside = F.row_number().over(W.partitionBy("__part").orderBy(*KEY))
+    return rows.select(*[col(c) for c in kept], F.col("__size").alias("size"), F.col("__place.shard").alias("shard"),
+                       (F.col("__place.start") + inside - 1).cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -353,6 +353,38 @@ def test_a_group_of_copies_is_cut_by_id(spark, piece_rows):
     assert len({r.shard for r in found if r.doc_id is not None and r.doc_id % 2}) > 2
 
 
+def brute_shards(rows, shards):
+    """Cuts from a full sort: each where the bytes in front are nearest to its share."""
+    total, out, shard, before = sum(s for _, s in rows), [], 0, 0
+    for _, size in rows:
+        while shard + 1 < shards and 2 * (total * (shard + 1) // shards - before) <= size:
+            shard += 1
+        out.append(shard)
+        before += size
+    return out
+
+
+def test_cuts_equal_those_of_a_full_sort(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    keyed = sharding._keys(docs, "text", "doc_id").select("doc_id", *sharding.KEY, "__size").collect()
+    order = sorted(keyed, key=lambda r: tuple(r[c] for c in sharding.KEY))
+    expected = brute_shards([(r.doc_id, r["__size"]) for r in order], 40)
+    found = {r.doc_id: (r.shard, r.slot) for r in sharding.shard(docs, tolerance=0.0, piece_rows=7).collect()}
+    slots = Counter()
+    for r, shard in zip(order, expected):
+        assert found[r.doc_id] == (shard, slots[shard])
+        slots[shard] += 1
+
+
+def test_wholly_equal_rows_are_cut(spark, tmp_path):
+    rows = [(1, "one and the same row " * 4)] * 300 + [(None, None)] * 100 + [(i, f"row {i}") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/docs")
+    found = sharding.shard(spark.read.parquet(f"{tmp_path}/docs"), shards=8, piece_rows=11).collect()
+    assert Counter((r.doc_id, r.text) for r in found) == Counter(rows)
+    check_shards(found, 8, 200)
+    assert len({r.shard for r in found if r.doc_id == 1}) > 5
+
+
 def test_shards_on_odd_rows(spark):
     docs = C.odd_documents(spark)
     found = sharding.shard(docs, shards=3).collect()
@@ -369,9 +401,9 @@ def test_shards_are_written_by_folder(spark, tmp_path):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.tuples(st.integers(-2 ** 63, 2 ** 63 - 1), st.integers(-2 ** 63, 2 ** 63 - 1)), min_size=1, max_size=30))
-def test_packed_keys_sort_like_pairs(pairs):
-    packed = sharding.packed(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
+@given(st.lists(st.tuples(*[st.one_of(st.integers(-2, 2), st.integers(-2 ** 63, 2 ** 63 - 1))] * 3), min_size=1, max_size=30))
+def test_packed_keys_sort_like_tuples(pairs):
+    packed = sharding.packed(*(np.array([p[i] for p in pairs]) for i in range(3)))
     assert sorted(pairs) == [p for _, p in sorted(zip(map(sharding.to_number, packed.tolist()), pairs))]
 
 
