@@ -12,31 +12,44 @@ vocabulary trie node reached since, the last token at that place, and the token
 finitely many. States and transitions are compiled when first needed and kept, up to ``MAX_KEPT`` of them; beyond,
 the machine is emptied and compiled anew, so memory is bounded for any input.
 
-Whole texts are read in chunks. At some cuts between two characters the machine is in one known state whatever came
-before (a letter, number or sign that is followed by a blank or that follows one). The map of a chunk over all states
-is therefore: the text before its first such cut, the tokens between the first and the last, the text after the last.
-Maps of neighbouring chunks compose to one map (associative), so a text is a prefix scan over its chunks in a
-balanced tree, and only the seams are read twice.
+Between a character and a blank behind it every word ends, so a text falls into pieces (blanks, then other characters)
+that are counted each by itself, and the counts of short pieces are kept: most are read by the machine once per worker.
+
+Texts of more than ``LONG_CHARS`` become rows of chunks, which Spark spreads over its tasks. The map of a chunk tells, for
+the state in front of it, the state behind it and the tokens in between. It is kept as the run from one state, with the
+states and counts at some marks on the way (their distances double), and for any other state by running the chunk from
+there up to the first mark at which it is in the same state: from then on both runs are one. Behind a blank that is at
+once, inside an unbroken run mostly after a few tokens. The maps of a text are then composed by position, one after the
+other, in time for a few characters each, whatever the text holds.
 
 Results on edges: a null text counts as empty, an empty text has no tokens. The special strings that the library
-recognises inside texts by default count as one token each and separate what stands around them.
+recognises inside texts by default count as one token each and separate what stands around them. Equal long texts are
+read once per task and composed once.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 import re
 import unicodedata
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from forumlens.llm.common import BOOK, append_from_texts, table
+from forumlens.llm.common import BOOK, append_from_texts, col, table, without
+from forumlens.session import small_side
 
 MAX_KEPT = 1_000_000      # states, transitions and remembered pairs of tokens
 FEW_TOKENS = 64
+LONG_CHARS = 1 << 20       # characters of a text above which it is read in chunks
 CHUNK_CHARS = 1 << 16
+FIRST_MARK = 16
+KEPT_CHARS = 48           # characters of a piece whose count is kept
+MAX_PIECES = 200_000
 LIMIT = 1024
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")    # fixed values of the pre-tokenizer, behind an apostrophe
 LETTER, NUMBER, BLANK, OTHER = range(4)
@@ -58,6 +71,12 @@ class State:
         self.key, self.to, self.at_end = key, {}, at_end
 
 
+class ChunkMap(NamedTuple):
+    """A chunk and its run from the start: (characters read, name of the state, tokens so far) at each mark, the last at its end."""
+    text: str
+    marks: list
+
+
 class Machine:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -98,6 +117,7 @@ class Machine:
         self.alike: dict[tuple[int, int], int | None] = {}
         self.first_with: dict = {}
         self.kinds: dict[str, int] = {}
+        self.known: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -284,48 +304,64 @@ class Machine:
 
     # --- chunk maps -------------------------------------------------------------------------------------
 
-    def chunk_map(self, text: str):
-        """(text before the first known cut, tokens between the first and the last, text after the last); the
-        last two are None where the chunk has no known cut."""
-        first = known_cut(text, 0)
-        if first is None:
-            return text, None, None
-        last = last_cut(text)
-        _, tokens = self.closed(text[first:last])
-        return text[:first], tokens, text[last:]
-
-    def closed(self, text: str) -> tuple[State, int]:
-        state, tokens = self.run(self.start, text)
-        return state, tokens + state.at_end
-
-    def compose(self, left, right):
-        """The map of two neighbouring chunks."""
-        if left[1] is None and right[1] is None:
-            return self.chunk_map(left[0] + right[0])
-        if left[1] is None:
-            return self.grown(left[0] + right[0], right[1], right[2], True)
-        if right[1] is None:
-            return self.grown(left[2] + right[0], left[1], left[0], False)
-        return left[0], left[1] + self.closed(left[2] + right[0])[1] + right[1], right[2]
-
-    def grown(self, open_: str, tokens: int, far: str, front: bool):
-        """A map whose open text on one side grew: it may have known cuts now."""
-        before, inside, behind = self.chunk_map(open_)
-        if inside is None:
-            return (open_, tokens, far) if front else (far, tokens, open_)
-        if front:
-            return before, inside + self.closed(behind)[1] + tokens, far
-        return far, tokens + self.closed(before)[1] + inside, behind
+    def chunk_map(self, text: str) -> ChunkMap:
+        state, total, marks, at, size = self.start, 0, [], 0, FIRST_MARK
+        while at < len(text):
+            state, added = self.run(state, text[at:at + size])
+            at, total, size = at + size, total + added, size * 2 if marks else size
+            marks.append((at, state.key, total))
+        return ChunkMap(text, marks)
+
+    def follow(self, state: State, chunk: ChunkMap) -> tuple[State, int]:
+        """The state behind a chunk, and the tokens added, from any state in front of it."""
+        at = total = 0
+        for end, key, tokens in chunk.marks:
+            state, added = self.run(state, chunk.text[at:end])
+            at, total = end, total + added
+            if state.key == self.own_name(key):
+                _, last, whole = chunk.marks[-1]
+                return self.state(self.own_name(last)), total + whole - tokens
+        return state, total
+
+    def own_name(self, key):
+        """The key under which this machine knows a state that another one named."""
+        mode, word, held = key
+        if word is None:
+            return key
+        renamed = []
+        for node, last, relative in word[:-1]:
+            last = self.stand_in(node, last)
+            if last is not None:
+                renamed.append((node, last, relative))
+        return mode, (*renamed, word[-1]), held
+
+    def count_chunks(self, chunks: list[ChunkMap]) -> int:
+        """Tokens of a text from the maps of its chunks, in order."""
+        state, total = self.start, 0
+        for chunk in chunks:
+            state, added = self.follow(state, chunk)
+            total += added
+        return total + state.at_end
+
+    # --- whole texts --------------------------------------------------------------------------------------
+
+    def _count_piece(self, piece: str) -> int:
+        state, tokens = self.run(self.start, piece)
+        return tokens + state.at_end
 
     def count_part(self, text: str) -> int:
         """Tokens of a text without special strings."""
-        if len(text) <= CHUNK_CHARS:
-            return self.closed(text)[1]
-        maps = [self.chunk_map(text[i:i + CHUNK_CHARS]) for i in range(0, len(text), CHUNK_CHARS)]
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i:i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        before, tokens, behind = maps[0]
-        return self.closed(before)[1] + (tokens + self.closed(behind)[1] if tokens is not None else 0)
+        total, known = 0, self.known
+        for piece in _PIECES.findall(text):
+            n = known.get(piece)
+            if n is None:
+                n = self._count_piece(piece)
+                if len(piece) <= KEPT_CHARS:
+                    known[piece] = n
+            total += n
+        if len(known) > MAX_PIECES:
+            known.clear()
+        return total
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -345,28 +381,8 @@ def is_blank(char: str) -> bool:
     return char in _BLANK_SET
 
 
-# A cut before a blank that follows a letter or number: a word ends there whatever came before. (Behind an apostrophe
-# and a letter too: a contraction or not, the letters end at the blank.)
-_KNOWN = re.compile(r"(?<=[^\W_])(?=\s)")
-
-
-def known_cut(text: str, start: int) -> int | None:
-    for found in _KNOWN.finditer(text, start):
-        if text[found.start()] in _BLANK_SET and unicodedata.category(text[found.start() - 1])[0] in "LN":
-            return found.start()
-    return None
-
-
-def last_cut(text: str) -> int:
-    """The last known cut of a text that has one, found in windows from its end."""
-    size = 256
-    while True:
-        start = max(0, len(text) - size)
-        cuts = [f.start() for f in _KNOWN.finditer(text, start) if text[f.start()] in _BLANK_SET
-                and unicodedata.category(text[f.start() - 1])[0] in "LN"]
-        if cuts:
-            return cuts[-1]
-        size *= 4
+_BLANKS = "".join(sorted(_BLANK_SET))
+_PIECES = re.compile(f"[{_BLANKS}]*[^{_BLANKS}]+|[{_BLANKS}]+")
 
 
 _LOADED: dict[str, Machine] = {}
@@ -385,13 +401,52 @@ def model_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def count_tokens(docs: DataFrame, text: str = "text", model: str | None = None, out: str = "n_tokens",
-                 keep: list[str] | None = None) -> DataFrame:
-    """Append the number of tokens of every text; the model file is read on each worker. No shuffle."""
+                 keep: list[str] | None = None, long_chars: int = LONG_CHARS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """Append the number of tokens of every text; the model file is read on each worker.
+
+    Long texts are read a second time, as chunks; their counts are joined by the digest of the text."""
     def compute(texts):
         counts = machine(model or model_path())
-        return [[counts.count(t) for t in texts]]
+        return [[None if t is None else counts.count(t) for t in texts]]
+
+    content = F.coalesce(col(text).cast("string"), F.lit(""))
+    is_long = F.length(content) > long_chars
+    names = [out, "__short", "__digest"]
+    kept = [c for c in without(docs, names) if keep is None or c in keep]
+    marked = docs.select(*[col(c) for c in kept], F.when(~is_long, content).alias("__short"), F.when(is_long, F.sha2(content, 256)).alias("__digest"))
+    counted = append_from_texts(marked, "__short", [StructField("__n", LongType())], compute, [*kept, "__digest"])
+    long = long_counts(docs.select(content.alias("text")).filter(is_long), model, chunk_chars)
+    return (counted.join(small_side(long), "__digest", "left")
+            .select(*[col(c) for c in kept], F.coalesce("__n", "__long").alias(out)))
+
+
+def long_counts(texts: DataFrame, model: str | None, chunk_chars: int) -> DataFrame:
+    """(__digest, __long): tokens of every text of a table, by maps of its chunks."""
+    special = machine(model or model_path()).special
+    pattern = "|".join("\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E" for s in sorted(special, key=len, reverse=True))
+    parts = F.split("text", pattern, -1) if special else F.array("text")
+    pieces = texts.select(F.sha2("text", 256).alias("__digest"), F.posexplode(parts).alias("part", "content"))
+    places = F.sequence(F.lit(0), F.greatest(F.floor((F.length("content") - 1) / chunk_chars).cast("int"), F.lit(0)))
+    chunks = pieces.select("__digest", "part", "content", F.explode(places).alias("place")).select(
+        "__digest", "part", "place", F.substring(F.col("content"), F.col("place") * chunk_chars + 1, F.lit(chunk_chars)).alias("text"))
+
+    def run(batches):
+        counts = machine(model or model_path())
+        for batch in batches:
+            marks = [pickle.dumps(counts.chunk_map(t).marks) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary())], [*batch.schema.names, "marks"])
 
-    return append_from_texts(docs, text, [StructField(out, LongType())], compute, keep)
+    def compose(rows: pa.Table) -> pa.Table:
+        counts = machine(model or model_path())
+        found: dict = {}
+        for part, place, text, marks in zip(*(rows.column(c).to_pylist() for c in ("part", "place", "text", "marks"))):
+            found.setdefault(part, {})[place] = ChunkMap(text, pickle.loads(marks))
+        total = sum(counts.count_chunks([one[p] for p in sorted(one)]) for one in found.values())
+        return pa.table({"__digest": [rows.column("__digest")[0].as_py()], "__long": [total + len(found) - 1]})
+
+    maps = (chunks.repartition("__digest", "part", "place").mapInArrow(run, "__digest string, part int, place int, text string, marks binary")
+            .dropDuplicates(["__digest", "part", "place"]))
+    return maps.groupBy("__digest").applyInArrow(compose, "__digest string, __long long")
 
 
 def judged(docs: DataFrame, text: str = "text", limit: int = LIMIT, keep: list[str] | None = None, **options) -> DataFrame:

@@ -92,17 +92,43 @@ def library_counts(texts):
     return [len(e.ids) for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
+PLAIN = st.one_of(st.text(ALPHABET, max_size=60), st.text("the antioshwr ", max_size=120), st.text(max_size=30))
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.one_of(st.text(ALPHABET, max_size=60), st.text("the antioshwr ", max_size=120), st.text(max_size=30)), max_size=5),
-       st.sampled_from([3, 17, 1 << 16]))
-def test_token_counts_equal_the_library(texts, chunk):
+@given(st.lists(PLAIN, max_size=5))
+def test_token_counts_equal_the_library(texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
-    m, before = tokens.machine(tokens.model_path()), tokens.CHUNK_CHARS
+    assert [tokens.machine(tokens.model_path()).count(t) for t in texts] == library_counts(texts)
+
+
+def chunked(machine, text, size):
+    return machine.count_chunks([machine.chunk_map(text[i:i + size]) for i in range(0, len(text), size)])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(PLAIN, st.text("ab", max_size=90), st.text("x'lre", max_size=60)), st.sampled_from([1, 3, 17, 40]))
+def test_chunk_maps_compose_to_the_count(text, size):
+    text = text.encode("utf-8", "ignore").decode().replace("<|endoftext|>", "")
+    assert chunked(tokens.machine(tokens.model_path()), text, size) == library_counts([text])[0]
+
+
+def test_runs_meet_soon_and_maps_of_other_machines_hold():
+    m, other = tokens.machine(tokens.model_path()), tokens.Machine(tokens.model_path())
+    rng = random.Random(1)
+    unbroken = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABC0123456789") for _ in range(60_000))
+    maps = [other.chunk_map(unbroken[i:i + 6000]) for i in range(0, 60_000, 6000)]     # as another worker would make them
+    read, real = [], m.run
+    m.run = lambda state, text: read.append(len(text)) or real(state, text)
     try:
-        tokens.CHUNK_CHARS = chunk
-        assert [m.count(t) for t in texts] == library_counts(texts)
+        state, total = m.start, 0
+        for one in maps:
+            state, added = m.follow(state, one)
+            total += added
     finally:
-        tokens.CHUNK_CHARS = before
+        del m.run
+    assert total + state.at_end == library_counts([unbroken])[0]
+    assert sum(read) < 0.2 * len(unbroken)                          # of most chunks only the beginning is read again
 
 
 def test_token_counts_of_contractions_and_special_strings(monkeypatch):
@@ -114,18 +140,20 @@ def test_token_counts_of_contractions_and_special_strings(monkeypatch):
     assert [m.count(t) for t in texts] == library_counts(texts)
 
 
-def test_chunk_maps_compose_in_any_grouping():
-    m = tokens.machine(tokens.model_path())
-    chunks = [C.PROSE[i:i + 11] for i in range(0, 110, 11)]
-    maps = [m.chunk_map(c) for c in chunks]
-    for _ in range(20):
-        work, r = list(maps), random.Random(_)
-        while len(work) > 1:
-            i = r.randrange(len(work) - 1)
-            work[i:i + 2] = [m.compose(work[i], work[i + 1])]
-        before, inside, behind = work[0]
-        total = m.closed(before)[1] + (0 if inside is None else inside + m.closed(behind)[1])
-        assert total == library_counts(["".join(chunks)])[0]
+def test_long_texts_are_read_in_chunks(spark):
+    rng = random.Random(4)
+    unbroken = "".join(rng.choice("abcdefgh0123") for _ in range(9_000))
+    texts = [unbroken, "ab" * 3000, C.LONG[:9000], "short", None, "", unbroken, "x<|endoftext|>" + C.PROSE * 12 + "<|endoftext|>", "\n" * 4000 + "é" * 2000, C.PROSE]
+    docs = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "doc_id long, text string, N_Tokens string").repartition(3)
+    for size in (700, 5000):
+        found = tokens.count_tokens(docs, long_chars=2000, chunk_chars=size).collect()
+        assert {r.doc_id: r.n_tokens for r in found} == dict(enumerate(library_counts(texts))) and found[0].__fields__ == ["doc_id", "text", "n_tokens"]
+
+
+def test_a_very_long_unbroken_text(spark):
+    text = "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=10_000_000))
+    found = tokens.count_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"), keep=["doc_id"]).first()
+    assert found.n_tokens == library_counts([text])[0]
 
 
 def test_token_query_and_odd_rows(spark, sf_dir):
