@@ -203,18 +203,6 @@ def name_overlap(book: DataFrame, families: dict[str, list[str]], wave: str = "w
         F.count_if(F.col("n_waves") >= 5).alias("in_five_or_more"))
 
 
-def search_questions(book: DataFrame, words: list[str], text: str = "question") -> DataFrame:
-    """Variables whose question text has all the words."""
-    return book.filter(reduce(lambda a, b: a & b, [F.lower(F.col(text)).contains(w.lower()) for w in words]))
-
-
-def follow_up(book: DataFrame, phrases: list[str], main: str = "main_ordinal", wave: str = "wave") -> DataFrame:
-    """Per wave the first variable behind the main question whose answers hold all the phrases."""
-    holds = reduce(lambda a, b: a & b, [F.lower(F.col("answers")).contains(p) for p in phrases])
-    later = book.filter((F.col("ordinal") > F.col(main)) & holds)
-    return later.groupBy(wave).agg(F.min_by("variable", "ordinal").alias("follow_up"))
-
-
 def unique_candidates(df: DataFrame, wave: str, candidates: list[str]) -> DataFrame:
     """Whether the values of a candidate id differ in every row of a wave."""
     pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("v")) for c in candidates])
@@ -223,9 +211,8 @@ def unique_candidates(df: DataFrame, wave: str, candidates: list[str]) -> DataFr
 
 
 def names_matching(book: DataFrame, pattern: str, wave: str = "wave", variable: str = "variable") -> DataFrame:
-    """Variables of each wave whose name starts with a pattern, as one list."""
-    hits = book.filter(F.col(variable).rlike(f"(?i)^(?:{pattern})"))
-    return hits.groupBy(wave).agg(F.array_join(F.sort_array(F.collect_list(variable)), ", ").alias("variables_found"))
+    """Variables of each wave whose name starts with a pattern, one row each: a wave may have any number of them."""
+    return book.filter(F.col(variable).rlike(f"(?i)^(?:{pattern})")).select(wave, variable)
 
 
 def kept_summary(book: DataFrame, walk: DataFrame) -> DataFrame:

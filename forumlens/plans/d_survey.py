@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from forumlens import fixed_values as V
-from forumlens.functions import text as T
+from forumlens import session
+from forumlens.operators import codebook as C
 from forumlens.operators import polls
 from forumlens.operators import profile as P
 from forumlens.operators import survey as S
@@ -227,24 +228,41 @@ def d15(spark, sf_dir):
     return S.name_overlap(codebook(spark, sf_dir), {"phone": ["A17", "B18"], "panel": ["P25"]})
 
 
-@add("d16_question_search", book_sql("SELECT wave, count(*) AS n, min(variable) AS first_name FROM bookt WHERE contains(lower(question), 'president') AND contains(lower(question), 'handling his job') GROUP BY 1"))
+IDS = ["wave", "variable", "ordinal"]
+_PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+_ASKED, _ANSWERED = ["an", "e e"], ["ti", "en e"]
+
+
+def _holds(column: str, phrases: list[str]) -> str:
+    return " AND ".join(f"contains({_PLAIN.format(column)}, '{p}')" for p in phrases)
+
+
+def index_of(spark, sf_dir, text):
+    return C.write_index(X.items(spark, sf_dir), text, IDS, session.new_table_path(spark, f"index-{text}"))
+
+
+@add("d16_question_search", X.oracle("items", f"SELECT wave, count(*) AS n, min(variable) AS first_name FROM items WHERE {_holds('question', _ASKED)} GROUP BY 1"))
 def d16(spark, sf_dir):
-    return S.search_questions(codebook(spark, sf_dir), ["president", "handling his job"]).groupBy("wave").agg(
+    """Questions that hold a word part and a phrase over two words, by the index."""
+    return C.search(spark, index_of(spark, sf_dir, "question"), IDS, _ASKED).groupBy("wave").agg(
         F.count(F.lit(1)).alias("n"), F.min("variable").alias("first_name"))
 
 
-_KEYED = ("keyed", "SELECT wave, regexp_replace(trim(regexp_replace(regexp_replace(lower(question), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), '^((qa?|[a-z]*[0-9][a-z0-9]*)( |$))+', '') AS k FROM bookt")
+_KEYED = ("keyed", "SELECT wave, variable, ordinal, regexp_replace(trim(regexp_replace(regexp_replace(lower(question), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), '^((qa?|[a-z]*[0-9][a-z0-9]*)( |$))+', '') AS k FROM items")
 
 
-@add("d17_question_key", book_sql("SELECT array_to_string(list_slice(string_split(k, ' '), 1, 12), ' ') AS key, count(DISTINCT wave) AS n_waves FROM keyed GROUP BY 1", _KEYED))
+@add("d17_question_key", X.oracle("items", "SELECT array_to_string(list_slice(string_split(k, ' '), 1, 2), ' ') AS key, count(DISTINCT wave) AS n_waves, count(*) AS n, arg_min(variable, (ordinal, variable)) AS first_variable FROM keyed GROUP BY 1", _KEYED))
 def d17(spark, sf_dir):
-    return codebook(spark, sf_dir).groupBy(T.question_key("question").alias("key")).agg(F.count_distinct("wave").alias("n_waves"))
+    """Questions that begin alike, matched across the waves."""
+    return C.keys_across_waves(X.items(spark, sf_dir), words=2)
 
 
-@add("d18_follow_up", book_sql("SELECT wave, arg_min(variable, ordinal) AS follow_up FROM bookt WHERE ordinal > 3 AND contains(lower(answers), 'very strongly') AND contains(lower(answers), 'not so strongly') GROUP BY 1"))
+@add("d18_follow_up", X.oracle("items", f"""SELECT i.wave, arg_min(variable, (ordinal, variable)) AS follow_up FROM items i
+    JOIN (SELECT wave, min(ordinal) AS main_ordinal FROM items WHERE {_holds('question', _ASKED[:1])} GROUP BY 1) m ON i.wave = m.wave AND i.ordinal > m.main_ordinal
+    WHERE {_holds('answers', _ANSWERED)} GROUP BY 1"""))
 def d18(spark, sf_dir):
-    book = codebook(spark, sf_dir).withColumn("main_ordinal", F.lit(COLUMNS.index("q_appr") + 1))
-    return S.follow_up(book, ["very strongly", "not so strongly"])
+    main = C.search(spark, index_of(spark, sf_dir, "question"), IDS, _ASKED[:1]).groupBy("wave").agg(F.min("ordinal").alias("main_ordinal"))
+    return C.follow_up(spark, index_of(spark, sf_dir, "answers"), IDS, _ANSWERED, main)
 
 
 @add("d19_unique_id_candidate", X.oracle("svy_raw", "SELECT wave_id, variable, count(*) = count(DISTINCT v) + CASE WHEN count(*) - count(v) = 1 THEN 1 ELSE 0 END AS all_different FROM long WHERE variable IN ('rid', 'weight', 'date_code') GROUP BY 1, 2", CODEBOOK[0]))
@@ -252,9 +270,9 @@ def d19(spark, sf_dir):
     return S.unique_candidates(X.svy_raw(spark, sf_dir), "wave_id", ["rid", "weight", "date_code"])
 
 
-@add("d20_names_matching", book_sql("SELECT wave, string_agg(variable, ', ' ORDER BY variable) AS variables_found FROM bookt WHERE regexp_matches(variable, '(?i)^(date|age)') GROUP BY 1"))
+@add("d20_names_matching", X.oracle("items", "SELECT wave, variable FROM items WHERE regexp_matches(variable, '(?i)^(date|age)')"))
 def d20(spark, sf_dir):
-    return S.names_matching(codebook(spark, sf_dir), "date|age")
+    return S.names_matching(X.items(spark, sf_dir), "date|age")
 
 
 @add("d21_kept_summary", book_sql("""

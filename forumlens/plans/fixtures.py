@@ -119,6 +119,11 @@ RATE = f"""
     1 + k % 9 AS stratum_size
   FROM rate_base"""
 
+# questions of a codebook: what users ask, numbered, with what they are answered; nine waves
+ITEMS = """SELECT concat('W', CAST(u.conv_id % 9 AS STRING)) AS wave,
+  concat(CASE u.conv_id % 4 WHEN 0 THEN 'date' WHEN 1 THEN 'Age' WHEN 2 THEN 'q' ELSE 'pol' END, CAST(u.conv_id AS STRING), '_', CAST(u.turn AS STRING)) AS variable,
+  u.conv_id * 100 + u.turn AS ordinal, concat('Q', CAST(u.turn + 1 AS STRING), '. ', u.text) AS question, a.text AS answers
+  FROM {c} AS u LEFT JOIN {c} AS a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user'"""
 LEX = "SELECT 'the' AS word, 1.0 AS w UNION ALL SELECT 'of', -0.5 UNION ALL SELECT 'and', 0.25 UNION ALL SELECT 'not', -2.0"
 
 _TABLES = ("documents", "conversations", "labels", "customer", "orders", "lineitem")
@@ -139,6 +144,7 @@ VIEWS = {
     "svy_raw": [("svy_raw", _plain(SVY_RAW))],
     "poll_wide": [("poll_wide", _plain(POLL_WIDE))],
     "rate": [("rate_base", _plain(RATE_BASE)), ("rate", RATE)],
+    "items": [("items", ITEMS.replace("{c}", "conversations").replace("STRING", "VARCHAR"))],
     "lex": [("lex", LEX)],
 }
 
@@ -182,6 +188,10 @@ def sub(spark, sf_dir):
     return spark.sql(SUB, documents=table(spark, sf_dir, "documents"))
 
 
+def items(spark, sf_dir):
+    return spark.sql(ITEMS, c=table(spark, sf_dir, "conversations"))
+
+
 def thr_post(spark, sf_dir):
     return spark.sql(THR_POST, conversations=table(spark, sf_dir, "conversations"))
 
