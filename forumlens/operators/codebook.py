@@ -25,7 +25,7 @@ WORD = "[a-z0-9]+"
 def write_index(book: DataFrame, text: str, ids: list[str], path: str) -> str:
     """Index a column of texts; ``ids`` name a text."""
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    write_by_key(book.select(*ids, F.posexplode(words).alias("place", "word")), f"{path}/places", "word")
+    write_by_key(book.select(*ids, F.posexplode(words).alias("__place", "word")), f"{path}/places", "word")
     spark = book.sparkSession
     (spark.read.parquet(f"{path}/places").groupBy("word").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/words"))
     return path
@@ -45,14 +45,14 @@ def search(spark: SparkSession, path: str, ids: list[str], phrases: list[str]) -
         raise ValueError("a phrase needs a letter or digit")
     known = spark.read.parquet(f"{path}/words")
     wanted = reduce(DataFrame.unionByName, [
-        known.filter(_fits(word, i == 0, i == len(words) - 1)).select("word", F.lit(p).alias("phrase"), F.lit(i).alias("offset"))
+        known.filter(_fits(word, i == 0, i == len(words) - 1)).select("word", F.lit(p).alias("__phrase"), F.lit(i).alias("__offset"))
         for p, words in enumerate(split) for i, word in enumerate(words)])
     wanted = small_side(wanted)
-    places = rows_of_keys(spark, f"{path}/places", [*ids, "place", "word"], wanted, "word").join(wanted, "word")
+    places = rows_of_keys(spark, f"{path}/places", [*ids, "__place", "word"], wanted, "word").join(wanted, "word")
     lengths = F.array(*[F.lit(len(words)) for words in split])
-    starts = places.groupBy(*ids, "phrase", (F.col("place") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
-    whole = starts.filter(F.col("n") == F.get(lengths, F.col("phrase")))
-    return whole.groupBy(*ids).agg(F.count_distinct("phrase").alias("n")).filter(F.col("n") == len(split)).select(*ids)
+    starts = places.groupBy(*ids, "__phrase", (F.col("__place") - F.col("__offset")).alias("__start")).agg(F.count(F.lit(1)).alias("__n"))
+    whole = starts.filter(F.col("__n") == F.get(lengths, F.col("__phrase")))
+    return whole.groupBy(*ids).agg(F.count_distinct("__phrase").alias("__n")).filter(F.col("__n") == len(split)).select(*ids)
 
 
 def keys_across_waves(book: DataFrame, words: int = 12, question: str = "question", wave: str = "wave", order: str = "ordinal") -> DataFrame:

@@ -155,7 +155,7 @@ def oracle(views: str, body: str, *tables: tuple[str, str]) -> str:
     for view in views.split():
         parts.update(VIEWS[view])
     parts.update(tables)
-    ctes = ",\n".join(f"{name} AS ({sql})" for name, sql in parts.items())
+    ctes = ",\n".join(f"{name} AS {'MATERIALIZED ' if '/* once */' in sql else ''}({sql})" for name, sql in parts.items())
     kind = "WITH RECURSIVE" if "/* recursive */" in ctes else "WITH"
     return (f"{kind} {ctes}\n" if ctes else "") + body
 

@@ -17,6 +17,7 @@ from forumlens.operators import sampling
 from forumlens.operators import scoring as S
 from forumlens.operators.quantiles import exact_quantiles
 from forumlens.operators.staging import computed_once
+from forumlens.operators.subwords import token_length
 from forumlens.operators.threads import join_validated
 from forumlens.operators.tone import lexicon_tone
 from forumlens.plans import book as B
@@ -142,11 +143,31 @@ def k06(spark, sf_dir):
     return S.smoke_run(X.cmt(spark, sf_dir).select("id", "created_utc", "body"), 2000, label_comments, ["created_utc", "id"])
 
 
-@add("k07_token_lengths", X.oracle("rate", " UNION ALL ".join(f"SELECT {t} AS \"limit\", round(100 * avg(CASE WHEN tokens > {t} THEN 1.0 ELSE 0 END), 6) AS share_of_sample, round(100 * sum(CASE WHEN tokens > {t} THEN w ELSE 0 END) / sum(w), 6) AS share_weighted FROM tok" for t in V.TOKEN_LIMITS), WEIGHTED,
-    ("tok", f"SELECT w, {B.sql_words('d.text')} AS tokens FROM weighted r JOIN documents d ON r.k = d.doc_id")))
+# a vocabulary of lower-case words and their parts, whose ends are marked
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+
+
+def token_sql() -> str:
+    """Longest matches from the left: the longest piece at every place of every word, then the steps from place to place."""
+    return X.oracle("rate", " UNION ALL ".join(f"SELECT {t} AS \"limit\", round(100 * avg(CASE WHEN tokens > {t} THEN 1.0 ELSE 0 END), 6) AS share_of_sample, round(100 * sum(CASE WHEN tokens > {t} THEN w ELSE 0 END) / sum(w), 6) AS share_weighted FROM tok" for t in V.TOKEN_LIMITS), WEIGHTED,
+        ("vocab", f"SELECT unnest(json_keys(content, '$.model.vocab')) AS piece FROM read_text('{VOCABULARY}')"),
+        ("spoken", r"SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+|[^\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}\p{L}\p{N}]')) AS word FROM documents WHERE doc_id IN (SELECT k FROM rate)"),
+        ("different", "/* once */ SELECT DISTINCT word, word || '</w>' AS whole FROM spoken WHERE length(word) <= 100"),
+        ("parts", """/* once */ SELECT whole, i, max(n) AS n FROM (SELECT whole, i, unnest(range(1, least(length(whole) - i + 2, 33))) AS n FROM (SELECT whole, unnest(range(1, length(whole) + 1)) AS i FROM different))
+            JOIN vocab ON piece = substr(whole, CAST(i AS BIGINT), CAST(n AS BIGINT)) GROUP BY 1, 2"""),
+        ("steps", """SELECT word, whole, CAST(1 AS BIGINT) AS i, 0 AS pieces FROM different
+            UNION ALL /* recursive */ SELECT word, s.whole, s.i + n, pieces + 1 FROM steps s JOIN parts p ON p.whole = s.whole AND p.i = s.i"""),
+        ("lengths", "SELECT word, max(pieces) AS pieces FROM steps WHERE i > length(whole) GROUP BY 1"),
+        ("counted", "SELECT doc_id, CAST(sum(coalesce(pieces, 1)) AS BIGINT) AS n FROM spoken LEFT JOIN lengths USING (word) GROUP BY 1"),
+        ("tok", "SELECT w, coalesce(n, 0) + 2 AS tokens FROM weighted r JOIN documents d ON r.k = d.doc_id LEFT JOIN counted c ON c.doc_id = d.doc_id"))
+
+
+@add("k07_token_lengths", token_sql())
 def k07(spark, sf_dir):
-    texts = X.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), T.word_count("text").alias("tokens"))
-    return sampling.over_limits(weighted(spark, sf_dir).select("k", "w").join(texts, "k"), "tokens", "w")
+    """Shares of the sample, plain and weighted, that are longer than each limit in subwords."""
+    texts = X.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), "text")
+    rated = weighted(spark, sf_dir).select("k", "w").join(texts, "k")
+    return sampling.over_limits(rated.select("w", token_length(spark, "text", VOCABULARY).alias("tokens")), "tokens", "w")
 
 
 # --- requests and answers --------------------------------------------------------------------------
