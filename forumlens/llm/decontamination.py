@@ -11,12 +11,14 @@ have a shingle, so that phrases shared by many items count little. A window is a
 radius lies 3.5 standard deviations above the distance expected at that similarity, and where the weights of a window
 are not all one, both fingerprints are looked up. Items are counted over the whole benchmark, equal texts once.
 
-Windows without any shingle of an item of their size have similarity zero, so they need no fingerprint: words are
-looked up in the items' vocabulary, five known words in a row in the items' shingles, and only windows over such places
-are fingerprinted. Fingerprints of all windows of a stretch come from running sums, one pass per item size.
+A window without any shingle of an item has similarity zero to it: words are looked up in the items' vocabulary, five
+known words in a row in the items' shingles, and only windows over such places are fingerprinted and looked up, among the
+items that have a shingle there. (At a radius of 24 of 64 bits blocks alone tell little apart: nearly all pairs pass
+them.) Fingerprints of all windows of a stretch come from running sums, one pass per item size.
 
 The benchmark goes along with the tasks, ``BLOCK_ITEMS`` items or ``BLOCK_BYTES`` of text at a time: a larger benchmark
-means more passes, each with an index of bounded size. Items of fewer than five words are not looked for, as their text occurs by chance.
+means more passes, each with an index of bounded size. Items of one to four words, whose text occurs
+by chance, are a hit where the words of a whole line are theirs; items without a word are not looked for (``unsearched``).
 
 Results on edges: null and empty texts are clean. A document shorter than an item is one window. Null items and items
 with equal text count once each under their own id; null item ids are left out. Overlapping hits of one item count
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from itertools import repeat
 
@@ -45,6 +48,7 @@ RADIUS = 24
 BLOCKS = 8
 BLOCK_ITEMS = 50_000     # items of a pass, and
 BLOCK_BYTES = 16 << 20   # bytes of their texts
+SHORT_LINE = 4096        # characters of a line that may be an item of few words
 _WORD = re.compile(r"\w+")
 
 
@@ -87,6 +91,10 @@ class Index:
         self.counts: list[Counter] = []
         sizes: list[int] = []
         texts = [(i, words_of(t)) for i, t in sorted(items)]
+        self.short: dict[tuple, list[int]] = {}
+        for i, w in texts:
+            if 0 < len(w) < WORDS:
+                self.short.setdefault(tuple(w), []).append(i)
         texts = [(i, w) for i, w in texts if len(w) >= WORDS]
         hashes = [shingle_hashes(w) for _, w in texts]
         if shared is None:
@@ -110,14 +118,8 @@ class Index:
         self.plain = np.array(plain, np.uint64)
         self.known = np.array(sorted(items_with), np.int64)
         self.items_with = {c: np.array(r) for c, r in items_with.items()}
-        # one index per item size: for each block and each value of its 8 bits the items near that value
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= radius // BLOCKS
-        self.by_size, self.by_size_plain = {}, {}
-        for found, of in ((self.by_size, self.prints), (self.by_size_plain, self.plain)):
-            for size in set(sizes):
-                rows = np.flatnonzero(self.sizes == size)
-                values = of[rows].astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
-                found[size] = (rows, [near[:, values[:, b]] for b in range(BLOCKS)])
+        # for two values of the 8 bits of a block, whether they are near enough
+        self.near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= radius // BLOCKS
 
     def weights(self, hashes: np.ndarray) -> np.ndarray:
         return np.fromiter((1 / self.has.get(h, 1) for h in hashes.tolist()), np.float64, len(hashes))
@@ -134,15 +136,15 @@ class Index:
             code ^= code >> np.uint64(31)
         return np.where(known, code.view(np.int64), 0)
 
-    def candidates(self, prints: np.ndarray, size: int, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs of a size within the radius, by weighted or plain fingerprints."""
-        rows, tables = (self.by_size_plain if plain else self.by_size)[size]
-        values = prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
+    def candidates(self, prints: np.ndarray, rows: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs within the radius, among some items, by weighted or plain fingerprints."""
+        of = (self.plain if plain else self.prints)[rows]
+        left, right = (x.astype("<u8").view(np.uint8).reshape(-1, BLOCKS) for x in (prints, of))
         reached = np.zeros((len(prints), len(rows)), bool)
-        for b, table_ in enumerate(tables):
-            reached |= table_[values[:, b]]
+        for b in range(BLOCKS):
+            reached |= self.near[left[:, b][:, None], right[:, b]]
         window, item = np.nonzero(reached)
-        close = np.bitwise_count(prints[window] ^ (self.plain if plain else self.prints)[rows[item]]) <= self.radius
+        close = np.bitwise_count(prints[window] ^ of[item]) <= self.radius
         return window[close], rows[item[close]]
 
     def places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,21 +161,24 @@ class Index:
     def hits(self, text: str | None) -> list[dict]:
         """Best hits of every item in a text; hits of one item do not overlap."""
         words = words_of(text) if text else []
+        out = self.short_hits(text) if words and self.short else []
         if len(words) < WORDS or not self.ids:
-            return []
+            return out
         places, codes = self.places(words)
         if not len(places):
-            return []
-        wanted: dict[int, set[int]] = {}
+            return out
+        wanted: dict[int, dict[int, list[np.ndarray]]] = {}
         for place, code in zip(places.tolist(), codes.tolist()):
-            for size in set(self.sizes[self.items_with[code]].tolist()):
-                wanted.setdefault(size, set()).add(place)
+            rows = self.items_with[code]
+            for size in set(self.sizes[rows].tolist()):
+                wanted.setdefault(size, {}).setdefault(place, []).append(rows[self.sizes[rows] == size])
         found: dict[int, list[tuple[float, int, int]]] = {}
         for size, where in wanted.items():
-            for first, last in stretches(sorted(where), size, len(words)):
-                self.stretch(words, first, last, size, found)
-        out = []
-        spans = [m.span() for m in _WORD.finditer(text.lower())] if found else []
+            order = sorted(where)
+            for first, last in stretches(order, size, len(words)):
+                near = order[bisect_left(order, first):bisect_left(order, last + size)]
+                self.stretch(words, first, last, size, np.unique(np.concatenate([r for p in near for r in where[p]])), found)
+        spans = word_spans(text) if found else []
         for row, windows in found.items():
             taken: list[tuple[int, int]] = []
             for similarity, start, end in sorted(windows, key=lambda w: (-w[0], w[1])):
@@ -183,8 +188,18 @@ class Index:
                                 "similarity": similarity})
         return sorted(out, key=lambda h: (h["start"], h["item_id"]))
 
-    def stretch(self, words: list[str], first: int, last: int, size: int, found: dict) -> None:
-        """Windows of a size that begin at the words from ``first`` up to ``last``."""
+    def short_hits(self, text: str) -> list[dict]:
+        """Lines whose words are those of an item of fewer than five words."""
+        out, at = [], 0
+        for line in text.split("\n"):
+            for i in self.short.get(tuple(words_of(line)) if len(line) < SHORT_LINE else (), ()):
+                spans = word_spans(line)
+                out.append({"item_id": i, "start": at + spans[0][0], "end": at + spans[-1][1], "similarity": 1.0})
+            at += len(line) + 1
+        return out
+
+    def stretch(self, words: list[str], first: int, last: int, size: int, rows: np.ndarray, found: dict) -> None:
+        """Windows of a size that begin at the words from ``first`` up to ``last``, against some items."""
         size_here = min(size, len(words))
         for begin in range(first, last + 1, 4096):
             stop = min(begin + 4095, last)
@@ -197,7 +212,7 @@ class Index:
                 if prints is None or (own != weights).any():
                     votes = np.vstack([np.zeros(64), np.cumsum(bit_votes(hashes, own), axis=0)])
                     prints = to_prints(np.round(votes[span:] - votes[:-span], 9))
-                pairs.update(zip(*(x.tolist() for x in self.candidates(prints, size, plain))))
+                pairs.update(zip(*(x.tolist() for x in self.candidates(prints, rows, plain))))
             for window, row in sorted(pairs):
                 counts = Counter(hashes[window:window + span].tolist())
                 similarity = cosine(counts, self.counts[row], lambda s: 1)
@@ -207,6 +222,21 @@ class Index:
                     found.setdefault(row, []).append((similarity, begin + window, begin + window + size_here))
 
 
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Where the words of a text stand in it; a letter's lower case may be longer than the letter."""
+    low = text.lower()
+    spans = [m.span() for m in _WORD.finditer(low)]
+    if len(low) == len(text):
+        return spans
+    ends = np.cumsum([len(c.lower()) for c in text])       # of every letter, in the lower-cased text
+    return [(int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b - 1, "right")) + 1) for a, b in spans]
+
+
+def unsearched(benchmark: DataFrame, text: str = "text") -> int:
+    """Items without a word, which are not looked for."""
+    return benchmark.filter(F.length(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"[^\p{L}\p{N}_]", "")) == 0).count()
+
+
 def stretches(places: list[int], size: int, n: int) -> list[tuple[int, int]]:
     """Ranges of window starts such that the window has one of the places."""
     out: list[tuple[int, int]] = []

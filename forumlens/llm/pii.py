@@ -151,7 +151,7 @@ def shape_of(text: str, start: int, end: int) -> tuple[tuple, str]:
     separators = "".join(s for s in " .-(" if s in token)
     four = four_bytes(groups)
     check = "ip" if four and separators == "." else "luhn" if len(digits) >= 12 and luhn(digits) else ""
-    key = "i" + ".".join(str(int(g)) for g in groups) if four else f"d{digits[-10:]}" if len(digits) >= 7 else ""
+    key = "i" + ".".join(g.lstrip("0") or "0" for g in groups) if four else f"d{digits[-10:]}" if len(digits) >= 7 else ""
     lengths = "-".join(str(len(g)) for g in groups[-3:])
     return ("number", str(min(len(digits), 20)), lengths, separators + check, cue), key
 

@@ -185,11 +185,30 @@ def test_blocks_find_every_fingerprint_in_the_radius():
     items = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(20))) for i in range(300)]
     index = decontamination.Index(items)
     prints = np.array([int(p) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(30))) for p in index.prints], np.uint64)
-    window, row = index.candidates(prints, 20)
+    window, row = index.candidates(prints, np.arange(300))
     expected = {(w, r) for w in range(300) for r in range(300) if (int(prints[w]) ^ int(index.prints[r])).bit_count() <= decontamination.RADIUS}
     assert set(zip(window.tolist(), row.tolist())) == expected
 
 
+def test_spans_are_those_of_the_text_as_it_is():
+    index = decontamination.Index([(1, C.PROSE)])
+    for front in ("", "\u0130\u0130\u0130 ", "\u0130a\u0130 \u1e9e "):
+        text = f"{front}{C.PROSE.upper()} {front}"
+        hit, = index.hits(text)
+        assert text[hit["start"]:hit["end"]].lower() == C.PROSE.rstrip(".").lower()
+
+
+def test_short_items_are_whole_lines(spark):
+    index = decontamination.Index([(1, "What is it?"), (2, "?!"), (3, C.PROSE), (4, "what IS it")])
+    text = f"What is it\nso what is it?\n{C.PROSE}\n - WHAT is it! "
+    hits = index.hits(text)
+    assert sorted((h["item_id"], text[h["start"]:h["end"]]) for h in hits if h["item_id"] != 3) == sorted(
+        (i, t) for i in (1, 4) for t in ("What is it", "WHAT is it"))
+    assert [h["item_id"] for h in index.hits(C.PROSE)] == [3] and index.hits("what is") == []
+    bench = spark.createDataFrame([(1, "What is it?"), (2, "?!"), (3, None), (4, C.PROSE)], "item_id long, text string")
+    assert decontamination.unsearched(bench) == 2
+
+
 def test_decontamination_on_odd_rows(spark):
     docs = C.odd_documents(spark)
     bench = spark.createDataFrame([(1, C.PROSE), (2, None), (None, C.PROSE), (3, "too short"), (4, C.PROSE), (5, "")], "item_id long, text string")
