@@ -49,7 +49,7 @@ LONG_CHARS = 1 << 20       # characters of a text above which it is read in chun
 CHUNK_CHARS = 1 << 16
 FIRST_MARK = 16
 KEPT_CHARS = 48           # characters of a piece whose count is kept
-MAX_PIECES = 200_000
+MAX_PIECES = 500_000
 LIMIT = 1024
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")    # fixed values of the pre-tokenizer, behind an apostrophe
 LETTER, NUMBER, BLANK, OTHER = range(4)
@@ -77,6 +77,20 @@ class ChunkMap(NamedTuple):
     marks: list
 
 
+class Known(dict):
+    """Token counts of pieces; a missing one is counted, and kept if it is short."""
+
+    def __init__(self, count):
+        super().__init__()
+        self.count = count
+
+    def __missing__(self, piece: str) -> int:
+        n = self.count(piece)
+        if len(piece) <= KEPT_CHARS:
+            self[piece] = n
+        return n
+
+
 class Machine:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -117,7 +131,7 @@ class Machine:
         self.alike: dict[tuple[int, int], int | None] = {}
         self.first_with: dict = {}
         self.kinds: dict[str, int] = {}
-        self.known: dict[str, int] = {}
+        self.known = Known(self._count_piece)
         self.clear()
 
     def clear(self) -> None:
@@ -351,16 +365,9 @@ class Machine:
 
     def count_part(self, text: str) -> int:
         """Tokens of a text without special strings."""
-        total, known = 0, self.known
-        for piece in _PIECES.findall(text):
-            n = known.get(piece)
-            if n is None:
-                n = self._count_piece(piece)
-                if len(piece) <= KEPT_CHARS:
-                    known[piece] = n
-            total += n
-        if len(known) > MAX_PIECES:
-            known.clear()
+        total = sum(map(self.known.__getitem__, _PIECES.findall(text)))
+        if len(self.known) > MAX_PIECES:
+            self.known.clear()
         return total
 
     def count(self, text: str | None) -> int:
