@@ -26,7 +26,7 @@ SQUEEZE = 15.0
 EXCLAIMED, EXCLAMATIONS, ASKED, ASKED_OFTEN = 0.292, 4, 0.18, 0.96
 
 SALTS = 64
-MAPS = 1024              # that a word table is dealt out to
+MAPS = 1024              # that a word table is dealt out to at most
 WORD = r"[\p{L}\p{N}_]{2,}"
 _INFO = "struct<weight:double,boost:double,negation:boolean,contrast:boolean>"
 
@@ -47,7 +47,7 @@ def word_table(weights: DataFrame, boosters: DataFrame | None = None, negations:
 
 
 def _is_capitals(word: Column) -> Column:
-    return (F.upper(word) == word) & (F.lower(word) != word)
+    return (F.lower(word) != word) & (F.upper(word) == word)
 
 
 def _looked_up(word: Column) -> Column:
@@ -59,13 +59,13 @@ def folded(rows: DataFrame, text: str, out: str) -> DataFrame:
     """Append the tone of texts next to the maps of their words (``__known``)."""
     words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))
 
-    def info(word: Column) -> Column:
-        return F.struct(_looked_up(F.lower(word)).alias("does"), _is_capitals(word).alias("loud"))
+    def info(word: Column, place: Column) -> Column:
+        return F.struct(_looked_up(F.lower(word)).alias("does"), _is_capitals(word).alias("loud"), (place + 1).alias("place"))
 
     # evaluated once per row, as the lambdas below refer to them for every word
-    rows = computed_once(rows, "__words", F.transform(words, info))
+    rows = computed_once(rows, "__words", F.transform(words, info)).drop("__known")
     louds = F.size(F.filter("__words", lambda x: x["loud"]))
-    split = F.array_position(F.transform("__words", lambda x: F.coalesce(x["does"]["contrast"], F.lit(False))), True)
+    split = F.coalesce(F.get(F.filter("__words", lambda x: x["does"]["contrast"]), F.lit(0))["place"], F.lit(0))
     rows = computed_once(rows, "__text", F.struct(((louds > 0) & (louds < F.size("__words"))).alias("shouts"), split.alias("split")))
     shouts, split = F.col("__text.shouts"), F.col("__text.split")
 
@@ -84,11 +84,11 @@ def folded(rows: DataFrame, text: str, out: str) -> DataFrame:
         three = F.reverse(F.slice("__words", F.greatest(place - 3, F.lit(1)), F.least(place - 1, F.lit(3))))
         fades = F.array(*[F.lit(f) for f in FADING])
         before = F.transform(three, lambda x, i: F.struct(x.alias("word"), F.get(fades, i).alias("fade")))
-        own = F.aggregate(before, word["weight"] + louder(word["weight"], word["loud"]), after)
+        weight = word["does"]["weight"]
+        own = F.aggregate(before, weight + louder(weight, word["loud"]), after)
         return own * F.when((split == 0) | (place == split), 1.0).when(place < split, BEFORE).otherwise(BEHIND)
 
-    placed = F.transform("__words", lambda x, i: F.struct(x["does"]["weight"].alias("weight"), x["loud"].alias("loud"), (i + 1).alias("place")))
-    weighted = F.filter(placed, lambda x: x["weight"].isNotNull())
+    weighted = F.filter("__words", lambda x: x["does"]["weight"].isNotNull())
     total = F.aggregate(weighted, F.lit(0.0), lambda s, word: s + value(word))
     rows = computed_once(rows, "__total", total)
     content = F.coalesce(F.col(text), F.lit(""))
@@ -96,7 +96,7 @@ def folded(rows: DataFrame, text: str, out: str) -> DataFrame:
     asked = F.when(marks("?") < 2, 0.0).when(marks("?") <= 3, marks("?") * ASKED).otherwise(ASKED_OFTEN)
     rows = computed_once(rows, "__total", F.col("__total") + F.signum("__total") * (F.least(marks("!"), F.lit(EXCLAMATIONS)) * EXCLAIMED + asked))
     tone = F.col("__total") / F.sqrt(F.col("__total") * F.col("__total") + SQUEEZE)
-    return rows.withColumn(out, tone).drop("__known", "__words", "__text", "__total")
+    return rows.withColumn(out, tone).drop("__words", "__text", "__total")
 
 
 def lexicon_tone(df: DataFrame, text: str, words: DataFrame, out: str = "tone", rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
@@ -110,9 +110,10 @@ def lexicon_tone(df: DataFrame, text: str, words: DataFrame, out: str = "tone",
     entries = F.map_from_entries(F.collect_list(F.struct("word", "info")))
     nothing = F.map_from_entries(F.array().cast(f"array<struct<word:string,info:{_INFO}>>"))
     if count <= rows and used <= size:
-        place = F.pmod(F.xxhash64("word"), F.lit(MAPS)).cast("int").alias("place")
+        dealt_to = max(1, min(MAPS, count // 4))
+        place = F.pmod(F.xxhash64("word"), F.lit(dealt_to)).cast("int").alias("place")
         maps = known.groupBy(place).agg(entries.alias("map")).agg(F.map_from_entries(F.collect_list(F.struct("place", "map"))).alias("maps"))
-        dealt = F.transform(F.sequence(F.lit(0), F.lit(MAPS - 1)), lambda i: F.coalesce(F.try_element_at("maps", i), nothing))
+        dealt = F.transform(F.sequence(F.lit(0), F.lit(dealt_to - 1)), lambda i: F.coalesce(F.try_element_at("maps", i), nothing))
         side = cut_lineage(maps.select(dealt.alias("__known"), F.lit(1).alias("__one")))
         joined = df.withColumn("__one", F.lit(1)).join(F.broadcast(side), "__one").drop("__one")
     else:
