@@ -11,7 +11,7 @@ from forumlens import fixed_values as V
 from forumlens.functions.flags import lookup
 from forumlens.operators import profile as P
 from forumlens.operators.ranking import attach
-from forumlens.session import small_side
+from forumlens.session import cut_lineage, small_side
 
 ROLES = ["id", "weight", "approval", "strength", "date", "party", "ideology", "gender", "age",
          "age_category", "education", "education_category", "mode"]
@@ -211,8 +211,13 @@ def unique_candidates(df: DataFrame, wave: str, candidates: list[str]) -> DataFr
 
 
 def names_matching(book: DataFrame, pattern: str, wave: str = "wave", variable: str = "variable") -> DataFrame:
-    """Variables of each wave whose name starts with a pattern, one row each: a wave may have any number of them."""
-    return book.filter(F.col(variable).rlike(f"(?i)^(?:{pattern})")).select(wave, variable)
+    """Variables of each wave whose name starts with a pattern, as one list in their order. A wave may have any number of
+    them: ranges of names are put in order by themselves, and joined at last."""
+    hits = cut_lineage(book.filter(F.col(variable).rlike(f"(?i)^(?:{pattern})")).select(wave, variable))
+    dealt = hits.repartitionByRange(wave, variable).withColumn("__range", F.spark_partition_id())
+    listed = dealt.groupBy(wave, "__range").agg(F.array_join(F.sort_array(F.collect_list(variable)), ", ").alias("__names"))
+    ranges = F.sort_array(F.collect_list(F.struct("__range", "__names")))
+    return listed.groupBy(wave).agg(F.array_join(F.transform(ranges, lambda r: r["__names"]), ", ").alias("variables_found"))
 
 
 def kept_summary(book: DataFrame, walk: DataFrame) -> DataFrame:

@@ -270,9 +270,12 @@ def d19(spark, sf_dir):
     return S.unique_candidates(X.svy_raw(spark, sf_dir), "wave_id", ["rid", "weight", "date_code"])
 
 
-@add("d20_names_matching", X.oracle("items", "SELECT wave, variable FROM items WHERE regexp_matches(variable, '(?i)^(date|age)')"))
+@add("d20_names_matching", X.oracle("svy_raw items", """SELECT wave, string_agg(variable, ', ' ORDER BY variable) AS variables_found
+    FROM (SELECT wave, variable FROM bookt UNION ALL SELECT wave, variable FROM items) WHERE regexp_matches(variable, '(?i)^(date|age)') GROUP BY 1""", *CODEBOOK))
 def d20(spark, sf_dir):
-    return S.names_matching(X.items(spark, sf_dir), "date|age")
+    """Of the variables with a value in a survey wave and of the questions that users ask: per wave, the list of matching names."""
+    book = codebook(spark, sf_dir).select("wave", "variable").unionByName(X.items(spark, sf_dir).select("wave", "variable"))
+    return S.names_matching(book, "date|age")
 
 
 @add("d21_kept_summary", book_sql("""

@@ -101,3 +101,14 @@ def test_lengths_on_odd_texts(spark, tmp_path):
     df = spark.createDataFrame(rows, "t string").repartition(1)
     found = {r.t: r.n for r in df.select("t", subwords.token_length(spark, "t", str(tmp_path / "pieces.txt")).alias("n")).collect()}
     assert found == {None: 2, "": 2, "AB ab a": 2 + 1 + 1 + 1, "aaaab c": 2 + 1 + 1, "a" * 101: 3, "aab?": 2 + 1 + 1}
+
+
+def test_names_matching_lists_the_names_of_each_wave(spark, sf_dir):
+    from forumlens.operators.survey import names_matching
+    from forumlens.plans import d_survey
+    names = [f"Age{i}" for i in range(300)] + ["age_1", "age_1", "dated", "update", "DATE", "é", None]
+    book = spark.createDataFrame([(w, n) for w in "ab" for n in names] + [("c", "page")], "wave string, variable string").repartition(7)
+    found = {r.wave: r.variables_found for r in names_matching(book, "date|age").collect()}
+    assert found == {w: ", ".join(sorted(n for n in names if n and n.lower().startswith(("date", "age")))) for w in "ab"}
+    waves = {r.wave: r.variables_found for r in d_survey.BOOK.queries["d20_names_matching"](spark, sf_dir).collect()}
+    assert waves["A17"] == "age, date_code" and waves["P25"] == "agecat, date_text" and {f"W{i}" for i in (0, 1)} <= set(waves)
