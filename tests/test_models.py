@@ -148,3 +148,59 @@ def test_vocabulary_breaks_ties_by_term(spark):
     assert fitted.predict(df, "text").count() == 6
     none = TextClassifier(kind="character").fit(df.limit(1), "text", "label")
     assert none.known == [] and {r.predicted for r in none.predict(df, "text").collect()} <= set(spec.classes)
+
+
+def test_rows_without_entries_count_where_they_stand_alone(spark):
+    x = np.array([[1.0, 0], [0.5, 2], [0, 1], [0, 0], [0, 0], [0, 0]])
+    labels = [0, 1, 0, 1, 1, 0]
+    rows = [(Vectors.sparse(2, np.flatnonzero(v).tolist(), v[np.flatnonzero(v)].tolist()), k) for v, k in zip(x, labels)]
+    df = spark.createDataFrame(rows[:3], ["features", "label"]).coalesce(1).unionByName(spark.createDataFrame(rows[3:], ["features", "label"]).coalesce(1))
+    weights, fallen = newton.fit(df, 2, 2, 0.3, tolerance=1e-9)
+    assert (fallen <= 1e-8).all()
+    for k in range(2):
+        assert np.abs(weights[k] - brute_weights(x, np.where(np.array(labels) == k, 1, -1), 0.3)).max() < 1e-6
+
+
+def test_a_question_is_answered_by_one_task_per_core_at_most(spark, monkeypatch):
+    """What is moved for a question must not grow with the partitions of the rows."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 5))
+    labels = (x[:, 0] > 0).astype(int)
+    df = spark.createDataFrame([(Vectors.sparse(5, range(5), v.tolist()), int(k)) for v, k in zip(x, labels)], ["features", "label"]).repartition(40)
+    parts, real = [], newton.answers
+
+    def answers(rows, *args):
+        parts.append(getattr(rows, "rdd", rows).getNumPartitions())
+        return real(rows, *args)
+
+    monkeypatch.setattr(newton, "answers", answers)
+    for fan in (16, 2):  # the last: sums in a tree
+        monkeypatch.setattr(newton, "FAN", fan)
+        weights, _ = newton.fit(df, 5, 2, tolerance=1e-9)
+        assert np.abs(weights[1] - brute_weights(x, 2 * labels - 1, 1.0)).max() < 1e-6
+    assert max(parts) <= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("kind", ["word", "character"])
+@pytest.mark.parametrize("portion", [1, 40, 1 << 20])
+def test_terms_counted_by_batches_equal_the_lists_of_terms(spark, monkeypatch, kind, portion):
+    from forumlens.operators import ngrams
+    texts = ["", None, "a", "ab ab ab", "Füße über füße über", "x y  zz\tzz zz", "\U0001f600\U0001f600 \U0001f600 ab", "ab_1 é́ ab", "?! ?!", "long" * 30 + " ab"] * 2
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    spec = TextClassifier(kind)
+    lists = [r.t for r in df.select(spec.terms("text").alias("t")).collect()]
+    n, rows = Counter(t for terms in lists for t in terms), Counter(t for terms in lists for t in set(terms))
+    import pyarrow as pa
+    monkeypatch.setattr(ngrams, "PORTION", portion)
+    words = pa.array([r.t for r in df.select(spec.words("text").alias("t")).collect()], pa.list_(pa.string()))
+    got, covered = {}, 0
+    for start, part in ngrams.portions(words):
+        assert start == covered
+        covered += len(part)
+        names, row, ids, counts = ngrams.counted(part, kind)
+        for r, i, c in zip(row.tolist(), ids.tolist(), counts.tolist()):
+            got[start + r, names[i].as_py()] = c
+    assert covered == len(texts)
+    assert got == {(i, t): c for i, terms in enumerate(lists) for t, c in Counter(terms).items()}
+    found = occurrences(df.select(spec.words("text").alias("terms")), kind).collect()
+    assert {r.term: (r.n, r["rows"]) for r in found} == {t: (n[t], rows[t]) for t in n}
