@@ -204,3 +204,96 @@ def test_terms_counted_by_batches_equal_the_lists_of_terms(spark, monkeypatch, k
     assert got == {(i, t): c for i, terms in enumerate(lists) for t, c in Counter(terms).items()}
     found = occurrences(df.select(spec.words("text").alias("terms")), kind).collect()
     assert {r.term: (r.n, r["rows"]) for r in found} == {t: (n[t], rows[t]) for t in n}
+
+
+def small_problem():
+    """Correlated columns of very different weight, whose second-order models are far from round."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 40)) @ np.diag(np.geomspace(1, 0.01, 40)) + 3 * rng.random((300, 1)) * rng.random(40)
+    return x, (x[:, 0] + rng.normal(size=300) > 0).astype(int)
+
+
+def test_a_product_asks_for_one_pass_over_the_entries(monkeypatch):
+    """Margins are needed once per weights: a product takes the rows that are short of it as they were answered."""
+    x, labels = small_problem()
+    rows = (labels.astype(np.int32).tobytes(), np.ones(300).tobytes(), np.full(300, 40, np.int32).tobytes(), np.tile(np.arange(40, dtype=np.int32), 300).tobytes(), x.tobytes())
+
+    class Blocks:  # one partition, read where the test runs
+        def __init__(self, found=None):
+            self.found, self.context = found, self
+        def broadcast(self, value):
+            return type("Shared", (), {"value": value, "destroy": lambda self: None})()
+        def mapPartitionsWithIndex(self, run):
+            return Blocks(list(run(0, iter([rows]))))
+        def getNumPartitions(self):
+            return 1
+        def collect(self):
+            return self.found
+
+    passes, real = [], newton.Entries.times
+    monkeypatch.setattr(newton.Entries, "times", lambda self, w: passes.append(1) or real(self, w))
+    ones, w, v = np.ones(41), np.full(41, 0.1), np.linspace(-1, 1, 41)
+    loss, gradient, short = newton.answers(Blocks(), 40, 2.0, ones, {1: (w, None)})[1]
+    product = newton.answers(Blocks(), 40, 2.0, ones, {1: (v, short)})[1][1]
+    assert len(passes) == 2
+    wide, y = np.column_stack([x, np.ones(300)]), 2 * labels - 1
+    margin = np.maximum(1 - y * (wide @ w), 0)
+    assert np.allclose(loss, 2 * (margin ** 2).sum()) and np.allclose(gradient, -4 * wide.T @ (y * margin))
+    assert np.allclose(product, 4 * wide.T @ ((margin > 0) * (wide @ v)))
+
+
+def test_products_of_a_step_spare_some_of_the_next(spark, monkeypatch):
+    x, labels = small_problem()
+    df = spark.createDataFrame([(Vectors.dense(v.tolist()).toArray().tolist(), int(k)) for v, k in zip(x, labels)], "v array<double>, label int")
+    df = spark.createDataFrame(df.rdd.map(lambda r: (Vectors.sparse(40, range(40), r.v), r.label)), ["features", "label"]).withColumn("label", F.col("label").cast("int"))
+    asked, real = [], newton.answers
+    monkeypatch.setattr(newton, "answers", lambda *a: asked.append(len(a[-1])) or real(*a))
+    weights, fallen = newton.fit(df.coalesce(3), 40, 2, 5.0, tolerance=1e-9)
+    eased = sum(asked)
+    assert (fallen <= 1e-9).all() and np.abs(weights[1] - brute_weights(x, 2 * labels - 1, 5.0)).max() < 1e-6
+    asked.clear()
+    monkeypatch.setattr(newton, "KEPT", 0)
+    monkeypatch.setattr(newton, "eased", lambda rest, *_: rest.copy())
+    plain, _ = newton.fit(df.coalesce(3), 40, 2, 5.0, tolerance=1e-9)
+    assert np.abs(weights - plain).max() < 1e-6 and eased < 0.8 * sum(asked)
+
+
+def test_counts_take_few_bytes_and_come_back_dampened():
+    for n, kind in (([1, 2, 255], 1), ([1, 256, 3], 2), ([70_000, 1, 2], 4), ([], 1)):
+        n = np.array(n, np.int64)
+        labels, scales, lengths, places, values = (c[0].as_py() for c in newton.block(np.zeros(2), np.array([0.5, 2]), np.array([len(n), 0]), np.arange(len(n)), n).columns)
+        assert len(values) == kind * len(n)
+        entries = newton.Entries.of_block(scales, lengths, places, values, 3)
+        assert np.allclose(entries.values, 1 + np.log(n)) and np.allclose(entries.times(np.array([1.0, 1, 1, 7])), [0.5 * entries.values.sum() + 7, 7])
+
+
+def test_pieces_of_odd_words():
+    import pyarrow as pa
+    from forumlens.operators import ngrams
+    words = ["a", "\x00", "ab", "abc", "aaaa", "\U0001f600é\x00", "long" * 9, "漢字漢字"]
+    expected = [[f" {w} "[i:i + n] for n in range(3, min(5, len(w) + 2) + 1) for i in range(len(w) + 3 - n)] for w in words]
+    names, places, counts = ngrams.pieces(pa.array(words))
+    names, ends = names.to_pylist(), np.cumsum(counts)
+    assert [Counter(names[p] for p in places[e - c:e]) for c, e in zip(counts, ends)] == [Counter(w) for w in expected]
+    assert len(set(names)) == len(names) and [len(x) for x in ngrams.pieces(pa.array([], pa.string()))] == [0, 0, 0]
+
+
+def test_sums_of_pairs_whatever_their_size():
+    from forumlens.operators import ngrams
+    rows, ids, n = np.array([1, 0, 1, 1]), np.array([5, 2, 5, 0]), np.array([1, 3, 4, 2])
+    for width, big in ((6, 1), (1 << 40, 1), (6, 1 << 59)):
+        got = ngrams._summed(rows, ids, n * big, width)
+        assert [list(map(int, g)) for g in got] == [[0, 1, 1], [2, 0, 5], [3 * big, 2 * big, 5 * big]]
+
+
+@pytest.mark.parametrize("limit", [1, 7, 1 << 20])
+def test_a_task_sums_terms_of_its_portions_before_the_shuffle(spark, monkeypatch, limit):
+    from forumlens.operators import classifiers
+    monkeypatch.setattr(classifiers, "MERGED", limit)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    df = spark.createDataFrame([(["ab", "cd", "ab"],), (["cd"],), (None,), (["ef", "ab"],)] * 9, "terms array<string>").coalesce(1)
+    try:
+        assert {r.term: (r.n, r["rows"]) for r in occurrences(df).collect()} == {"ab": (27, 18), "cd": (18, 18), "ef": (9, 9)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
