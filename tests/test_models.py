@@ -297,3 +297,26 @@ def test_a_task_sums_terms_of_its_portions_before_the_shuffle(spark, monkeypatch
         assert {r.term: (r.n, r["rows"]) for r in occurrences(df).collect()} == {"ab": (27, 18), "cd": (18, 18), "ef": (9, 9)}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_blocks_are_dealt_evenly_however_the_rows_stand(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 4))
+    labels = (x[:, 0] > 0).astype(int)
+    df = spark.createDataFrame([(Vectors.sparse(4, range(4), v.tolist()), int(k)) for v, k in zip(x, labels)], ["features", "label"])
+    df = df.limit(380).coalesce(1).unionByName(df.exceptAll(df.limit(380)).coalesce(1))
+    dealt, real = [], newton.answers
+
+    def answers(blocks, *args):
+        dealt.append(blocks.map(lambda b: len(b[0])).glom().map(sum).collect() if not dealt else None)
+        return real(blocks, *args)
+
+    monkeypatch.setattr(newton, "answers", answers)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        newton.fit(df, 4, 2)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(dealt[0]) == spark.sparkContext.defaultParallelism and sum(dealt[0]) == 1600
+    assert max(dealt[0]) <= 1.5 * 1600 / len(dealt[0])
