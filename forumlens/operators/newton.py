@@ -172,8 +172,9 @@ def newton(size: int, tolerance: float) -> Generator[Question, Answer, tuple[np.
             if np.linalg.norm(rest) <= enough:
                 break
             product = direction + (yield direction, live)[1]
-            asked.append((direction, product, float(direction @ product)))
-            along = square / asked[-1][2]
+            curve = float(direction @ product)
+            asked.append((direction, product, curve))
+            along = square / curve
             if np.linalg.norm(step + along * direction) > radius:
                 a, b, c = float(direction @ direction), float(step @ direction), float(step @ step) - radius * radius
                 along, at_border = (np.sqrt(b * b - a * c) - b) / a, True
@@ -208,7 +209,7 @@ def fit(rows: DataFrame, size: int, classes: int, c: float = 1.0, tolerance: flo
     ``rows`` are blocks, or have ``features``, sparse vectors of ``size`` places, and ``label``, 0 to ``classes`` - 1. An entry
     is its value times the factor of its row and, if there are ``columns``, that of its place. They are
     read once per question, as blocks kept in memory, by one task per core, dealt evenly: a task answers with dense vectors, so
-    what a question moves depends on the cores and not on the rows."""
+    what a question moves depends on the cores and not on the rows, but for a bit per row and class."""
     columns = np.ones(size + 1) if columns is None else np.append(columns, 1.0)
     width = rows.sparkSession.sparkContext.defaultParallelism
     blocks = cut_lineage((rows if "places" in rows.columns else rows.mapInArrow(pack, BLOCK)).repartition(width)).rdd
